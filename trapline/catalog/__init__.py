@@ -6,7 +6,7 @@ from trapline.catalog import registry
 
 
 def _load() -> None:
-    from trapline.catalog import session_queries  # noqa: F401
+    from trapline.catalog import ingest_queries, session_queries  # noqa: F401
 
 
 def queries():
@@ -16,4 +16,4 @@ def queries():
 
 def oracle_sql():
     _load()
-    return dict(registry.ORACLES)
+    return {n: registry.comparison_sql(*o) for n, o in registry.ORACLES.items()}

@@ -11,7 +11,7 @@ from trapline import fixtures
 from trapline.fixtures import Tables, plain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, list[str]]] = {}
 
 # Views the comparison SQL may read, each with the views it reads itself.
 VIEWS: dict[str, tuple[str, list[str]]] = {
@@ -36,6 +36,13 @@ def _expand(needs: list[str], seen: list[str]) -> list[str]:
     return seen
 
 
+def comparison_sql(sql: str, needs: list[str]) -> str:
+    """The statement with all views it needs, each computed once."""
+    views = _expand(needs, [])
+    head = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v][0]})" for v in views)
+    return (f"WITH {head} {sql}" if head else sql).strip()
+
+
 def query(name: str, sql: str | None = None, needs: list[str] | None = None):
     """Register ``fn(tables) -> DataFrame`` and its comparison SQL."""
     def register(fn: Callable[[Tables], DataFrame]):
@@ -46,10 +53,7 @@ def query(name: str, sql: str | None = None, needs: list[str] | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if sql is not None:
-            views = _expand(["raw_logs"] if needs is None else needs, [])
-            # MATERIALIZED: a view read several times is computed once.
-            head = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v][0]})" for v in views)
-            ORACLES[name] = (f"WITH {head} {sql}" if head else sql).strip()
+            ORACLES[name] = (sql, ["raw_logs"] if needs is None else needs)
         return fn
 
     return register

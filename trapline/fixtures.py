@@ -173,3 +173,81 @@ class Tables:
             F.col("event_type").alias("eventid"), "protocol", "username", "password", "input",
             *service_counts(F.col("event_type"), F.col("active_honeypot_count")),
             F.lit("backend").alias("source"))
+
+    @cached_property
+    def sensor_lines(self) -> DataFrame:
+        """Sensor lines (service, id, value), some broken, binary or without source."""
+        k, etype, svc = F.col("id"), F.col("event_type"), F.col("honeypot_type")
+        time = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+        source = F.when(k % 60 != 7, F.col("src_ip"))
+        shell = F.struct(
+            etype.alias("eventid"), time.alias("timestamp"), source.alias("src_ip"),
+            F.col("session_id").alias("session"), F.col("sensor_id").alias("sensor"),
+            "username", "password", "input")
+        start = F.when(k % 40 == 1, F.concat(svc, F.lit(".server.start"))).otherwise(etype)
+        verb = F.element_at(F.split(F.lit("CONFIG,keys,PING,GET"), ","), (k % 4 + 1).cast("int"))
+        other = F.struct(
+            start.alias("event_type"), time.alias("timestamp"), source.alias("source_ip"),
+            "sensor_id", F.when(svc == "http", F.col("session_id")).alias("session_id"),
+            "username", F.when(svc == "redis", F.col("password")).alias("password"),
+            F.when(svc == "redis", verb).alias("command"),
+            F.when(svc == "redis", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: i.cast("string")))
+             .alias("args"),
+            F.when(svc == "mysql", F.repeat("input", F.lit(100))).alias("query"),
+            F.when(svc == "smtp", F.when(k % 10 == 0, F.lit("\x01\x02ab")).otherwise("mail.example"))
+             .alias("ehlo_host"),
+            F.when(svc == "smtp", F.repeat(F.lit("x"), (k % 400).cast("int"))).alias("body_preview"))
+        doc = F.when(svc == "ssh", F.to_json(shell)).otherwise(F.to_json(other))
+        return self.raw_logs.select(
+            svc.alias("service"), "id",
+            F.when(k % 100 == 0, F.substring(doc, 1, 20)).otherwise(doc).alias("value"))
+
+    @cached_property
+    def ingest(self) -> DataFrame:
+        """Ingest events as sent: untidy types, two offsets, some invalid."""
+        k = F.col("id")
+        fmt = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+        east = F.concat(F.date_format(F.expr("ts + interval 330 minutes"), fmt), F.lit("+05:30"))
+        time = F.when(k % 3 == 0, east).otherwise(F.concat(F.date_format("ts", fmt), F.lit("+00:00")))
+        untidy = F.concat(F.lit("  "), F.upper("event_type"), F.lit(" "))
+        return self.raw_logs.select(
+            "id",
+            F.when(k % 89 == 0, "not-a-timestamp").when(k % 97 != 0, time).alias("timestamp"),
+            F.when(k % 83 != 0, F.col("src_ip")).alias("source_ip"),
+            F.when(k % 5 == 0, untidy).otherwise(F.col("event_type")).alias("event_type"),
+            F.when(k % 11 == 0, "").otherwise(F.col("session_id")).alias("session_id"),
+            "sensor_id",
+            F.when(k % 2 == 0, F.col("honeypot_type")).alias("honeypot_type"),
+            F.when(F.col("username").isNotNull(), F.create_map(F.lit("username"), F.col("username")))
+             .alias("data"))
+
+    def sensor_files(self) -> str:
+        """Sensor lines written as text files, one folder per service."""
+        from trapline.session import scratch_path
+
+        path = scratch_path(self.spark, "sensor-lines")
+        self.sensor_lines.select("service", "value").write.partitionBy("service").text(path)
+        return path
+
+    def nested_files(self) -> str:
+        """Events as session maps, one JSON document per line.
+
+        A session is cut at every 10,000 ids, so no document grows with it.
+        """
+        from trapline.session import scratch_path
+
+        geo = F.struct(
+            F.lit("XX").alias("country_name"), F.col("sensor_id").alias("city_name"),
+            F.struct(F.col("id").cast("double").alias("lat"), F.lit(1.5).alias("lon")).alias("location"))
+        event = F.struct(
+            F.col("event_type").alias("eventid"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+             .alias("timestamp"), "session_id", "src_ip", "protocol", "username", "password", "input",
+            F.col("id").cast("string").alias("message"), geo.alias("geolocation_data"))
+        documents = (
+            self.raw_logs.filter("session_id IS NOT NULL")
+            .groupBy("session_id", F.floor(F.col("id") / 10_000).alias("part"))
+            .agg(F.collect_list(event).alias("events"))
+            .select(F.to_json(F.array(F.create_map("session_id", "events"))).alias("value")))
+        path = scratch_path(self.spark, "nested")
+        documents.write.option("compression", "none").text(path)
+        return path

@@ -86,14 +86,16 @@ def read_nested(
     return flat if max_events is None else flat.limit(max_events)
 
 
-def read_datasets(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    """Every ``*.json`` of a folder, tagged with its file stem.
+def read_datasets(
+    spark: SparkSession, folder: str, whole: bool = False, pattern: str = "*.json"
+) -> DataFrame:
+    """Every matching file of a folder, tagged with its file stem.
 
     Unreadable files are skipped; a folder without any raises at analysis.
     """
     spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    return read_nested(spark, f"{folder}/*.json", whole).withColumn(
-        "dataset", F.regexp_replace("_source_file", r"\.json$", ""))
+    return read_nested(spark, f"{folder}/{pattern}", whole).withColumn(
+        "dataset", F.regexp_replace("_source_file", r"\.[a-z]+$", ""))
 
 
 def with_source(events: DataFrame, name: str) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapline.functions.classify import service_of_prefix
 from trapline.functions.clock import parse_utc
-from trapline.schema import PLAN_SERVICES
+from trapline.schema import EVENT_PREFIX, PLAN_SERVICES
 
 
 def newest_first(logs: DataFrame, limit: int | None = None, before_id: int | None = None) -> DataFrame:
@@ -20,9 +19,9 @@ def newest_first(logs: DataFrame, limit: int | None = None, before_id: int | Non
 
 def service_counts(event_type: Column, active: Column) -> list[Column]:
     """Sensor count of the event's own service, 0 for all others."""
-    service = service_of_prefix(event_type)
+    prefix = F.split_part(event_type, F.lit("."), F.lit(1))
     return [
-        F.when(service == s, F.coalesce(active, F.lit(0))).otherwise(0).cast("int")
+        F.when(prefix == EVENT_PREFIX[s], F.coalesce(active, F.lit(0))).otherwise(0).cast("int")
          .alias(f"{s}_honeypot_count")
         for s in PLAN_SERVICES
     ]
