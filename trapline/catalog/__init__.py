@@ -6,7 +6,7 @@ from trapline.catalog import registry
 
 
 def _load() -> None:
-    from trapline.catalog import ingest_queries, session_queries  # noqa: F401
+    from trapline.catalog import ingest_queries, report_queries, session_queries  # noqa: F401
 
 
 def queries():

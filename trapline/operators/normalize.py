@@ -81,14 +81,15 @@ def normalise_sensor_lines(lines: DataFrame, service: str = "service") -> DataFr
         "body_size": F.col("body_size").cast("string"),
     }
 
-    def payload(name: str) -> Column:
-        items = [i for f in PAYLOAD_FIELDS[name] for i in (F.lit(f), fields.get(f, F.col(f)))]
-        return F.map_filter(F.create_map(*items), lambda _, v: v.isNotNull())
-
-    data = F.when(shell, payload("ssh"))
-    for name in PAYLOAD_FIELDS:
-        if name != "ssh":
-            data = data.when(svc == name, payload(name))
+    carriers: dict[str, list[str]] = {}
+    for name, kept in PAYLOAD_FIELDS.items():
+        for field in kept:
+            carriers.setdefault(field, []).append(name)
+    entries = [
+        entry for field, services in carriers.items()
+        for entry in (F.lit(field), F.when(svc.isin(services), fields.get(field, F.col(field))))
+    ]
+    data = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
     has_session = svc.isin("ssh", "http")
     return lines.filter(keep_sensor_line(svc)).select(
         "timestamp",

@@ -17,21 +17,31 @@ def read_lines(spark: SparkSession, path: str | list[str], whole: bool = False)
         "value", F.col(FILE_NAME).alias("_source_file"))
 
 
+CORRUPT = "_corrupt"
+
+
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def parse_lines(lines: DataFrame, schema: T.StructType = SENSOR_LINE) -> tuple[DataFrame, DataFrame]:
-    """Parse JSON lines; returns parsed rows and the malformed lines."""
-    marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    doc = F.from_json("value", marked, {"columnNameOfCorruptRecord": "_corrupt"})
-    parsed = lines.filter(F.length(F.trim("value")) > 0).withColumn("doc", doc)
-    bad = F.col("doc").isNull() | F.col("doc._corrupt").isNotNull()
+    """Parse JSON lines held in ``value``; returns parsed rows and malformed lines.
+
+    The parse sits behind a generator, so that later filters on parsed fields
+    do not repeat it for every field they mention.
+    """
+    doc = F.from_json("value", _with_corrupt(schema), {"columnNameOfCorruptRecord": CORRUPT})
     keep = [c for c in lines.columns if c != "value"]
-    good = parsed.filter(~bad).select(*keep, F.col("value").alias("raw"), "doc.*").drop("_corrupt")
-    return good, parsed.filter(bad).select(*keep, "value")
+    parsed = lines.select("*", F.explode(F.array(doc)).alias("doc"))
+    bad = F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull()
+    good = parsed.filter(~bad).select(*keep, F.col("value").alias("raw"), "doc.*").drop(CORRUPT)
+    # Blank lines parse to NULL; they are neither parsed nor malformed.
+    return good, parsed.filter(bad & (F.length(F.trim("value")) > 0)).select(*keep, "value")
 
 
 def read_sensor_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Sensor files below ``path``, partitioned by ``service``: good and malformed lines."""
-    lines = spark.read.text(path).select("value", "service")
-    return parse_lines(lines)
+    return parse_lines(spark.read.text(path).select("value", "service"))
 
 
 def read_json_any(
