@@ -6,7 +6,13 @@ from trapline.catalog import registry
 
 
 def _load() -> None:
-    from trapline.catalog import ingest_queries, report_queries, session_queries  # noqa: F401
+    from trapline.catalog import (  # noqa: F401
+        ingest_queries,
+        model_queries,
+        plan_queries,
+        report_queries,
+        session_queries,
+    )
 
 
 def queries():

@@ -305,8 +305,8 @@ def _(t: Tables):
 def _flag_query(name: str, sql: dict[str, str]):
     @query(name, "SELECT id, " + ", ".join(f"({cond})::INT AS {n}" for n, cond in sql.items()) + " FROM flat", ["flat"])
     def _(t: Tables):
-        flags = normalize.event_flags(F.col("eventid"))
-        return t.flat.select("id", *[flags[n].alias(n) for n in sql])
+        flags = normalize.event_flags()
+        return t.flat.selectExpr("id", *[f"{flags[n]} AS {n}" for n in sql])
 
 
 _flag_query("N10_event_flags", {

@@ -336,16 +336,15 @@ def _(t: Tables):
     return rounded(t.read("documents").select("doc_id", shannon_entropy(F.col("text")).alias("entropy")))
 
 
-def _feature_query(name: str, columns: list[str], digits: int = 6):
-    # Rates of sessions without length are near 1e9: their last digits are noise.
-    listed = ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+def _feature_query(name: str, columns: list[str]):
+    listed = ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
     @query(name, f"SELECT session_id, {listed} FROM feat_all", ["feat_all"])
     def _(t: Tables):
-        return rounded(features.add_behaviour(sessions.sessions(t.flat)).select("session_id", *columns), digits)
+        return rounded(features.add_behaviour(sessions.sessions(t.flat)).select("session_id", *columns))
 
 
-_feature_query("X03_rates", ["cmds_per_min", "fails_per_min", "cmd_failed_per_min", "cmd_failed_ratio"], 4)
+_feature_query("X03_rates", ["cmds_per_min", "fails_per_min", "cmd_failed_per_min", "cmd_failed_ratio"])
 _feature_query("X04_ratios", ["ssh_ratio", "http_ratio", "mysql_ratio", "redis_ratio", "ftp_ratio", "smtp_ratio",
                               "download_ratio", "upload_ratio", "file_transfer_ratio"])
 _feature_query("X05_events_per_min", ["events_per_min"])
@@ -356,7 +355,7 @@ def _(t: Tables):
     return features.add_behaviour(sessions.sessions(t.flat)).select("session_id", "services_touched")
 
 
-X07 = [f"is_{p}_protocol" for p in features.PROTOCOLS]
+X07 = [f"is_{p}_protocol" for p in features.SERVICES]
 
 
 @query("X07_protocol_flags", f"SELECT session_id, {', '.join(X07)} FROM feat_all", ["feat_all"])
@@ -394,7 +393,7 @@ def _(t: Tables):
                 for n, terms in EXPLORATORY_TERMS.items()])
 
 
-FEATURE_SQL = ", ".join(f"round({c}::DOUBLE, 4) AS {c}" for c in FEATURES)
+FEATURE_SQL = ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in FEATURES)
 view("feat", f"""
 SELECT session_id, src_ip, session_start, session_end, {', '.join(f'{c}::DOUBLE AS {c}' for c in FEATURES)},
   {', '.join(COUNT_COLUMNS)} FROM feat_all""", "feat_all")
@@ -404,7 +403,7 @@ SELECT session_id, src_ip, session_start, session_end, {', '.join(f'{c}::DOUBLE
 SELECT session_id, src_ip, {FEATURE_SQL}, {', '.join(COUNT_COLUMNS)} FROM feat""", ["feat"])
 def _(t: Tables):
     return rounded(features.feature_table(sessions.sessions(t.flat))
-                   .drop("session_start", "session_end"), 4)
+                   .drop("session_start", "session_end"))
 
 
 @query("J11_features_same_row", """

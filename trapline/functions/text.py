@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,11 +78,7 @@ def password_metrics(password: Column) -> Column:
 
 def contains_any(text: Column, terms: list[str]) -> Column:
     """Whether any term occurs anywhere in the lower-cased text."""
-    hits = [F.contains(F.lower(text), F.lit(t)) for t in terms]
-    found = hits[0]
-    for hit in hits[1:]:
-        found = found | hit
-    return found
+    return F.lower(text).rlike("|".join(re.escape(t) for t in terms))
 
 
 def command_text(*candidates: Column) -> Column:

@@ -179,8 +179,8 @@ def page_stats(logs: DataFrame) -> DataFrame:
 
 def service_totals(events: DataFrame) -> DataFrame:
     """Events of each service."""
-    flags = event_flags(F.col("eventid"))
-    return events.agg(*[F.sum(flags[f"is_{s}"]).alias(f"{s}_events") for s in EVENT_PREFIX])
+    flags = event_flags()
+    return events.agg(*[F.expr(f"sum({flags[f'is_{s}']}) AS {s}_events") for s in EVENT_PREFIX])
 
 
 def top_labels(rows: DataFrame, label: Column, limit: int) -> DataFrame:

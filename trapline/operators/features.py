@@ -1,88 +1,77 @@
-"""Session table to model features: one projection, no further shuffle."""
+"""Session table to model features: one projection, no further shuffle.
+
+Each feature is a short SQL text over session columns.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.classify import is_local_source
-from trapline.functions.numbers import finite_or_zero, flag
 from trapline.schema import COUNT_COLUMNS, FEATURES, PRIMARY_SERVICE_ORDER
 
-TINY = 1e-9
-PROTOCOLS = ["ssh", "http", "ftp", "smtp", "mysql", "redis"]
-
-
-def rates() -> dict[str, Column]:
-    """Commands and failures per minute (X03); a zero length gives huge rates by design."""
-    minutes = F.col("duration") / 60.0 + TINY
-    return {
-        "cmds_per_min": F.col("cmd_count") / minutes,
-        "fails_per_min": F.col("login_fail") / minutes,
-        "cmd_failed_per_min": F.col("cmd_failed_count") / minutes,
-        "cmd_failed_ratio": F.col("cmd_failed_count") / (F.col("cmd_count") + TINY),
-    }
-
+TINY = "1e-9D"
+SERVICES = ["ssh", "http", "ftp", "smtp", "mysql", "redis"]
 
-def ratios() -> dict[str, Column]:
-    """Shares of services and transfers among the events."""
-    events = F.col("event_count") + TINY
-    shares = {f"{s}_ratio": F.col(f"{s}_events") / events for s in PROTOCOLS}
-    return {
-        **shares,
-        "download_ratio": F.col("downloads") / events,
-        "upload_ratio": F.col("uploads") / events,
-        "file_transfer_ratio": (F.col("downloads") + F.col("uploads")) / events,
-    }
 
+def _flag(condition: str) -> str:
+    return f"int(nvl({condition}, false))"
 
-def pace() -> dict[str, Column]:
-    """Events per minute over at least one second."""
-    return {"events_per_min": F.col("event_count") / (F.greatest("duration", F.lit(1.0)) / 60)}
 
+# Commands and failures per minute (X03); a zero length gives huge rates by design.
+RATES = {
+    "cmds_per_min": f"cmd_count / (duration / 60D + {TINY})",
+    "fails_per_min": f"login_fail / (duration / 60D + {TINY})",
+    "cmd_failed_per_min": f"cmd_failed_count / (duration / 60D + {TINY})",
+    "cmd_failed_ratio": f"cmd_failed_count / (cmd_count + {TINY})",
+}
 
-def touched() -> dict[str, Column]:
-    """Number of services with any event."""
-    total = F.lit(0)
-    for s in PROTOCOLS:
-        total = total + flag(F.col(f"{s}_events") > 0)
-    return {"services_touched": total}
+# Shares of services and transfers among the events.
+RATIOS = {
+    **{f"{s}_ratio": f"{s}_events / (event_count + {TINY})" for s in SERVICES},
+    "download_ratio": f"downloads / (event_count + {TINY})",
+    "upload_ratio": f"uploads / (event_count + {TINY})",
+    "file_transfer_ratio": f"(downloads + uploads) / (event_count + {TINY})",
+}
 
+# Events per minute over at least one second.
+PACE = {"events_per_min": "event_count / (greatest(duration, 1D) / 60D)"}
 
-def protocol_flags() -> dict[str, Column]:
-    """Protocol name contains the service name."""
-    text = F.lower(F.coalesce("protocol", F.lit("")))
-    return {f"is_{p}_protocol": flag(F.contains(text, F.lit(p))) for p in PROTOCOLS}
+# Number of services with any event.
+TOUCHED = {"services_touched": " + ".join(_flag(f"{s}_events > 0") for s in SERVICES)}
 
+# Protocol name contains the service name.
+PROTOCOL_FLAGS = {
+    f"is_{s}_protocol": _flag(f"contains(lower(protocol), '{s}')") for s in SERVICES}
 
-def activity_flags() -> dict[str, Column]:
-    """Activity, login and command flags."""
-    active = {f"has_{s}_activity": flag(F.col(f"{s}_events") > 0) for s in PROTOCOLS if s != "ssh"}
-    return {
-        **active,
-        "has_successful_login": flag(F.col("login_success") > 0),
-        "has_any_commands": flag(F.col("cmd_count") > 0),
-        "has_failed_commands": flag(F.col("cmd_failed_count") > 0),
-        "is_local_src": is_local_source(F.col("src_ip")),
-    }
+# Activity, login and command flags.
+ACTIVITY = {
+    **{f"has_{s}_activity": _flag(f"{s}_events > 0") for s in SERVICES if s != "ssh"},
+    "has_successful_login": _flag("login_success > 0"),
+    "has_any_commands": _flag("cmd_count > 0"),
+    "has_failed_commands": _flag("cmd_failed_count > 0"),
+}
 
-
-def primary_service() -> Column:
-    """Service with most events; ties go to the earlier one."""
-    ranked = F.array(*[
-        F.struct(F.col(f"{s}_events").alias("n"), F.lit(-i).alias("rank"), F.lit(s).alias("name"))
-        for i, s in enumerate(PRIMARY_SERVICE_ORDER)])
-    return F.array_max(ranked)["name"]
+# Service with most events; ties go to the earlier one.
+PRIMARY = {"primary_service": "array_max(array(" + ", ".join(
+    f"named_struct('n', {s}_events, 'rank', -{i}, 'name', '{s}')"
+    for i, s in enumerate(PRIMARY_SERVICE_ORDER)) + ")).name"}
 
 
 def add_behaviour(sessions: DataFrame) -> DataFrame:
-    """All derived session columns."""
+    """All derived session columns."""
     if "protocol" not in sessions.columns:
         sessions = sessions.withColumn("protocol", F.lit(None).cast("string"))
-    return sessions.withColumns({
-        **rates(), **ratios(), **pace(), **touched(), **protocol_flags(), **activity_flags(),
-        "primary_service": primary_service(),
-    })
+    derived = {**RATES, **RATIOS, **PACE, **TOUCHED, **PROTOCOL_FLAGS, **ACTIVITY, **PRIMARY}
+    return sessions.selectExpr("*", *[f"{sql} AS {name}" for name, sql in derived.items()]).withColumn(
+        "is_local_src", is_local_source(F.col("src_ip")))
+
+
+def finite_sql(column: str) -> str:
+    """The number, or 0 for NULL, NaN and both infinities."""
+    x = f"double({column})"
+    return f"nvl(if(isnan({x}) OR abs({x}) = double('inf'), null, {x}), 0D)"
 
 
 def feature_table(sessions: DataFrame, carry_all: bool = False) -> DataFrame:
@@ -92,11 +81,11 @@ def feature_table(sessions: DataFrame, carry_all: bool = False) -> DataFrame:
     the feature list leaves out.
     """
     out = add_behaviour(sessions)
-    geo = [c for c, t in out.dtypes if c.startswith("geo_") and t in ("double", "int", "bigint")]
+    types = dict(out.dtypes)
+    geo = [c for c, t in types.items() if c.startswith("geo_") and t in ("double", "int", "bigint")]
     extra = ["ftp_connects", "ftp_disconnects", "smtp_ehlo_count", "smtp_connects"]
     numeric = FEATURES + geo + (extra if carry_all else [])
-    counts = [c for c in COUNT_COLUMNS if c in out.columns]
-    return out.select(
+    return out.selectExpr(
         "session_id", "src_ip", "session_start", "session_end",
-        *[finite_or_zero(F.col(c)).alias(c) for c in numeric],
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+        *[f"{finite_sql(c)} AS {c}" for c in numeric],
+        *[f"nvl({c}, 0) AS {c}" for c in COUNT_COLUMNS if c in types])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trapline.functions.classify import forwarder_severity, resolve_service
 from trapline.functions.clock import hour_bucket, parse_utc
-from trapline.functions.numbers import flag, number
+from trapline.functions.numbers import number
 from trapline.functions.text import control_share
 from trapline.schema import (
     CORE_COLUMNS,
@@ -187,10 +187,12 @@ def with_command(events: DataFrame, source: str = "input") -> DataFrame:
     return events.withColumn("command", command)
 
 
-def event_flags(eventid: Column) -> dict[str, Column]:
-    """All 0/1 event flags."""
-    flags = {n: flag(eventid == e) for n, e in {**EVENT_FLAGS, **SERVICE_EVENT_FLAGS}.items()}
-    prefixes = {f"is_{s}": flag(eventid.startswith(p + ".")) for s, p in EVENT_PREFIX.items()}
+def event_flags(column: str = "eventid") -> dict[str, str]:
+    """SQL of all 0/1 event flags over an event type column."""
+    exact = {**EVENT_FLAGS, **SERVICE_EVENT_FLAGS}
+    flags = {n: f"int({column} <=> '{e}')" for n, e in exact.items()}
+    prefixes = {f"is_{s}": f"int(nvl(startswith({column}, '{p}.'), false))"
+                for s, p in EVENT_PREFIX.items()}
     return {**flags, **prefixes}
 
 
@@ -198,7 +200,7 @@ def normalise_events(events: DataFrame, command_source: str = "input") -> DataFr
     """Flat events with all core columns, parsed types and flags."""
     out = coerce_types(ensure_core_columns(events))
     out = with_command(protocol_fallback(out), command_source)
-    return out.withColumns(event_flags(F.col("eventid")))
+    return out.selectExpr("*", *[f"{sql} AS {n}" for n, sql in event_flags().items()])
 
 
 def is_command_event(eventid: Column) -> Column:

@@ -96,11 +96,11 @@ def type_counts(events: DataFrame) -> DataFrame:
     Counting by (session, type) first leaves a handful of rows per session.
     """
     per_type = has_session(events).groupBy("session_id", "eventid").agg(F.count("*").alias("n"))
-    flags = event_flags(F.col("eventid"))
+    flags = event_flags()
     return per_type.groupBy("session_id").agg(
         F.sum(F.when(F.col("eventid").isNotNull(), F.col("n")).otherwise(0)).alias("event_count"),
         F.count("eventid").alias("unique_event_types"),
-        *[F.sum(flags[f] * F.col("n")).alias(n) for n, f in FLAG_SUMS.items()])
+        *[F.expr(f"sum({flags[f]} * n) AS {c}") for c, f in FLAG_SUMS.items()])
 
 
 def sensor_counts(events: DataFrame, how: str = "last") -> DataFrame:
@@ -159,7 +159,7 @@ def sessions(events: DataFrame) -> DataFrame:
     is_type, is_pass, is_cmd = kind == "type", kind == "pass", kind == "cmd"
     metrics = password_metrics(value)
     items = items.withColumn("metrics", F.when(is_pass, metrics))
-    flags = event_flags(value)
+    flags = event_flags("value")
 
     def total(condition: Column, amount: Column = n) -> Column:
         return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0)).cast("long")
@@ -183,9 +183,9 @@ def sessions(events: DataFrame) -> DataFrame:
         pick(has_failed, "last_failed_ord", last=True).alias("last_failed_cmd"),
         total(is_type & value.isNotNull()).alias("event_count"),
         F.count_if(is_type & value.isNotNull()).alias("unique_event_types"),
-        *[total(is_type & (flags[f] == 1)).alias(c) for c, f in FLAG_SUMS.items()],
-        *[F.coalesce(F.sum(F.when(is_pass, F.col(f"metrics.{m}") * n))
-                     / F.sum(F.when(is_pass, n)), F.lit(0.0)).alias(c)
+        *[F.expr(f"nvl(sum(if(kind = 'type', {flags[f]} * n, 0)), 0) AS {c}")
+          for c, f in FLAG_SUMS.items()],
+        *[F.expr(f"nvl(try_divide(sum(metrics.{m} * n), sum(if(kind = 'pass', n, 0))), 0D) AS {c}")
           for c, m in PASSWORD_MEANS.items()],
         *[F.max(flag(is_cmd & (F.col("n_typed") > 0) & contains_any(value, terms))).alias(c)
           for c, terms in COMMAND_TERMS.items()],
