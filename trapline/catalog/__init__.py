@@ -12,6 +12,7 @@ def _load() -> None:
         plan_queries,
         report_queries,
         session_queries,
+        stream_queries,
     )
 
 

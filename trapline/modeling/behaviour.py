@@ -14,7 +14,7 @@ from trapline.modeling.iforest import TREES, flag_anomalies
 from trapline.modeling.kmeans import MIN_ROWS, RESTARTS, Sweep, assign, sweep
 from trapline.modeling.pca import Components, fit_components
 from trapline.modeling.scale import Scaler, fit_scaler, model_columns, to_vector
-from trapline.session import materialise
+from trapline.session import materialise, spread
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,9 @@ def reduce_features(features: DataFrame, with_counts: bool = True) -> Reduced:
 
 def cluster(reduced: Reduced, restarts: int = RESTARTS) -> tuple[DataFrame, Sweep]:
     """Add ``attack_cluster`` by the best k."""
-    vectors = to_vector(reduced.table, "reduced", "_vector").persist(StorageLevel.MEMORY_AND_DISK)
+    plain = to_vector(reduced.table.select("reduced"), "reduced", "_vector")
+    vectors = spread(plain, reduced.rows)
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         chosen = sweep(vectors, "_vector", reduced.rows, restarts=restarts)
     finally:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.modeling.stats import quantiles
-from trapline.session import materialise
+from trapline.session import materialise, spread
 
 # --- fixed values -----------------------------------------------------------
 TREES = 100
@@ -162,7 +162,7 @@ def flag_anomalies(df: DataFrame, array: str, rows: int, key: str | None = None,
     once, since both the quantile and the result read them.
     """
     forest = fit_forest(df, array, rows, key, trees)
-    scored = materialise(forest.score(df, array, "_score"), "scores")
+    scored = materialise(forest.score(spread(df, rows), array, "_score"), "scores")
     offset = quantiles(scored, ["_score"], [contamination])["_score"][0]
     score = F.col("_score") - F.lit(offset)
     return scored.withColumns({"anomaly_score": score, "is_anomaly": score < 0}).drop("_score")

@@ -36,7 +36,7 @@ def fit_all(df: DataFrame, vector: str, ks: list[int], restarts: int = RESTARTS,
             parallelism: int = 8) -> dict[int, Fit]:
     """Best of several restarts for every k.
 
-    ``df`` should be persisted. Fits are independent jobs, several of which
+    ``df`` should be persisted and spread over all cores. Fits are independent jobs, several of which
     run at a time.
     """
     def one(task: tuple[int, int]) -> Fit:

@@ -31,16 +31,23 @@ class ColumnStats:
         return self.low == self.high or (self.std_samp or 0.0) < 1e-6
 
 
+def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per value: ``name, x``."""
+    plain = df.select([F.col(quoted(c)).cast("double").alias(c) for c in columns])
+    return plain.unpivot([], [quoted(c) for c in columns], "name", "x")
+
+
 def column_stats(df: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
-    """Count, mean, spread and range of every column in one aggregate."""
-    parts = []
-    for c in columns:
-        x = f"double({quoted(c)})"
-        parts.append(F.expr(
-            f"named_struct('n', count({x}), 'mean', avg({x}), 'sp', stddev_pop({x}), "
-            f"'ss', stddev_samp({x}), 'lo', min({x}), 'hi', max({x}))"))
-    row = df.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first()
-    return {c: ColumnStats(*row[i]) for i, c in enumerate(columns)}
+    """Count, mean, spread and range of every column in one pass.
+
+    Values are lined up by column name first: a handful of aggregates over many
+    short rows compiles and runs faster than hundreds over a wide row, and
+    combines to one row per column before the shuffle.
+    """
+    rows = long_values(df, columns).groupBy("name").agg(
+        F.count("x"), F.avg("x"), F.stddev_pop("x"), F.stddev_samp("x"), F.min("x"), F.max("x")).collect()
+    found = {r[0]: ColumnStats(*r[1:]) for r in rows}
+    return {c: found.get(c, ColumnStats(0, None, None, None, None, None)) for c in columns}
 
 
 def varying_columns(stats: dict[str, ColumnStats]) -> list[str]:
@@ -83,8 +90,7 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float]) -> dict[st
     spark = df.sparkSession
     brackets = spark.createDataFrame(
         targets, "name string, j int, lo double, hi double, position double")
-    values = df.select([F.col(quoted(c)).cast("double").alias(c) for c in columns]).unpivot(
-        [], [quoted(c) for c in columns], "name", "x").filter("x IS NOT NULL")
+    values = long_values(df, columns).filter("x IS NOT NULL")
     # A bracket table has one row per column and quantile.
     joined = values.join(F.broadcast(brackets), "name").filter("x <= hi")
     inside = joined.groupBy(

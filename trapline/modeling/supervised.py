@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trapline.modeling.iforest import Forest, fit_forest
 from trapline.modeling.scale import standardise, winsorise
 from trapline.modeling.stats import column_stats, quantiles, quoted
-from trapline.session import materialise
+from trapline.session import materialise, spread
 
 # --- fixed values -----------------------------------------------------------
 TEST_SHARE = 0.20
@@ -121,6 +121,7 @@ def train_classifier(train: DataFrame, columns: list[str], label: str = "label",
                      trees: int = FOREST_TREES, depth: int = 10) -> PipelineModel:
     """Fit a logistic regression or a balanced random forest."""
     rows = train.count()
+    train = spread(train, rows)
     if model == "rf":
         train = class_weights(train, label)
     indexer = StringIndexer(inputCol=label, outputCol="label_index").setHandleInvalid("keep").fit(train)
@@ -146,7 +147,9 @@ def scale_with(df: DataFrame, columns: list[str], moments) -> DataFrame:
     return df.withColumn("scaled", F.expr(f"array({values})"))
 
 
-def baseline_scores(df: DataFrame, columns: list[str], forest: Forest, moments) -> DataFrame:
+def baseline_scores(
+    df: DataFrame, columns: list[str], forest: Forest, moments, rows: int
+) -> DataFrame:
     """Score every row against the benign baseline; higher is worse."""
-    scored = forest.score(scale_with(df, columns, moments), "scaled", "_score")
+    scored = forest.score(spread(scale_with(df, columns, moments), rows), "scaled", "_score")
     return scored.withColumn("baseline_anomaly_score", -F.col("_score")).drop("_score", "scaled")

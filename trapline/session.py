@@ -50,3 +50,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int, rows_per_task: int = 5_000) -> DataFrame:
+    """Enough partitions for iterative work on an input of so many rows.
+
+    Inputs that already have as many partitions stay as they are; at scale that
+    is every input.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, -(-rows // rows_per_task))
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
