@@ -49,11 +49,12 @@ UNPIVOT (value FOR feature IN ({', '.join(ALL)}))""", "feat")
 
 
 # --- statistics --------------------------------------------------------------
-@query("M01_model_columns", "SELECT count(DISTINCT feature) AS features FROM long_feat", ["long_feat"])
+@query("M01_model_columns", """
+SELECT feature AS name, count(*) AS n, round(sum(value), 4) AS total FROM long_feat GROUP BY feature""", ["long_feat"])
 def _(t: Tables):
-    names = scale.model_columns(feature_rows(t))
-    return t.spark.createDataFrame([(c,) for c in names], "feature string").agg(
-        F.count_distinct("feature").alias("features"))
+    rows = feature_rows(t)
+    values = stats.long_values(rows, scale.model_columns(rows))
+    return rounded(values.groupBy("name").agg(F.count("x").alias("n"), F.sum("x").alias("total")), 4)
 
 
 @query("F15_varying_columns", """
@@ -166,7 +167,7 @@ SELECT attack_cluster, feature, count(*) AS count, round(avg(value), 6) AS mean,
 FROM modelled JOIN long_feat USING (session_id) WHERE feature IN ({', '.join(f"'{c}'" for c in CHECKED)}) GROUP BY 1, 2""",
        ["modelled", "long_feat"])
 def _(t: Tables):
-    return rounded(clusters.cluster_summary(stand_in(feature_rows(t)), CHECKED))
+    return rounded(clusters.cluster_summary(stand_in(stored_features(t)), CHECKED))
 
 
 NAMES = """

@@ -9,6 +9,7 @@ from trapline.fixtures import Tables
 from trapline.operators import analytics, features, sessions
 from trapline.plans import deploy, profiles
 from trapline.schema import PLAN_SERVICES, SERVICES
+from trapline.session import materialise
 from trapline.sources import sinks, store
 
 view("feat0", """
@@ -217,8 +218,9 @@ FROM (SELECT *, selected_sessions < 100 OR trusted_sessions = 0 AS hold, sum(raw
 
 
 def sessions_of_plans(t: Tables):
+    """Labelled sessions, stored once: plans read them twice."""
     bucket = F.floor((F.dayofmonth("session_start") - 1) / 3).cast("int")
-    return labelled(t).withColumn("plan_id", F.concat(F.lit("p"), bucket))
+    return materialise(labelled(t).withColumn("plan_id", F.concat(F.lit("p"), bucket)), "labelled")
 
 
 @query("O05_latest_sessions", "SELECT plan_id, session_id FROM picked", ["picked"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.modeling.stats import quoted
+from trapline.modeling.stats import quantiles, quoted
+from trapline.operators.lookup import lookup_join
 
 # --- fixed values: cluster naming rules ---------------------------------------
 SCANNER, STUFFING = "Scanner / Probe", "Brute Force / Credential Stuffing"
@@ -28,15 +29,19 @@ def cluster_anomalies(df: DataFrame, cluster: str = "attack_cluster") -> DataFra
 def cluster_summary(df: DataFrame, columns: list[str], cluster: str = "attack_cluster") -> DataFrame:
     """Count, mean and median of each feature per cluster.
 
-    Counting equal values first keeps the exact median cheap for large clusters.
+    Medians are taken cluster by cluster, so that each stays exact at any size;
+    ``df`` is read once per cluster and should be stored.
     """
-    long = df.unpivot([cluster], [quoted(c) for c in columns], "feature", "value")
-    counted = long.groupBy(cluster, "feature", F.col("value").cast("double").alias("value")).agg(
-        F.count("*").alias("n"))
-    known = counted.filter("value IS NOT NULL")
-    return known.groupBy(cluster, "feature").agg(
-        F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.expr("percentile(value, 0.5D, n)").alias("median"))
+    values = df.select(cluster, *[F.col(quoted(c)).cast("double").alias(c) for c in columns])
+    means = values.unpivot([cluster], [quoted(c) for c in columns], "feature", "value").groupBy(
+        cluster, "feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"))
+    ids = sorted(r[0] for r in df.select(cluster).distinct().collect())
+    medians = [
+        (i, c, q[0]) for i in ids
+        for c, q in quantiles(values.filter(F.col(cluster) == i), columns, [0.5]).items()]
+    table = df.sparkSession.createDataFrame(medians, f"{cluster} int, feature string, median double")
+    # One row per cluster and feature.
+    return means.join(F.broadcast(table), [cluster, "feature"])
 
 
 def name_clusters(profiles: DataFrame, cluster: str = "attack_cluster") -> DataFrame:
@@ -48,5 +53,5 @@ def name_clusters(profiles: DataFrame, cluster: str = "attack_cluster") -> DataF
 
 
 def with_cluster_names(df: DataFrame, names: DataFrame, cluster: str = "attack_cluster") -> DataFrame:
-    """Add each row's cluster name (J10); there is one name per cluster."""
-    return df.join(F.broadcast(names), cluster, "left")
+    """Add each row's cluster name."""
+    return lookup_join(df, names, [cluster])

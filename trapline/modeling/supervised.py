@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trapline.modeling.iforest import Forest, fit_forest
 from trapline.modeling.scale import standardise, winsorise
 from trapline.modeling.stats import column_stats, quantiles, quoted
+from trapline.operators.lookup import lookup_join
 from trapline.session import materialise, spread
 
 # --- fixed values -----------------------------------------------------------
@@ -50,8 +51,9 @@ def _cuts(hashed: DataFrame, label: str, shares: list[float]) -> DataFrame:
              .filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
              .select(F.col(label), "_b", F.col("w.cut").alias("cut"), "want",
                      (F.col("upto") - F.col("n")).alias("before")))
-    # One edge per class and share.
-    near = hashed.withColumn("_b", bucket).join(F.broadcast(edges), [label, "_b"])
+    # Stored: one short row per class and share, read by the size check and the join.
+    edges = materialise(edges, "edges")
+    near = lookup_join(hashed.withColumn("_b", bucket), edges, [label, "_b"], how="inner")
     values = near.groupBy(label, "cut", "want", "before", "_h").agg(F.count("*").alias("n"))
     within = Window.partitionBy(label, "cut").orderBy("_h")
     ranked = values.withColumn("rank", F.col("before") + F.sum("n").over(within))
@@ -67,8 +69,9 @@ def stratified_split(df: DataFrame, label: str = "label", key: list[str] | None
     together, so copies cannot leak from training into the test.
     """
     hashed = df.withColumn("_h", row_hash(df, key))
-    cuts = _cuts(hashed.select(label, "_h"), label, [test, test + (1 - test) * test])
-    joined = hashed.join(F.broadcast(cuts), label, "left")
+    shares = [test, test + (1 - test) * test]
+    cuts = materialise(_cuts(hashed.select(label, "_h"), label, shares), "cuts")
+    joined = lookup_join(hashed, cuts, [label])
     split = (F.when(F.col("_h") <= F.col("0"), "test")
              .when(F.col("_h") <= F.col("1"), "val").otherwise("train"))
     return joined.withColumn("split", split).drop("_h", "0", "1")
@@ -84,16 +87,15 @@ def group_split(df: DataFrame, group: str, test: float = TEST_SHARE, seed: int =
     held = groups.orderBy(order, group).limit(n_test + n_val)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, group))
     named = held.withColumn("split", F.when(rank <= n_test, "test").otherwise("val"))
-    return df.join(named, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    return lookup_join(df, named, [group]).withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Add ``weight``: rows / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    counts = materialise(df.groupBy(label).agg(F.count("*").alias("_n")), "classes")
     shared = counts.agg(F.sum("_n").alias("rows"), F.count("*").alias("classes")).first()
     weight = F.lit(float(shared["rows"])) / (F.lit(float(shared["classes"])) * F.col("_n"))
-    # One row per class.
-    return df.join(F.broadcast(counts.select(label, weight.alias("weight"))), label)
+    return lookup_join(df, counts.select(label, weight.alias("weight")), [label], how="inner")
 
 
 def prepare(df: DataFrame, columns: list[str], fit_on: DataFrame) -> DataFrame:

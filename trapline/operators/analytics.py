@@ -147,19 +147,23 @@ def service_mix(logs: DataFrame) -> DataFrame:
     return counts.withColumn("percent", F.floor(share * 100 + 0.5))
 
 
-def kpis(logs: DataFrame) -> DataFrame:
-    """Events, sources, sessions, deep sessions, attack types.
-
-    Counts every source, session and type once in one pass; a missing source
-    counts as one source.
-    """
+def distinct_items(logs: DataFrame) -> DataFrame:
+    """Rows per distinct source, session and type, in one pass and one shuffle."""
     items = F.array(*[
         F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in {
             "ip": F.col("src_ip"),
             "session": F.coalesce("session_id", F.lit(UNKNOWN)),
             "type": F.coalesce("event_type", F.lit(UNKNOWN)),
         }.items()])
-    counts = (logs.select(F.inline(items)).groupBy("kind", "value").agg(F.count("*").alias("n")))
+    return logs.select(F.inline(items)).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+def kpis(logs: DataFrame) -> DataFrame:
+    """Events, sources, sessions, deep sessions, attack types.
+
+    A missing source counts as one source.
+    """
+    counts = distinct_items(logs)
     kind = F.col("kind")
     return counts.agg(
         F.coalesce(F.sum(F.when(kind == "ip", F.col("n"))), F.lit(0)).alias("events"),
@@ -171,10 +175,12 @@ def kpis(logs: DataFrame) -> DataFrame:
 
 def page_stats(logs: DataFrame) -> DataFrame:
     """Rows, sessions and known sources."""
-    sid = F.coalesce("session_id", F.lit(UNKNOWN))
-    return logs.agg(
-        F.count("*").alias("rows"), F.count_distinct(sid).alias("sessions"),
-        F.count_distinct("src_ip").alias("unique_ips"))
+    counts = distinct_items(logs)
+    kind = F.col("kind")
+    return counts.agg(
+        F.coalesce(F.sum(F.when(kind == "session", F.col("n"))), F.lit(0)).alias("rows"),
+        F.count_if(kind == "session").alias("sessions"),
+        F.count_if((kind == "ip") & F.col("value").isNotNull()).alias("unique_ips"))
 
 
 def service_totals(events: DataFrame) -> DataFrame:

@@ -32,7 +32,9 @@ def lookup_join(
 ) -> DataFrame:
     """Join facts to a dimension on equal names plus an optional condition.
 
-    Dimension columns must not repeat fact names other than ``on``.
+    Dimension columns must not repeat fact names other than ``on``. The salt
+    is a hash of the whole row and so the same after a retry; rows equal in all
+    columns share it, and the adaptive skew split handles those.
     """
     small = is_small(dim, max_rows)
     right = dim.withColumnsRenamed({c: f"_dim_{c}" for c in on})

@@ -110,7 +110,10 @@ def flexible_slots(demand: Column, slots: int = FLEXIBLE_SLOTS) -> Column:
 
 
 def plan_headers(sessions: DataFrame, limit: int = SESSION_WINDOW) -> DataFrame:
-    """One row per plan: sessions seen, selected, trusted, counts per service."""
+    """One row per plan: sessions seen, selected, trusted, counts per service.
+
+    Reads ``sessions`` twice, so pass a stored table.
+    """
     totals = sessions.groupBy("plan_id").agg(F.count("*").alias("total_sessions"))
     mapping = F.create_map(*[F.lit(x) for kv in PROFILE_SERVICE.items() for x in kv])
     service = F.when(

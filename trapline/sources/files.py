@@ -11,9 +11,11 @@ from trapline.schema import NESTED_EVENT, SENSOR_LINE
 FILE_NAME = "_metadata.file_name"
 
 
-def read_lines(spark: SparkSession, path: str | list[str], whole: bool = False) -> DataFrame:
+def read_lines(
+    spark: SparkSession, path: str | list[str], whole: bool = False, skip_unreadable: bool = False
+) -> DataFrame:
     """Text lines (or whole documents) with the file name."""
-    return spark.read.text(path, wholetext=whole).select(
+    return spark.read.option("ignoreCorruptFiles", skip_unreadable).text(path, wholetext=whole).select(
         "value", F.col(FILE_NAME).alias("_source_file"))
 
 
@@ -69,12 +71,13 @@ def read_nested(
     path: str | list[str],
     whole: bool = False,
     max_events: int | None = None,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """Nested session files: lists or maps of session id to events.
 
     ``whole=True`` reads one document per file; otherwise each line holds one.
     """
-    docs = read_lines(spark, path, whole)
+    docs = read_lines(spark, path, whole, skip_unreadable)
     listed = F.from_json("value", T.ArrayType(SESSION_MAP))
     single = F.array(F.from_json("value", SESSION_MAP))
     opens_map = F.ltrim("value").startswith("{")
@@ -103,8 +106,7 @@ def read_datasets(
 
     Unreadable files are skipped; a folder without any raises at analysis.
     """
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    return read_nested(spark, f"{folder}/{pattern}", whole).withColumn(
+    return read_nested(spark, f"{folder}/{pattern}", whole, skip_unreadable=True).withColumn(
         "dataset", F.regexp_replace("_source_file", r"\.[a-z]+$", ""))
 
 
