@@ -116,19 +116,20 @@ def fit_forest(df: DataFrame, array: str, rows: int, key: str | None = None, tre
     """
     identity = F.monotonically_increasing_id() if key is None else F.col(key)
     size = min(sample, rows)
-    # Expected pairs per tree are OVERSAMPLE * size: first draw a pool of rows,
-    # then pair pool rows with trees.
-    pairs = min(1.0, OVERSAMPLE * size / max(rows, 1)) if rows > size else 1.0
-    pool = min(1.0, pairs * trees)
-    full = float(2 ** 63)
-    draw = F.abs(F.xxhash64("row_key", F.lit(seed), F.lit("pool")).cast("double")) / full
-    chance = F.abs(F.col("h").cast("double")) / full
+    # Each row joins a few random trees, so that every tree gets about
+    # OVERSAMPLE * size candidates; rows of large inputs join one or none.
+    per_row = OVERSAMPLE * size * trees / max(rows, 1)
+    joins = trees if rows <= size else min(trees, max(1, math.ceil(per_row)))
+    draw = F.abs(F.xxhash64("row_key", F.lit(seed), F.lit("pool")).cast("double")) / float(2 ** 63)
+    slots = F.sequence(F.lit(0), F.lit(joins - 1))
+    if joins < trees:
+        slots = F.array_distinct(F.transform(
+            slots, lambda j: F.pmod(F.xxhash64("row_key", F.lit(seed), j), F.lit(trees)).cast("int")))
     chosen = (
         df.select(identity.alias("row_key"), F.col(array).alias("x"))
-        .filter(draw <= pool)
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("h", F.xxhash64("row_key", F.lit(seed), "tree"))
-        .filter(chance <= pairs / pool))
+        .filter(draw <= min(1.0, per_row))
+        .withColumn("tree", F.explode(slots))
+        .withColumn("h", F.xxhash64("row_key", F.lit(seed), F.lit("rank"), "tree")))
     order = Window.partitionBy("tree").orderBy("h", "row_key")
     drawn = chosen.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= size)
     limit = math.ceil(math.log2(max(size, 2)))

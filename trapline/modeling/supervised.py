@@ -47,7 +47,7 @@ def _cuts(hashed: DataFrame, label: str, shares: list[float]) -> DataFrame:
                                  for i, s in enumerate(shares)]))
     # Test rows are rounded up, as in a usual split.
     edges = (totals.select("*", wanted.alias("w"))
-             .withColumn("want", F.ceil(F.col("total") * F.col("w.share")))
+             .withColumn("want", F.ceil(F.round(F.col("total") * F.col("w.share"), 6)))
              .filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
              .select(F.col(label), "_b", F.col("w.cut").alias("cut"), "want",
                      (F.col("upto") - F.col("n")).alias("before")))

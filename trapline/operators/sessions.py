@@ -1,12 +1,13 @@
 """Events to sessions.
 
 The session table needs many counts, several distinct counts, first and last
-values and password means. One pass turns every event into one row for its
-type plus one for each user name, password and command it carries, and
-pre-aggregates by (session, kind, value). A very long session is thereby spread
-over its values and combined before the shuffle; distinct counts become plain
-counts, and password measures are computed once per distinct password. A second
-aggregation over these few rows gives the session.
+values and password means. One pass lines up every event as short rows, one per
+value it carries (type, user name, password, command, address, ...), and
+pre-aggregates them by (session, kind, value) with fixed-width counters only. A
+very long session is thereby spread over its values and combined before the
+shuffle; distinct counts become plain counts, and password measures are computed
+once per distinct password. A second aggregation over these few rows gives the
+session.
 """
 
 from __future__ import annotations
@@ -111,54 +112,40 @@ def sensor_counts(events: DataFrame, how: str = "last") -> DataFrame:
 
 
 def session_items(events: DataFrame) -> DataFrame:
-    """One row per (session, kind, value) with counts, order and event-level state."""
+    """One row per (session, kind, value): how often, when, and in which order."""
     events = has_session(events)
     columns = set(events.columns)
-    command = F.when(is_command_event(F.col("eventid")), F.col("input"))
-
-    def item(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
-
-    wanted = {"type": F.col("eventid"), "user": F.col("username"), "pass": F.col("password"),
-              "cmd": command}
-    items = F.filter(
-        F.array(*[item(k, v) for k, v in wanted.items()]),
-        lambda i: (i["kind"] == "type") | i["value"].isNotNull())
-    firsts = {n: c for n, c in FIRST_VALUES.items() if c in columns}
-    counts = [c for c in COUNT_COLUMNS if c in columns]
+    kinds = {
+        "type": F.col("eventid"), "user": F.col("username"), "pass": F.col("password"),
+        "cmd": F.when(is_command_event(F.col("eventid")), F.col("input")),
+        **{f"first_{n}": F.col(c).cast("string") for n, c in FIRST_VALUES.items() if c in columns},
+    }
+    counts = [F.col(c) for c in COUNT_COLUMNS if c in columns]
+    if counts:
+        kinds["counts"] = F.concat_ws(",", *[F.coalesce(c, F.lit(0)) for c in counts])
     rows = events.select(
-        "session_id", "timestamp", "ord", "eventid", *set(firsts.values()), *counts,
-        F.explode(items).alias("item"),
-    ).withColumns({"kind": F.col("item.kind"), "value": F.col("item.value")})
-
-    is_type = F.col("kind") == "type"
-    failed = (F.col("kind") == "cmd") & (F.col("eventid") == "cowrie.command.failed")
-    typed = (F.col("kind") == "cmd") & (F.col("eventid") == "cowrie.command.input")
-
-    def ordered(column: str) -> Column:
-        return F.min(F.when(is_type & F.col(column).isNotNull(), F.struct("ord", column)))
-
-    aggs = [
+        "session_id", "timestamp", "ord",
+        (F.col("eventid") == "cowrie.command.failed").alias("failed"),
+        (F.col("eventid") == "cowrie.command.input").alias("typed"),
+        *[value.alias(kind) for kind, value in kinds.items()],
+    ).unpivot(
+        ["session_id", "timestamp", "ord", "failed", "typed"], list(kinds), "kind", "value",
+    ).filter("value IS NOT NULL OR kind = 'type'")
+    return rows.groupBy("session_id", "kind", "value").agg(
         F.count("*").alias("n"),
         F.min("timestamp").alias("min_ts"), F.max("timestamp").alias("max_ts"),
         F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"),
-        F.count_if(failed).alias("n_failed"), F.count_if(typed).alias("n_typed"),
-        F.min(F.when(failed, F.col("ord"))).alias("first_failed_ord"),
-        F.max(F.when(failed, F.col("ord"))).alias("last_failed_ord"),
-        *[ordered(c).alias(f"first_{n}") for n, c in firsts.items()],
-    ]
-    if counts:
-        aggs.append(F.max(F.when(is_type, F.struct("ord", *counts))).alias("last_counts"))
-    return rows.groupBy("session_id", "kind", "value").agg(*aggs)
+        F.count_if("failed").alias("n_failed"), F.count_if("typed").alias("n_typed"),
+        F.min(F.when(F.col("failed"), F.col("ord"))).alias("first_failed_ord"),
+        F.max(F.when(F.col("failed"), F.col("ord"))).alias("last_failed_ord"))
 
 
 def sessions(events: DataFrame) -> DataFrame:
     """The full session table."""
-    items = session_items(events)
+    columns = set(events.columns)
     kind, value, n = F.col("kind"), F.col("value"), F.col("n")
     is_type, is_pass, is_cmd = kind == "type", kind == "pass", kind == "cmd"
-    metrics = password_metrics(value)
-    items = items.withColumn("metrics", F.when(is_pass, metrics))
+    items = session_items(events).withColumn("metrics", F.when(is_pass, password_metrics(value)))
     flags = event_flags("value")
 
     def total(condition: Column, amount: Column = n) -> Column:
@@ -167,11 +154,11 @@ def sessions(events: DataFrame) -> DataFrame:
     def pick(condition: Column, order: str, last: bool = False) -> Column:
         return (F.max_by if last else F.min_by)(value, F.when(condition, F.col(order)))
 
-    firsts = [c for c in items.columns if c.startswith("first_") and not c.endswith("_ord")]
+    firsts = {name: c for name, c in FIRST_VALUES.items() if c in columns}
     has_failed = is_cmd & (F.col("n_failed") > 0)
     aggs = [
         F.min("min_ts").alias("session_start"), F.max("max_ts").alias("session_end"),
-        *[F.min(c)[FIRST_VALUES[c[6:]]].alias(c[6:]) for c in firsts],
+        *[pick(kind == f"first_{name}", "first_ord").alias(name) for name in firsts],
         F.count_if(kind == "user").alias("unique_users"),
         F.count_if(is_pass).alias("unique_pass"),
         total(is_cmd).alias("cmd_count"), F.count_if(is_cmd).alias("unique_cmds"),
@@ -189,16 +176,15 @@ def sessions(events: DataFrame) -> DataFrame:
           for c, m in PASSWORD_MEANS.items()],
         *[F.max(flag(is_cmd & (F.col("n_typed") > 0) & contains_any(value, terms))).alias(c)
           for c, terms in COMMAND_TERMS.items()],
+        pick(kind == "counts", "last_ord", last=True).alias("last_counts"),
     ]
-    out = items
-    if "last_counts" in items.columns:
-        aggs.append(F.max("last_counts").alias("last_counts"))
-    out = out.groupBy("session_id").agg(*aggs)
-    if "last_counts" in out.columns:
-        out = out.withColumns({
-            c: F.coalesce(F.col(f"last_counts.{c}"), F.lit(0)).cast("int") for c in COUNT_COLUMNS
-        }).drop("last_counts")
-    return out.withColumn("duration", seconds_between(F.col("session_start"), F.col("session_end")))
+    out = items.groupBy("session_id").agg(*aggs)
+    present = [c for c in COUNT_COLUMNS if c in columns]
+    changes = {c: F.split("last_counts", ",")[i].cast("int") for i, c in enumerate(present)}
+    if "dst_port" in firsts:
+        changes["dst_port"] = F.col("dst_port").cast("double")
+    changes["duration"] = seconds_between(F.col("session_start"), F.col("session_end"))
+    return out.withColumns(changes).drop("last_counts")
 
 
 def extended(events: DataFrame) -> DataFrame:
