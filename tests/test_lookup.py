@@ -51,3 +51,9 @@ def test_hot_key_keeps_every_row(spark, size_limit):
     out = lookup.lookup_join(facts, dim, ["k"])
     assert out.count() == 900 and out.filter("v = 1").count() == 600 and out.filter("v = 2").count() == 1
     assert set(out.columns) == {"id", "k", "v"}
+
+
+def test_facts_may_carry_maps(spark, size_limit):
+    facts = spark.range(10).select("id", F.lit("a").alias("k"), F.create_map(F.lit("x"), F.col("id")).alias("m"))
+    dim = spark.createDataFrame([("a", 1)], "k string, v int")
+    assert lookup.lookup_join(facts, dim, ["k"]).filter("v = 1").count() == 10

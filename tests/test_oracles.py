@@ -33,7 +33,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, float) and math.isnan(value):
         return None

@@ -1,6 +1,6 @@
 """Dimension lookups: equality, validity intervals and address ranges.
 
-A dimension is broadcast only after its row count was checked. A larger one
+A dimension is broadcast only after its rows and size were checked. A larger one
 is joined on its keys plus a salt, so that one key with a third of all facts
 spreads over many tasks.
 """
@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 from trapline.functions.classify import ipv4_number
 
 BROADCAST_ROWS = 100_000
+BROADCAST_CHARS = 64_000_000
 SALTS = 32
 
 
 def is_small(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the dimension has at most ``max_rows`` rows; reads no more than that."""
-    return dim.limit(max_rows + 1).count() <= max_rows
+    """Whether the dimension is short and light; reads no more rows than that."""
+    size = dim.limit(max_rows + 1).agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("chars")).first()
+    return size["rows"] <= max_rows and size["chars"] <= BROADCAST_CHARS
 
 
 def lookup_join(
@@ -33,7 +37,7 @@ def lookup_join(
     """Join facts to a dimension on equal names plus an optional condition.
 
     Dimension columns must not repeat fact names other than ``on``. The salt
-    is a hash of the whole row and so the same after a retry; rows equal in all
+    is a hash of the row and so the same after a retry; rows equal in all
     columns share it, and the adaptive skew split handles those.
     """
     small = is_small(dim, max_rows)
@@ -41,8 +45,9 @@ def lookup_join(
     if small:
         left, right = facts, F.broadcast(right)
     else:
-        left = facts.withColumn(
-            "_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+        # Maps and variants have no hash.
+        hashable = [c for c, kind in facts.dtypes if "map<" not in kind and "variant" not in kind]
+        left = facts.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
         right = right.withColumn("_dim__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on = [*on, "_salt"]
     matched = F.lit(True) if condition is None else condition
