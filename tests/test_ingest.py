@@ -163,3 +163,24 @@ def test_flow_csv_names(spark, tmp_path):
 def test_reduced_defaults_only_for_absent_keys(spark):
     df = spark.createDataFrame([('{"timestamp": "t"}',), ('{"src_ip": null, "eventid": "e"}',), ("bad",)], "value string")
     assert [tuple(r) for r in files.reduced(df).collect()] == [("t", "unknown", "unknown"), (None, None, "e")]
+
+
+def test_lines_to_plan(spark):
+    """The whole chain, from sensor lines to a placement plan."""
+    from trapline.operators import features, sessions
+    from trapline.plans import deploy, profiles
+    from trapline.streaming.ingest import ingest_lines
+
+    docs = [("http", {"event_type": "http.page.visit", "timestamp": f"2024-01-01T{i % 24:02d}:{n:02d}:00Z",
+                      "source_ip": f"8.8.{i}.{n}", "session_id": f"s{i}", "sensor_id": "x"})
+            for i in range(120) for n in range(12)]
+    events, rejects = ingest_lines(lines(spark, *docs))
+    assert rejects.count() == 0
+    history = spark.sql("SELECT 'http' AS honeypot_type, 3 AS cnt, TIMESTAMP '2023-12-01 00:00:00' AS updated_at")
+    flat = store.from_canonical(lookup.active_count(events, history))
+    labelled = profiles.label_profiles(features.feature_table(sessions.sessions(flat)))
+    assert {r["profile"] for r in labelled.select("profile").distinct().collect()} == {"Web Scanner"}
+    plan = deploy.build_plans(labelled.withColumn("plan_id", F.lit("p"))).first()
+    by = dict(zip(deploy.PLAN_SERVICES, plan["current"]))
+    assert by["http"] == 3 and plan["raw"][deploy.PLAN_SERVICES.index("http")] == 100
+    assert sum(plan["recommended"]) == 12

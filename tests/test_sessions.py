@@ -139,3 +139,9 @@ def test_documents_equal_but_for_key_order(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": {"c": 2, "d": 3}}'), (2, '{"b": {"d": 3, "c": 2}, "a": 1}'), (3, "bad")],
                                "id long, raw_json string")
     assert sorted(r["id"] for r in quality.deduplicate_documents(df).collect()) == [1, 3]
+
+
+def test_command_column_can_be_chosen(spark, sample):
+    named = sample.withColumn("command", F.when(F.col("eventid") == "redis.command", "CONFIG"))
+    rows = {r["session_id"]: r["cmd_count"] for r in sessions.sessions(named, command="command").collect()}
+    assert rows == {"a": 0, "b": 1}

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from trapline.catalog.registry import micros, query, rounded, view
 from trapline.fixtures import Tables
-from trapline.operators import analytics, features, sessions
+from trapline.operators import analytics, features, lookup, normalize, sessions
 from trapline.plans import deploy, profiles
 from trapline.schema import PLAN_SERVICES, SERVICES
 from trapline.session import materialise
 from trapline.sources import sinks, store
+from trapline.streaming.ingest import ingest_lines
 
 view("feat0", """
 SELECT * EXCLUDE (ftp_connects, ftp_disconnects, smtp_connects, smtp_ehlo_count), 0 AS ftp_connects, 0 AS ftp_disconnects,
@@ -473,3 +474,21 @@ def _(t: Tables):
     path = sinks.write_table(rows, scratch_path(t.spark, "labelled"), "json")
     text = t.spark.read.schema("session_id string, profile string, session_start string").json(path)
     return store.labelled_sessions(text).withColumn("session_start", micros("session_start"))
+
+
+@query("S08_sessions_from_sensor_lines", """
+SELECT session_id, count(*) AS event_count, count(*) FILTER (WHERE event_type = 'cowrie.login.failed') AS login_fail,
+  count(DISTINCT username) AS unique_users, count(command) FILTER (WHERE contains(event_type, 'command')) AS cmd_count,
+  max(src_ip) AS src_ip
+FROM (SELECT coalesce(nullif(session_id, ''), sha256(source_ip || ':' || event_type || ':'
+          || regexp_replace(timestamp[:13], '[^0-9]', '', 'g'))) AS session_id,
+        event_type, source_ip AS src_ip, CASE WHEN service IN ('ssh', 'ftp', 'mysql') THEN username END AS username,
+        CASE WHEN service = 'ssh' THEN input ELSE command END AS command
+      FROM kept WHERE source_ip IS NOT NULL) GROUP BY session_id""", ["kept"])
+def _(t: Tables):
+    events, _rejects = ingest_lines(t.sensor_lines)
+    flat = store.from_canonical(lookup.active_count(events, t.state_history))
+    # Forwarded commands count here, so the coalescing variant is in use.
+    ready = normalize.with_command(flat, "coalesce")
+    return sessions.sessions(ready, command="command").select(
+        "session_id", "event_count", "login_fail", "unique_users", "cmd_count", "src_ip")

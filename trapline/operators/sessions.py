@@ -111,13 +111,13 @@ def sensor_counts(events: DataFrame, how: str = "last") -> DataFrame:
         *[F.coalesce(agg(c), F.lit(0)).cast("int").alias(c) for c in COUNT_COLUMNS])
 
 
-def session_items(events: DataFrame) -> DataFrame:
+def session_items(events: DataFrame, command: str = "input") -> DataFrame:
     """One row per (session, kind, value): how often, when, and in which order."""
     events = has_session(events)
     columns = set(events.columns)
     kinds = {
         "type": F.col("eventid"), "user": F.col("username"), "pass": F.col("password"),
-        "cmd": F.when(is_command_event(F.col("eventid")), F.col("input")),
+        "cmd": F.when(is_command_event(F.col("eventid")), F.col(command)),
         **{f"first_{n}": F.col(c).cast("string") for n, c in FIRST_VALUES.items() if c in columns},
     }
     counts = [F.col(c) for c in COUNT_COLUMNS if c in columns]
@@ -140,12 +140,15 @@ def session_items(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("failed"), F.col("ord"))).alias("last_failed_ord"))
 
 
-def sessions(events: DataFrame) -> DataFrame:
-    """The full session table."""
+def sessions(events: DataFrame, command: str = "input") -> DataFrame:
+    """The full session table.
+
+    ``command`` names the column that holds command texts.
+    """
     columns = set(events.columns)
     kind, value, n = F.col("kind"), F.col("value"), F.col("n")
     is_type, is_pass, is_cmd = kind == "type", kind == "pass", kind == "cmd"
-    items = session_items(events).withColumn("metrics", F.when(is_pass, password_metrics(value)))
+    items = session_items(events, command).withColumn("metrics", F.when(is_pass, password_metrics(value)))
     flags = event_flags("value")
 
     def total(condition: Column, amount: Column = n) -> Column:

@@ -81,11 +81,15 @@ def read_nested(
     listed = F.from_json("value", T.ArrayType(SESSION_MAP))
     single = F.array(F.from_json("value", SESSION_MAP))
     opens_map = F.ltrim("value").startswith("{")
-    sessions = docs.select(
-        "_source_file", F.explode(F.when(opens_map, single).otherwise(listed)).alias("entry"))
-    events = (sessions
-              .select("_source_file", F.explode("entry").alias("entry_session", "events"))
-              .select("_source_file", "entry_session", F.explode("events").alias("e")))
+    entries = docs.select(
+        "_source_file",
+        F.posexplode(F.when(opens_map, single).otherwise(listed)).alias("entry_pos", "entry"))
+    events = (entries
+              .select("_source_file", "entry_pos", F.explode("entry").alias("entry_session", "events"))
+              .select("_source_file", "entry_pos", "entry_session",
+                      F.posexplode("events").alias("event_pos", "e")))
+    # Position within the document: entry first, then event.
+    order = F.shiftleft(F.col("entry_pos").cast("long"), 32) + F.col("event_pos")
     geo = F.col("e.geolocation_data")
     flat = events.select(
         *[F.col(f"e.{f.name}") for f in NESTED_EVENT.fields
@@ -95,7 +99,7 @@ def read_nested(
         geo["region_name"].alias("geo_region"), geo["latitude"].alias("geo_latitude"),
         geo["longitude"].alias("geo_longitude"), geo["timezone"].alias("geo_timezone"),
         geo["location"]["lat"].alias("geo_loc_lat"), geo["location"]["lon"].alias("geo_loc_lon"),
-        "_source_file", F.lit("cowrie").alias("source"))
+        "_source_file", F.lit("cowrie").alias("source"), order.alias("ord"))
     return flat if max_events is None else flat.limit(max_events)
 
 

@@ -58,6 +58,25 @@ def flatten(logs: DataFrame, payload_fields: list[str] | None = None) -> DataFra
     )
 
 
+def from_canonical(events: DataFrame, payload_fields: list[str] | None = None) -> DataFrame:
+    """Canonical events with their count snapshot to flat events.
+
+    The newest event comes first in ``ord``, as in the stored feed. Shell and
+    cache commands arrive as ``command``, queries as ``query``.
+    """
+    fields = payload_fields or ["protocol", "username", "password", "input", "command", "query"]
+
+    def text(name: str) -> Column:
+        return F.try_element_at("payload", F.lit(name))
+
+    return events.select(
+        (-F.unix_micros("event_time")).alias("ord"), F.col("event_time").alias("timestamp"),
+        "session_id", "src_ip", F.col("sensor_id").alias("sensor"), F.col("event_type").alias("eventid"),
+        *[text(f).alias(f) for f in fields],
+        *service_counts(F.col("event_type"), F.col("active_honeypot_count")),
+        F.lit("sensor").alias("source"))
+
+
 def labelled_sessions(sessions: DataFrame) -> DataFrame:
     """Labelled sessions with ``session_start`` as a timestamp."""
     if dict(sessions.dtypes).get("session_start") == "string":
