@@ -298,7 +298,7 @@ def source_stats(logs: DataFrame) -> DataFrame:
 
 def composition(state: DataFrame) -> DataFrame:
     """Latest count per service in known order, unknown ones last, with total."""
-    latest = state.groupBy("honeypot_type").agg(F.max_by("cnt", "updated_at").alias("cnt"))
+    latest = state.groupBy("honeypot_type").agg(F.max(F.struct("updated_at", "cnt"))["cnt"].alias("cnt"))
     order = F.coalesce(
         F.nullif(F.array_position(F.array(*map(F.lit, SERVICES)), F.col("honeypot_type")), F.lit(0)),
         F.lit(len(SERVICES) + 1))

@@ -59,7 +59,8 @@ def lookup_join(
 
 def validity(history: DataFrame, keys: list[str], start: str) -> DataFrame:
     """History rows with ``valid_to``: the start of the key's next row, or NULL."""
-    order = Window.partitionBy(*keys).orderBy(start)
+    rest = [c for c in history.columns if c not in (*keys, start)]
+    order = Window.partitionBy(*keys).orderBy(start, *rest)
     return history.withColumn("valid_to", F.lead(start).over(order))
 
 

@@ -69,12 +69,12 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def first_known(column: str, order: str = "ord") -> Column:
-    """Value of the earliest row in which the column is known."""
-    return F.min_by(column, F.when(F.col(column).isNotNull(), F.col(order)))
+    """Value of the earliest row in which the column is known; ties take the least value."""
+    return F.min_by(column, F.when(F.col(column).isNotNull(), F.struct(order, column)))
 
 
 def last_known(column: str, order: str = "ord") -> Column:
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order)))
+    return F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(order, column)))
 
 
 def bounds(events: DataFrame) -> DataFrame:
@@ -155,7 +155,8 @@ def sessions(events: DataFrame, command: str = "input") -> DataFrame:
         return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0)).cast("long")
 
     def pick(condition: Column, order: str, last: bool = False) -> Column:
-        return (F.max_by if last else F.min_by)(value, F.when(condition, F.col(order)))
+        # The value breaks ties, so that equal order numbers give one answer.
+        return (F.max_by if last else F.min_by)(value, F.when(condition, F.struct(order, "value")))
 
     firsts = {name: c for name, c in FIRST_VALUES.items() if c in columns}
     has_failed = is_cmd & (F.col("n_failed") > 0)

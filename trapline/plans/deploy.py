@@ -260,7 +260,8 @@ def latest_state(reports: DataFrame) -> DataFrame:
     """Latest valid count of each service."""
     good, _ = check_state(reports)
     return good.groupBy("honeypot_type").agg(
-        F.max_by("cnt", "updated_at").alias("cnt"), F.max("updated_at").alias("updated_at"))
+        F.max(F.struct("updated_at", "cnt"))["cnt"].alias("cnt"),
+        F.max("updated_at").alias("updated_at"))
 
 
 def check_overrides(overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
