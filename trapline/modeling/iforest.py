@@ -8,17 +8,22 @@ partitioning.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.modeling.stats import quantiles
 from trapline.session import materialise, spread
 
+# Executors need not have this package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values -----------------------------------------------------------
 TREES = 100
 SAMPLE = 256
@@ -64,6 +69,24 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator, limit: int) -> list[tu
     return nodes
 
 
+def path_lengths(nodes: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Mean path length of each row over all trees."""
+    total = np.zeros(len(rows))
+    every = np.arange(len(rows))
+    for root in nodes["root"]:
+        at = np.full(len(rows), root)
+        while True:
+            feature = nodes["feature"][at]
+            inner = feature >= 0
+            if not inner.any():
+                break
+            value = rows[every, np.where(inner, feature, 0)]
+            step = np.where(value <= nodes["threshold"][at], nodes["left"][at], nodes["right"][at])
+            at = np.where(inner, step, at)
+        total += nodes["length"][at]
+    return total / len(nodes["root"])
+
+
 @dataclass(frozen=True)
 class Forest:
     """Fitted trees; at most 511 nodes each."""
@@ -73,35 +96,17 @@ class Forest:
     sample: int
     offset: float | None = None
 
-    def path_lengths(self, rows: np.ndarray) -> np.ndarray:
-        """Mean path length of each row over all trees."""
-        n = self.nodes
-        total = np.zeros(len(rows))
-        every = np.arange(len(rows))
-        for root in range(self.trees):
-            at = np.full(len(rows), n["root"][root])
-            while True:
-                feature = n["feature"][at]
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                value = rows[every, np.where(inner, feature, 0)]
-                step = np.where(value <= n["threshold"][at], n["left"][at], n["right"][at])
-                at = np.where(inner, step, at)
-            total += n["length"][at]
-        return total / self.trees
-
     def score(self, df: DataFrame, array: str, output: str) -> DataFrame:
         """Add the score: -1 is most abnormal, 0 most normal."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
+        shared = df.sparkSession.sparkContext.broadcast(self.nodes)
         scale = mean_path(self.sample) or 1.0
 
         @F.pandas_udf("double")
         def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            forest = shared.value
+            nodes = shared.value
             for batch in batches:
                 rows = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, 1))
-                yield pd.Series(-np.power(2.0, -forest.path_lengths(rows) / scale))
+                yield pd.Series(-np.power(2.0, -path_lengths(nodes, rows) / scale))
 
         return df.withColumn(output, udf(F.col(array)))
 
