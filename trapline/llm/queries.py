@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import chat, common, minhash, pii, secrets, sentencepieces, token_counts, toxicity, winnow
+from trapline.llm import chat, common, hnsw, minhash, pii, secrets, sentencepieces, suffixes, token_counts, toxicity, winnow
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_texts")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(common.table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(common.table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -34,6 +38,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(spelled(F.col("base"), "kind"), 256).alias("base_sha256"), spelled(F.col("spans"), "kind").alias("spans"))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = sentencepieces.encoded_digests(common.table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
     return encoded.withColumnRenamed("id", "doc_id")
@@ -99,7 +107,7 @@ CHAT_SQL = f"""
 
 def queries():
     return {f.__name__: f for f in (
-        op1_near_duplicates, op3_pii, op5_sentencepiece, op6_secrets, op7_token_counts, op8_toxicity, op9_decontamination, op10_chat)}
+        op1_near_duplicates, op2_nearest, op3_pii, op4_repeated_bytes, op5_sentencepiece, op6_secrets, op7_token_counts, op8_toxicity, op9_decontamination, op10_chat)}
 
 
 def oracle_sql():
