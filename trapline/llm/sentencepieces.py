@@ -3,8 +3,8 @@
 Each stretch of a text that no piece can reach across is merged on its own: an
 agenda of adjacent symbol pairs, ordered by score and then from the left, says
 which pair joins next. Symbols that end up outside the vocabulary become byte
-pieces. Every distinct stretch is also encoded by the sentencepiece library, and
-every text is decoded by it, and the results are compared in the same Arrow batch.
+pieces. Every distinct stretch is also encoded, and its ids decoded, by the sentencepiece
+library in the same Arrow batch, and the results are compared.
 
 Defined cases: null is the empty text, which has only the end id; a text of any
 length is encoded whole (a stretch without any break costs n log n); repeated rows
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from trapline.llm import common
 
 SPACE = "▁"
-CACHE = 150_000  # distinct stretches a Python worker keeps
+CACHE = 800_000  # distinct stretches a Python worker keeps
 
 
 class Vocabulary:
@@ -48,7 +48,9 @@ class Vocabulary:
         spanning = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids if len(p) > 1)
         self.stretches = re.compile("(?s).+" if spanning else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         self.lead = self.library.encode("\n")
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, str] = {}
+        self.altered: dict[str, str] = {}
+        self.doubtful: set[str] = set()
 
     def merge(self, stretch: str) -> list[str]:
         return self._merge_long(stretch) if len(stretch) > 64 else self._merge_short(stretch)
@@ -113,31 +115,37 @@ class Vocabulary:
         return out.decode("utf-8", "replace").replace(SPACE, " ")
 
     def learn(self, stretches: set[str]) -> None:
-        """Encodes the stretches not known yet and holds them against the library."""
+        """Encodes the stretches not known yet and holds ids and decoded texts against the library."""
         new = [s for s in stretches if s not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known = {s: self.known[s] for s in stretches if s in self.known}
+        ids = [self.encode_stretch(s) for s in new]
         # The line end keeps the library's own leading space mark apart from the stretch.
-        theirs = self.library.encode(["\n" + s.replace(SPACE, " ") for s in new], num_threads=1)
-        for s, other in zip(new, theirs):
-            ids = self.encode_stretch(s)
-            agrees = other == self.lead + ids
-            self.known[s] = (ids, " ".join(map(str, ids)), self.decode_ids(ids), agrees)
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], str, str, bool]]:
-        """For each text its ids with the end id, those as text, the decoded text, and whether the library agrees."""
+        encoded = self.library.encode(["\n" + s.replace(SPACE, " ") for s in new], num_threads=1)
+        decoded = self.library.decode([self.lead + i for i in ids]) if new else []
+        for s, own, other, text in zip(new, ids, encoded, decoded):
+            mine = self.decode_ids(own)
+            if other != self.lead + own or text != "\n" + mine:
+                self.doubtful.add(s)
+            if mine != s.replace(SPACE, " "):
+                self.altered[s] = mine
+            self.known[s] = " ".join(map(str, own))
+
+    def encode(self, texts: list[str]) -> list[tuple[str, str, bool]]:
+        """For each text its ids with the end id, spelled out, the text they decode to, and whether the library agrees."""
         split = [self.stretches.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         self.learn({s for parts in split for s in parts})
-        known, out = self.known, []
-        for parts in split:
-            entries = [known[s] for s in parts]
-            ids = [i for e in entries for i in e[0]]
-            ids.append(self.end)
-            spelled = " ".join([*[e[1] for e in entries], str(self.end)])
-            decoded = "".join([e[2] for e in entries])[1:]
-            out.append((ids, spelled, decoded, all([e[3] for e in entries])))
-        theirs = self.library.decode([x[0] for x in out]) if out else []
-        return [(ids, spelled, decoded, agrees and decoded == other) for (ids, spelled, decoded, agrees), other in zip(out, theirs)]
+        known, out, end = self.known, [], str(self.end)
+        for text, parts in zip(texts, split):
+            spelled = " ".join([known[s] for s in parts])
+            if self.altered:
+                decoded = "".join([self.altered.get(s, s) for s in parts]).replace(SPACE, " ")[1:]
+            else:
+                # Every stretch decodes to itself, so the text does.
+                decoded = text.replace(SPACE, " ")
+            agrees = not self.doubtful or self.doubtful.isdisjoint(parts)
+            out.append((f"{spelled} {end}" if spelled else end, decoded, agrees))
+        return out
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -165,15 +173,15 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, row, schema:
 
 def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids, decoded, agrees``: ids with the end id, the text they decode to, and the library's verdict."""
-    return _encoded(df, id_col, text_col, path, lambda ids, _, decoded, ok: (ids, decoded, ok),
+    return _encoded(df, id_col, text_col, path, lambda spelled, decoded, ok: (list(map(int, spelled.split())), decoded, ok),
                     "ids array<int>, decoded string, agrees boolean",
                     [("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("agrees", pa.bool_())])
 
 
 def encoded_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256, agrees``, without moving the ids out of the worker."""
-    def row(ids, spelled, decoded, ok):
-        return len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ok
+    def row(spelled, decoded, ok):
+        return spelled.count(" ") + 1, hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ok
 
     return _encoded(df, id_col, text_col, path, row,
                     "n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean",
