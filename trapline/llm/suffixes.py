@@ -82,11 +82,12 @@ def _anchors(length: int, k: int):
                 sure = count[back] > 1
                 more = np.ones(len(value), dtype=bool)
                 more[first] = False
-                # The others need no further proof; a hash of their own spreads them.
-                value[more] = common.mix(common.mix(node[more].astype(np.uint64)) + place[more].astype(np.uint64))
+                # The others need no further proof; a key of their own spreads them.
+                apart = value.copy()
+                apart[more] = common.mix(common.mix(node[more].astype(np.uint64)) + place[more].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.astype(np.int64)), pa.array(node, pa.int64()), pa.array(place, pa.int32()), pa.array(sure),
-                     pa.array(np.where(more, 1, count[back]), pa.int32())], ["h", "node", "pos", "sure", "n"])
+                    [pa.array(apart.astype(np.int64)), pa.array(value.astype(np.int64)), pa.array(node, pa.int64()), pa.array(place, pa.int32()),
+                     pa.array(sure), pa.array(np.where(more, 0, count[back]), pa.int32())], ["key", "h", "node", "pos", "sure", "n"])
 
     return run
 
@@ -395,11 +396,14 @@ def repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     (source.select("tid", "text").join(nodes, "tid").dropDuplicates(["tid"]).select("tid", "node", "first", "text")
      .write.bucketBy(parts, "tid").saveAsTable(name))
     texts = spark.table(name)
-    anchors = texts.select("node", "text").mapInArrow(_anchors(length, k), "h long, node long, pos int, sure boolean, n int")
-    among = Window.partitionBy("h")
-    counted = (anchors.withColumn("many", F.count("*").over(among)).withColumn("total", F.sum("n").over(among))
-               .where((F.col("many") > 1) | F.col("sure")))
-    found = materialise(counted.select("node", "pos", (F.col("total") > hot).alias("hot")).groupBy("node", "hot")
+    anchors = texts.select("node", "text").mapInArrow(_anchors(length, k), "key long, h long, node long, pos int, sure boolean, n int")
+    among = Window.partitionBy("key")
+    counted = materialise(anchors.withColumn("many", F.count("*").over(among)).withColumn("total", F.sum("n").over(among))
+                          .where((F.col("many") > 1) | F.col("sure")).select("h", "node", "pos", "n", "total"), "repeated-samples")
+    # All samples of a hash go one way: a batch's representatives say which.
+    frequent = counted.where((F.col("n") > 0) & (F.col("total") > hot)).select("h").distinct().withColumn("hot", F.lit(True))
+    marked = counted.join(frequent, "h", "left").select("node", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))
+    found = materialise(marked.groupBy("node", "hot")
                         .agg(F.collect_list("pos").alias("places")).join(nodes.select("node", "tid"), "node"), "samples")
     read = found.select("tid", "hot", "places").join(texts, "tid").select("node", "first", "text", "places", "hot")
     covers = (read.where(~F.col("hot")).drop("hot").mapInArrow(_runs(length, k, parts), SCHEMA)

@@ -138,18 +138,22 @@ def _counted(n: int, flush: int = 300_000):
     return run
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, ...]:
-    """Logistic regression by Newton steps, slightly held to small weights."""
-    x = np.column_stack([np.ones(len(x)), x])
+def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, ...]:
+    """Logistic regression by damped Newton steps, slightly held to small weights on the features' own scales."""
+    scale = np.maximum(x.std(axis=0), 1e-9)
+    x = np.column_stack([np.ones(len(x)), x / scale])
+    pull = np.diag([1e-6] + [0.05] * (x.shape[1] - 1))
+    loss = lambda b: np.logaddexp(0, x @ b).sum() - y @ (x @ b) + b @ pull @ b / 2
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        pull = np.diag([1e-6] + [1e-2] * (x.shape[1] - 1))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (y - p) - pull @ beta)
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-9)[:, None]).T @ x + pull, x.T @ (y - p) - pull @ beta)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step /= 2
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(b) for b in beta)
+    return float(beta[0]), *(float(b) for b in beta[1:] / scale)
 
 
 def learn(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
