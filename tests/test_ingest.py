@@ -184,3 +184,13 @@ def test_lines_to_plan(spark):
     by = dict(zip(deploy.PLAN_SERVICES, plan["current"]))
     assert by["http"] == 3 and plan["raw"][deploy.PLAN_SERVICES.index("http")] == 100
     assert sum(plan["recommended"]) == 12
+
+
+def test_a_broken_stored_document_does_not_end_the_job(spark):
+    from trapline.sources import store
+
+    rows = [(1, 0, '{"event_type": "ssh.login", "payload": {"username": "a"}}'), (2, 0, "{broken"), (3, 0, None)]
+    logs = spark.createDataFrame(rows, "id long, active_honeypot_count int, raw_json string")
+    flat = {r.id: (r.eventid, r.username) for r in store.flatten(logs).collect()}
+    assert flat == {1: ("ssh.login", "a"), 2: (None, None), 3: (None, None)}
+    assert {r.id: r.reject_reason for r in store.broken_documents(logs).collect()} == {2: "not JSON", 3: "no document"}

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import random
 
 import pytest
@@ -57,3 +59,12 @@ def test_facts_may_carry_maps(spark, size_limit):
     facts = spark.range(10).select("id", F.lit("a").alias("k"), F.create_map(F.lit("x"), F.col("id")).alias("m"))
     dim = spark.createDataFrame([("a", 1)], "k string, v int")
     assert lookup.lookup_join(facts, dim, ["k"]).filter("v = 1").count() == 10
+
+
+def test_intervals_without_end_and_with_a_far_one(spark):
+    facts = spark.createDataFrame([(i, datetime(2024, 1, i)) for i in (1, 5, 9)], "n int, moment timestamp")
+    spans = spark.createDataFrame(
+        [("far", datetime(2024, 1, 4), datetime(9999, 1, 1)), ("open", datetime(2024, 1, 8), None), ("past", datetime(2020, 1, 1), datetime(2020, 1, 2))],
+        "name string, since timestamp, until timestamp")
+    joined = lookup.interval_join(facts, spans, [], "moment", "since", "until")
+    assert sorted((r.n, r.name or "") for r in joined.collect()) == [(1, ""), (5, "far"), (9, "far"), (9, "open")]

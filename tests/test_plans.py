@@ -190,3 +190,21 @@ def test_redistribution_deltas_sum_up(spark):
     assert sum(r["delta"] for r in rows) == 0
     assert {r["service"]: r["delta"] for r in rows}["ssh"] == -10
     assert {r["service"]: r["replicas"] for r in deploy.target_table(good).collect()}["ftp"] == 1
+
+
+def test_a_replaced_override_no_longer_holds(spark, monkeypatch):
+    from datetime import datetime
+
+    monkeypatch.setattr(deploy, "build_plans", lambda known: known.select("session_id"))
+    sessions = spark.createDataFrame([("s", datetime(2024, 1, 1))], "session_id string, session_start timestamp")
+    asof = F.lit("2024-01-05 00:00:00").cast("timestamp")
+
+    def plans(*rows):
+        overrides = spark.createDataFrame([(a, b, {"ssh": 1.0}) for a, b in rows], "set_at timestamp, expires_at timestamp, weights map<string,double>")
+        return deploy.refresh_plans(sessions, asof, overrides).count()
+
+    first = (datetime(2024, 1, 1), datetime(2024, 1, 10))
+    assert plans(first) == 0
+    assert plans(first, (datetime(2024, 1, 2), datetime(2024, 1, 3))) == 1
+    assert plans((datetime(2024, 1, 2), None)) == 0
+    assert plans() == 1

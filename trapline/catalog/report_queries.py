@@ -8,7 +8,6 @@ from trapline.catalog.ingest_queries import MAP_SEVERITY
 from trapline.catalog.registry import micros, query, rounded, view
 from trapline.fixtures import Tables
 from trapline.operators import analytics, geo, lookup, quality, sessions
-from trapline.schema import KNOWN_EVENT_TYPES
 from trapline.sources import files
 
 ASOF = "2024-01-30 00:00:00"
@@ -274,9 +273,27 @@ def _(t: Tables):
         F.count("*").alias("n"), F.count("session_id").alias("sessions"), F.count("payload").alias("payloads"))
 
 
-@query("U02_all_event_types", f"""
-SELECT DISTINCT event_type FROM (SELECT event_type FROM raw_logs
-  UNION ALL SELECT unnest([{', '.join(f"'{e}'" for e in KNOWN_EVENT_TYPES)}]))""")
+@query("U02_all_event_types", """
+SELECT DISTINCT event_type FROM (SELECT event_type FROM raw_logs WHERE length(event_type) > 0
+  UNION ALL SELECT 'cowrie.command.input'
+  UNION ALL SELECT 'cowrie.direct-tcpip.request'
+  UNION ALL SELECT 'cowrie.login.success'
+  UNION ALL SELECT 'cowrie.session.closed'
+  UNION ALL SELECT 'cowrie.session.connect'
+  UNION ALL SELECT 'ftp.login.success'
+  UNION ALL SELECT 'ftp.session.connect'
+  UNION ALL SELECT 'ftp.session.disconnect'
+  UNION ALL SELECT 'http.page.visit'
+  UNION ALL SELECT 'http.scan.probe'
+  UNION ALL SELECT 'mysql.session.connect'
+  UNION ALL SELECT 'mysql.session.end'
+  UNION ALL SELECT 'redis.session.connect'
+  UNION ALL SELECT 'redis.session.disconnect'
+  UNION ALL SELECT 'smtp.ehlo'
+  UNION ALL SELECT 'smtp.login.attempt'
+  UNION ALL SELECT 'smtp.session.connect'
+  UNION ALL SELECT 'smtp.session.disconnect'
+  UNION ALL SELECT 'ssh.login.attempt')""")
 def _(t: Tables):
     return analytics.all_event_types(t.raw_logs)
 

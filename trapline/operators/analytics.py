@@ -10,7 +10,7 @@ from trapline.functions.clock import age_text
 from trapline.functions.text import command_text
 from trapline.operators.filters import contains_text, last_hours, public_sources, session_events
 from trapline.operators.normalize import event_flags
-from trapline.schema import EVENT_PREFIX, KNOWN_EVENT_TYPES, SERVICES
+from trapline.schema import EVENT_PREFIX, SEARCH_EVENT_TYPES, SERVICES
 
 UNKNOWN = "unknown"
 
@@ -257,7 +257,7 @@ def commands_per_session(logs: DataFrame) -> DataFrame:
 
 def all_event_types(logs: DataFrame) -> DataFrame:
     """Known and observed event types, sorted."""
-    known = logs.sparkSession.createDataFrame([(e,) for e in KNOWN_EVENT_TYPES], "event_type string")
+    known = logs.sparkSession.createDataFrame([(e,) for e in SEARCH_EVENT_TYPES], "event_type string")
     seen = logs.select("event_type").filter(F.length("event_type") > 0)
     return seen.union(known).distinct().orderBy("event_type")
 

@@ -76,12 +76,17 @@ def interval_join(
     """Match ``start <= moment < end`` for closed intervals.
 
     Both sides meet on the calendar day, so no key is compared with all of its
-    intervals.
+    intervals. An interval without an end stays open. Only the days that ``facts``
+    spans are written out, however far an interval reaches.
     """
-    days = F.sequence(F.to_date(start), F.to_date(end), F.expr("interval 1 day"))
-    by_day = (intervals.filter(F.col(start) < F.col(end))
-              .withColumn("_day", F.explode(days)))
-    inside = (F.col(moment) >= F.col(start)) & (F.col(moment) < F.col(end))
+    range_of = facts.select(F.min(F.to_date(moment)).alias("low"), F.max(F.to_date(moment)).alias("high"))
+    low, high = range_of.select("low").scalar(), range_of.select("high").scalar()
+    bounded = (intervals.filter(F.coalesce(F.col(start) < F.col(end), F.col(start).isNotNull()))
+               .withColumn("_low", F.greatest(F.to_date(start), low))
+               .withColumn("_high", F.least(F.coalesce(F.to_date(end), high), high)))
+    by_day = (bounded.filter("_low <= _high")
+              .withColumn("_day", F.explode(F.sequence("_low", "_high", F.expr("interval 1 day")))).drop("_low", "_high"))
+    inside = (F.col(moment) >= F.col(start)) & F.coalesce(F.col(moment) < F.col(end), F.lit(True))
     facts = facts.withColumn("_day", F.to_date(moment))
     return lookup_join(facts, by_day, [*on, "_day"], inside, how).drop("_day")
 

@@ -310,7 +310,9 @@ def refresh_plans(sessions: DataFrame, asof: Column, overrides: DataFrame | None
     known = sessions.filter(F.col("session_start") <= asof)
     if overrides is not None:
         good, _ = check_overrides(overrides)
-        newest = good.filter(F.col("set_at") <= asof).agg(F.max("expires_at").alias("e"))
-        held = newest.select(F.coalesce(F.col("e") > asof, F.lit(False))).scalar()
+        # A new override replaces the one before; one without an end holds until it is replaced.
+        newest = good.filter(F.col("set_at") <= asof).agg(F.max_by(F.struct("expires_at"), "set_at").alias("o"))
+        holds = F.col("o").isNotNull() & F.coalesce(F.col("o.expires_at") > asof, F.lit(True))
+        held = newest.select(holds).scalar()
         known = known.filter(~held)
     return build_plans(known).withColumn("asof", asof)

@@ -50,6 +50,29 @@ CORE_COLUMNS = {
     "destfile": "string",
 }
 
+# Event types the search page always offers.
+SEARCH_EVENT_TYPES = [
+    "cowrie.command.input",
+    "cowrie.direct-tcpip.request",
+    "cowrie.login.success",
+    "cowrie.session.closed",
+    "cowrie.session.connect",
+    "ftp.login.success",
+    "ftp.session.connect",
+    "ftp.session.disconnect",
+    "http.page.visit",
+    "http.scan.probe",
+    "mysql.session.connect",
+    "mysql.session.end",
+    "redis.session.connect",
+    "redis.session.disconnect",
+    "smtp.ehlo",
+    "smtp.login.attempt",
+    "smtp.session.connect",
+    "smtp.session.disconnect",
+    "ssh.login.attempt",
+]
+
 # Event types the sensors are known to emit.
 EVENT_TYPES = {
     "ssh": [

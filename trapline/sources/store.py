@@ -31,10 +31,11 @@ def flatten(logs: DataFrame, payload_fields: list[str] | None = None) -> DataFra
     """Stored JSON documents to flat events.
 
     Payload values replace ``timestamp`` and ``sensor``; for session, type and
-    source the document's own value wins.
+    source the document's own value wins. A document that is not JSON gives an
+    event without values; ``broken_documents`` lists those.
     """
     fields = payload_fields or ["protocol", "username", "password", "input"]
-    doc = F.parse_json("raw_json")
+    doc = F.try_parse_json("raw_json")
 
     def text(path: str) -> Column:
         return F.try_variant_get("doc", path, "string")
@@ -58,6 +59,12 @@ def flatten(logs: DataFrame, payload_fields: list[str] | None = None) -> DataFra
     )
 
 
+def broken_documents(logs: DataFrame) -> DataFrame:
+    """Stored rows whose document cannot be read, with the reason."""
+    reason = F.when(F.col("raw_json").isNull(), "no document").when(F.try_parse_json("raw_json").isNull(), "not JSON")
+    return logs.withColumn("reject_reason", reason).filter("reject_reason IS NOT NULL")
+
+
 def from_canonical(events: DataFrame, payload_fields: list[str] | None = None) -> DataFrame:
     """Canonical events with their count snapshot to flat events.
 
