@@ -9,7 +9,8 @@ from the seeds, and instances of confident patterns are reported as ``context``.
 
 Defined cases: null and empty texts have no findings; a null id is kept; repeated
 rows get the same findings each and count each time; empty tables give empty
-results. Only the named columns are read.
+results. Only the named columns are read. Counts are over all rows, copies included;
+context spans that a base span overlaps are left out.
 """
 
 from __future__ import annotations
@@ -57,22 +58,10 @@ def _valid(kind: Column, match: Column) -> Column:
             .otherwise(True))
 
 
-def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Begin and end of each match, from rows ``i, p`` of ``spans.pieces``."""
-    upto = F.sum(F.length("p.gap") + F.coalesce(F.length("p.match"), F.lit(0))).over(Window.partitionBy(*keys).orderBy("i"))
-    end = upto.cast("int")
-    return rows.withColumn("end", end).withColumn("begin", F.col("end") - F.length("p.match"))
-
-
-def base_spans(texts: DataFrame) -> DataFrame:
-    """``tid, kind, begin, end`` of the base kinds; ``texts`` has distinct ``tid`` and ``text``."""
-    found = texts.select("tid", *[spans.pieces(F.col("text"), PATTERNS[k]).alias(k) for k in KINDS])
-    # Most digits are no card: a text without one long enough is left out before any row is made.
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("parts")) for k in KINDS])
-    some = F.filter(each, lambda x: F.exists(x["parts"], lambda p: p["match"].isNotNull() & _valid(x["kind"], p["match"])))
-    rows = (found.select("tid", F.explode(some).alias("x")).select("tid", "x.kind", F.posexplode("x.parts").alias("i", "p")))
-    placed = _placed(rows, ["tid", "kind"])
-    return placed.where(F.col("p.match").isNotNull() & _valid(F.col("kind"), F.col("p.match"))).select("tid", "kind", "begin", "end")
+def _placed(marks: DataFrame, keys: list[str]) -> DataFrame:
+    """Begin and end of each mark, from rows ``i, p`` of one text and kind."""
+    upto = F.sum(F.col("p.gap") + F.coalesce("p.size", F.lit(0))).over(Window.partitionBy(*keys).orderBy("i"))
+    return marks.withColumn("end", upto.cast("int")).withColumn("begin", F.col("end") - F.col("p.size"))
 
 
 def _plain(word: Column) -> Column:
@@ -80,33 +69,66 @@ def _plain(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", ""))
 
 
-def instances(texts: DataFrame) -> DataFrame:
-    """``tid, begin, end, instance, pattern, seed`` of every identifier-like run of words."""
-    rows = (texts.select("tid", spans.pieces(F.col("text"), INSTANCE).alias("parts")).where(F.col("parts").isNotNull())
-            .select("tid", F.posexplode("parts").alias("i", "p")))
-    placed = _placed(rows, ["tid"]).where(F.col("p.match").isNotNull())
-    head = F.length(F.regexp_extract("p.match", r"^[^\p{L}\p{N}+(]*+", 0))
-    core = F.regexp_replace(F.substring("p.match", head + 1, F.length("p.match")), r"[^\p{L}\p{N}]++$", "")
-    before = _plain(F.element_at(F.split(F.rtrim(F.regexp_replace("p.gap", r"\s", " ")), " "), -1))
-    out = placed.select("tid", (F.col("begin") + head).alias("begin"), (F.col("begin") + head + F.length(core)).alias("end"),
-                        core.alias("instance"), before.alias("pattern"), F.col("p.match").rlike(SEED).alias("seed"))
-    telling = F.col("seed") | (F.length(_digits(F.col("instance"))) >= 6)
-    return out.where(telling & (F.col("pattern") != ""))
+def _base_mark(kind: str):
+    """Lengths of a match and of the gap before it, and whether the match counts; the texts stay behind."""
+    return lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("size"),
+                              (p["match"].isNotNull() & _valid(F.lit(kind), p["match"])).alias("told"))
+
+
+def _instance_mark(p: Column) -> Column:
+    """An identifier-like run of words without marks around it, and the word before."""
+    head = F.length(F.regexp_extract(p["match"], r"^[^\p{L}\p{N}+(]*+", 0))
+    core = F.regexp_replace(F.substr(p["match"], head + 1), r"[^\p{L}\p{N}]++$", "")
+    before = _plain(F.substring_index(F.rtrim(F.translate(p["gap"], "\t\n\x0b\f\r", " " * 5)), " ", -1))
+    seed = p["match"].rlike(SEED)
+    told = F.coalesce((seed | (F.length(_digits(core)) >= 6)) & (before != ""), F.lit(False))
+    return F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("size"), told.alias("told"), head.alias("head"),
+                    F.when(told, core).alias("instance"), F.when(told, before).alias("pattern"), F.when(told, seed).alias("seed"))
+
+
+def marks(documents: DataFrame, text: Column) -> DataFrame:
+    """``tid, n`` and the marks of every kind, for each different text that has any; ``n`` counts its copies.
+
+    Marks hold lengths and identifiers, so no text is shuffled; copies combine before the shuffle.
+    """
+    kinds = [F.transform(spans.pieces(text, PATTERNS[k]), _base_mark(k)).alias(k) for k in KINDS]
+    found = documents.select(common.digest(text).alias("tid"), *kinds, F.transform(spans.pieces(text, INSTANCE), _instance_mark).alias("context"))
+    # Most digits are no card: a kind without one match that counts is left out before any row is made.
+    names = [*KINDS, "context"]
+    some = found.select("tid", *[F.when(F.exists(k, lambda p: p["told"]), F.col(k)).alias(k) for k in names])
+    return (some.where(F.greatest(*[F.col(k).isNotNull() for k in names]))
+            .groupBy("tid").agg(F.count("*").alias("n"), F.first(F.struct(*names)).alias("m")).select("tid", "n", "m.*"))
+
+
+def base_spans(marked: DataFrame) -> DataFrame:
+    """``tid, kind, begin, end`` of the base kinds."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("parts")) for k in KINDS])
+    rows = marked.select("tid", F.explode(each).alias("x")).select("tid", "x.kind", F.posexplode("x.parts").alias("i", "p"))
+    return _placed(rows, ["tid", "kind"]).where("p.told").select("tid", "kind", "begin", "end")
+
+
+def instances(marked: DataFrame) -> DataFrame:
+    """``tid, n, begin, end, instance, pattern, seed`` of every identifier-like run of words."""
+    placed = _placed(marked.select("tid", "n", F.posexplode("context").alias("i", "p")), ["tid"]).where("p.told")
+    begin = F.col("begin") + F.col("p.head")
+    return placed.select("tid", "n", begin.alias("begin"), (begin + F.length("p.instance")).alias("end"), "p.instance", "p.pattern", "p.seed")
+
+
+def occurrences(documents: DataFrame, text: Column) -> DataFrame:
+    """``pattern, total``: how often each word occurs. Words are counted as they stand before they are stripped."""
+    words = documents.select(F.explode(F.split(text, r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return words.groupBy(_plain(F.col("word")).alias("pattern")).agg(F.sum("n").alias("total")).where(F.col("pattern") != "")
 
 
-def context_spans(texts: DataFrame, *, rounds: int = 3, least_instances: int = 5, least_score: float = 0.8) -> DataFrame:
-    """``tid, begin, end`` of instances that no base kind covers, but confident patterns do.
+def context_spans(marked: DataFrame, words: DataFrame, *, rounds: int = 3, least_instances: int = 5, least_score: float = 0.8) -> DataFrame:
+    """``tid, begin, end`` of instances that confident patterns precede.
 
     A pattern needs ``least_instances`` different instances and ``least_score`` to count.
     """
-    found = materialise(instances(texts), "instances")
-    edges = found.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    known = materialise(edges.groupBy("pattern").agg(F.count("*").alias("m"), F.max("seed").alias("any"))
-                        .where(F.col("m") >= least_instances).select("pattern"), "patterns")
-    words = texts.select(F.explode(F.split("text", r"\s+")).alias("word")).where(F.col("word") != "")
-    occurrences = words.select(_plain(F.col("word")).alias("pattern")).join(known, "pattern", "left_semi")
-    totals = occurrences.groupBy("pattern").agg(F.count("*").alias("total"))
-    edges = materialise(edges.join(totals, "pattern").withColumn("score", F.col("seed").cast("double")), "edges")
+    found = materialise(instances(marked), "instances")
+    edges = found.groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
+    known = edges.groupBy("pattern").agg(F.count("*").alias("m")).where(F.col("m") >= least_instances).select("pattern")
+    edges = materialise(edges.join(words.join(known, "pattern"), "pattern").withColumn("score", F.col("seed").cast("double")), "edges")
     for _ in range(rounds):
         patterns = (edges.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"))
                     .where(F.col("confidence") >= least_score).withColumn("confidence", F.least("confidence", F.lit(0.999))))
@@ -123,13 +145,10 @@ def find(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """``id, base, spans``: arrays of ``(kind, begin, end)``, by kind as listed, then begin; context spans come last."""
     text = common.text_of(text_col)
     rows = documents.select(F.col(id_col).alias("id"), common.digest(text).alias("tid"))
-    # Equal texts are read once; the columns needed are few, so what is shuffled is the texts themselves.
-    texts = documents.select(common.digest(text).alias("tid"), text.alias("text")).dropDuplicates(["tid"])
-    base = materialise(base_spans(texts), "base-spans")
+    marked = materialise(marks(documents, text), "marks")
     place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    triple = F.struct(place.alias("place"), "begin", "end", "kind")
-    grouped = base.groupBy("tid").agg(F.sort_array(F.collect_list(triple)).alias("base"))
-    extra = context_spans(documents.select(common.digest(text).alias("tid"), text.alias("text")).dropDuplicates(["tid"]), **options)
+    grouped = base_spans(marked).groupBy("tid").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "begin", "end", "kind"))).alias("base"))
+    extra = context_spans(marked, occurrences(documents, text), **options)
     context = extra.groupBy("tid").agg(F.sort_array(F.collect_list(
         F.struct(F.lit(len(KINDS) + 1).alias("place"), "begin", "end", F.lit("context").alias("kind")))).alias("context"))
     none = F.array().cast("array<struct<place:int,begin:int,end:int,kind:string>>")
