@@ -93,7 +93,8 @@ def test_sensor_normalisers(spark):
         ("http", {**t, "event_type": "http.page.visit", "session_id": "h1"}),
         ("ftp", {**t, "event_type": "ftp.login.failed", "source_ip": ""}),
     ))
-    out = {r["event_type"]: r for r in normalize.normalise_sensor_lines(good).collect()}
+    out = {r["event_type"]: r for r in normalize.normalise_sensor_lines(
+        good, query_chars=500, body_chars=300, max_args=10).collect()}
     assert set(out) == {"cowrie.command.input", "redis.command", "mysql.query", "smtp.message.received", "http.page.visit"}
     assert out["cowrie.command.input"]["data"]["command"] == "ls"
     assert out["cowrie.command.input"]["session_id"] == "abc"
@@ -101,6 +102,8 @@ def test_sensor_normalisers(spark):
     assert len(out["mysql.query"]["data"]["query"]) == 500 and out["mysql.query"]["session_id"] is None
     assert len(out["smtp.message.received"]["data"]["body_preview"]) == 300
     assert out["http.page.visit"]["session_id"] == "h1"
+    whole = {r["event_type"]: r["data"] for r in normalize.normalise_sensor_lines(good).collect()}
+    assert (len(whole["mysql.query"]["query"]), len(json.loads(whole["redis.command"]["args"]))) == (900, 20)
     assert {e: r["severity"] for e, r in out.items()} == {
         "cowrie.command.input": "medium", "redis.command": "medium", "mysql.query": "high",
         "smtp.message.received": "high", "http.page.visit": "low"}
@@ -110,12 +113,13 @@ def test_flatten_precedence(spark):
     doc = {"timestamp": "2024-01-01T00:00:00Z", "src_ip": "1.1.1.1", "session_id": "s", "sensor_id": "a",
            "event_type": "http.page.visit",
            "payload": {"timestamp": "2024-01-02T00:00:00Z", "sensor": "b", "session_id": "x", "src_ip": "y",
-                       "eventid": "z", "username": "root"}}
+                       "eventid": "z", "username": "root", "url": "u", "dst_port": 22, "odd": [1]}}
     logs = spark.createDataFrame([(1, json.dumps(doc), 4), (2, "{}", 2)],
                                  "id long, raw_json string, active_honeypot_count int")
     a, b = store.flatten(logs).orderBy("id").collect()
     assert (a["sensor"], a["session_id"], a["src_ip"], a["eventid"], a["username"]) == (
         "b", "s", "1.1.1.1", "http.page.visit", "root")
+    assert (a["url"], a["dst_port"], json.loads(a["payload"])["odd"], b["payload"]) == ("u", 22.0, [1], None)
     assert a["timestamp"].day == 2 and a["http_honeypot_count"] == 4 and a["ssh_honeypot_count"] == 0
     assert sum(b[f"{s}_honeypot_count"] for s in ("ssh", "http", "mysql", "redis", "ftp", "smtp")) == 0
 
@@ -139,6 +143,15 @@ def test_nested_files(spark, tmp_path):
     assert files.read_nested(spark, str(tmp_path / "a.json"), whole=True, max_events=2).count() == 2
 
 
+def test_nested_cap_takes_the_first(spark, tmp_path):
+    for name in "bac":
+        (tmp_path / f"{name}.json").write_text("\n".join(
+            json.dumps([{f"{name}{i}": [{"eventid": f"{name}{i}{j}", "hassh": "h", "kexAlgs": ["k"]} for j in range(2)]}]) for i in range(2)))
+    first = files.read_nested(spark, f"{tmp_path}/*.json", max_events=5)
+    assert sorted(r["eventid"] for r in first.collect()) == ["a00", "a01", "a10", "a11", "b00"]
+    assert {(r["hassh"], r["kexAlgs"]) for r in first.collect()} == {("h", '["k"]')}
+
+
 def test_an_empty_folder_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.read_datasets(spark, str(tmp_path)).count()

@@ -54,7 +54,10 @@ def test_replay_takes_repaired_lines(spark, folder):
     out = scratch_path(spark, "out")
     run(spark, folder, out, scratch_path(spark, "ck"))
     again, still = ingest.replay_rejects(spark, out)
-    assert (again.count(), still.count()) == (0, 1)
+    assert again.count() == 0
+    assert sorted(r["reject_reason"] for r in still.collect()) == ["bad timestamp", "malformed line"]
+    kept = [r["value"] for r in spark.read.parquet(f"{out}/rejects").filter("reject_reason = 'bad timestamp'").collect()]
+    assert [json.loads(v)["event_type"] for v in kept] == ["http.page.visit"]
 
 
 def test_repeated_batch_is_harmless(spark, folder):
@@ -97,6 +100,15 @@ def test_hours_are_emitted_once_final(spark):
     assert got == [(0, 2), (1, 1)]
 
 
+def test_open_hours_are_counted(spark):
+    rows = [(1, 10, "a", "t"), (2, 3000, "a", "t"), (3, 3700, "a", "t"), (4, 4 * 3600, "a", "t")]
+    out = scratch_path(spark, "o")
+    live.start_source_counts(live.hourly_sessions(stream_of(spark, rows)), out, scratch_path(spark, "ck"),
+                             availableNow=True).awaitTermination()
+    got = live.latest_counts(spark, out, "hour", "src_ip", "event_type").collect()
+    assert sorted((r["hour"]["start"].hour, r["events"]) for r in got) == [(0, 2), (1, 1), (4, 1)]
+
+
 def test_leaders_skip_private_sources(spark):
     rows = [(i, i, "8.8.8.8" if i % 3 else "10.0.0.1", "t") for i in range(30)] + [(99, 5, "9.9.9.9", "t")]
     out = scratch_path(spark, "o")

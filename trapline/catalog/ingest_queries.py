@@ -144,9 +144,11 @@ def _(t: Tables):
 
 @query("S08_flat_events", f"""
 SELECT id, epoch_us(ts) AS timestamp, session_id, src_ip, sensor, eventid, protocol, username, password, input,
-  {COUNTS}, 'backend' AS source FROM flat""", ["flat"])
+  '/item/' || id AS url, id::DOUBLE AS size, NULL::VARCHAR AS filename, {COUNTS}, 'backend' AS source FROM flat""", ["flat"])
 def _(t: Tables):
-    return (store.flatten(t.stored).withColumn("timestamp", micros("timestamp")).drop("ord"))
+    flat = store.flatten(t.stored).withColumn("timestamp", micros("timestamp"))
+    return flat.drop("ord", "payload", *[c for c in store.PAYLOAD_FIELDS if c not in (
+        "protocol", "username", "password", "input", "url", "size", "filename")])
 
 
 @query("S09_flow_csv", """
@@ -244,7 +246,7 @@ SELECT source_ip, event_type, sensor_id, service AS honeypot_type, severity, ses
   CASE WHEN service = 'redis' THEN 10 END AS args
 FROM kept WHERE source_ip IS NOT NULL""", ["kept"])
 def _(t: Tables):
-    events = normalize.normalise_sensor_lines(_parsed_lines(t))
+    events = normalize.normalise_sensor_lines(_parsed_lines(t), query_chars=500, body_chars=300, max_args=10)
 
     def field(name):
         return F.try_element_at("data", F.lit(name))

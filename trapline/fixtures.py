@@ -153,7 +153,8 @@ class Tables:
     @cached_property
     def stored(self) -> DataFrame:
         """Events as the store keeps them: one JSON document per row."""
-        payload = F.struct("protocol", "username", "password", "input")
+        payload = F.struct("protocol", "username", "password", "input",
+                           F.concat(F.lit("/item/"), "id").alias("url"), F.col("id").alias("size"))
         doc = F.struct(
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
             "src_ip", "event_type", "sensor_id", "session_id", payload.alias("payload"))

@@ -30,9 +30,6 @@ CACHE_COMMANDS = [
 ]
 MAIL_SKIP = ["smtp.server.start", "smtp.command"]
 BINARY_SHARE = 0.15
-QUERY_CHARS = 500
-BODY_CHARS = 300
-MAX_ARGS = 10
 # --- end of fixed values ----------------------------------------------------
 
 # Payload fields each service keeps.
@@ -63,21 +60,30 @@ def keep_sensor_line(service: Column) -> Column:
             .otherwise(not_start))
 
 
-def normalise_sensor_lines(lines: DataFrame, service: str = "service") -> DataFrame:
+def normalise_sensor_lines(
+    lines: DataFrame, service: str = "service", query_chars: int | None = None, body_chars: int | None = None,
+    max_args: int | None = None, keep_raw: bool = False,
+) -> DataFrame:
     """Sensor lines of all services to ingest events in one projection.
 
-    ``lines`` has the columns of ``schema.SENSOR_LINE`` plus the service name.
+    ``lines`` has the columns of ``schema.SENSOR_LINE`` plus the service name. Query
+    texts, mail bodies and argument lists stay whole unless a length is given;
+    sensors that forward events over a wire use 500, 300 and 10. ``keep_raw``
+    carries the column ``raw``, the line as it came.
     """
+    def cut(text: Column, chars: int | None) -> Column:
+        return text if chars is None else F.substring(text, 1, chars)
+
+    args = F.coalesce(F.col("args"), F.array().cast("array<string>"))
     svc = F.col(service)
     shell = svc == "ssh"
     event_type = F.when(shell, F.col("eventid")).otherwise(
         F.coalesce(F.col("event_type"), F.lit("")))
     fields = {
         "command": F.when(shell, F.col("input")).otherwise(F.col("command")),
-        "query": F.substring(F.coalesce(F.col("query"), F.lit("")), 1, QUERY_CHARS),
-        "body_preview": F.substring(F.coalesce(F.col("body_preview"), F.lit("")), 1, BODY_CHARS),
-        "args": F.to_json(F.slice(
-            F.coalesce(F.col("args"), F.array().cast("array<string>")), 1, MAX_ARGS)),
+        "query": cut(F.coalesce(F.col("query"), F.lit("")), query_chars),
+        "body_preview": cut(F.coalesce(F.col("body_preview"), F.lit("")), body_chars),
+        "args": F.to_json(args if max_args is None else F.slice(args, 1, max_args)),
         "body_size": F.col("body_size").cast("string"),
     }
 
@@ -101,7 +107,7 @@ def normalise_sensor_lines(lines: DataFrame, service: str = "service") -> DataFr
         forwarder_severity(event_type).alias("severity"),
         F.when(has_session, F.when(shell, F.col("session")).otherwise(F.col("session_id")))
          .alias("session_id"),
-        data.alias("data"),
+        data.alias("data"), *(["raw"] if keep_raw else []),
     ).filter(has_time_and_source())
 
 

@@ -202,6 +202,9 @@ NESTED_EVENT = T.StructType(
         "protocol", "sensor", "uuid", "message", "input", "username", "password",
         "duration", "ttylog", "size", "shasum", "duplicate", "url", "outfile",
         "filename", "destfile",
+        "src_ip_identifier", "dst_ip_identifier", "dst_host_identifier", "src_port", "arch",
+        "ssh_client_version", "hassh", "hasshAlgorithms", "kexAlgs", "keyAlgs", "encCS", "macCS",
+        "compCS", "langCS", "fingerprint", "key", "type", "data",
     )]
     + [T.StructField("geolocation_data", GEO)]
 )

@@ -16,7 +16,8 @@ def read_lines(
 ) -> DataFrame:
     """Text lines (or whole documents) with the file name."""
     return spark.read.option("ignoreCorruptFiles", skip_unreadable).text(path, wholetext=whole).select(
-        "value", F.col(FILE_NAME).alias("_source_file"))
+        "value", F.col(FILE_NAME).alias("_source_file"),
+        F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("_place"))
 
 
 CORRUPT = "_corrupt"
@@ -76,17 +77,18 @@ def read_nested(
     """Nested session files: lists or maps of session id to events.
 
     ``whole=True`` reads one document per file; otherwise each line holds one.
+    ``max_events`` keeps the first ones by file path, line and position.
     """
     docs = read_lines(spark, path, whole, skip_unreadable)
     listed = F.from_json("value", T.ArrayType(SESSION_MAP))
     single = F.array(F.from_json("value", SESSION_MAP))
     opens_map = F.ltrim("value").startswith("{")
     entries = docs.select(
-        "_source_file",
+        "_source_file", "_place",
         F.posexplode(F.when(opens_map, single).otherwise(listed)).alias("entry_pos", "entry"))
     events = (entries
-              .select("_source_file", "entry_pos", F.explode("entry").alias("entry_session", "events"))
-              .select("_source_file", "entry_pos", "entry_session",
+              .select("_source_file", "_place", "entry_pos", F.explode("entry").alias("entry_session", "events"))
+              .select("_source_file", "_place", "entry_pos", "entry_session",
                       F.posexplode("events").alias("event_pos", "e")))
     # Position within the document: entry first, then event.
     order = F.shiftleft(F.col("entry_pos").cast("long"), 32) + F.col("event_pos")
@@ -99,8 +101,9 @@ def read_nested(
         geo["region_name"].alias("geo_region"), geo["latitude"].alias("geo_latitude"),
         geo["longitude"].alias("geo_longitude"), geo["timezone"].alias("geo_timezone"),
         geo["location"]["lat"].alias("geo_loc_lat"), geo["location"]["lon"].alias("geo_loc_lon"),
-        "_source_file", F.lit("cowrie").alias("source"), order.alias("ord"))
-    return flat if max_events is None else flat.limit(max_events)
+        "_source_file", F.lit("cowrie").alias("source"), order.alias("ord"), "_place")
+    first = flat if max_events is None else flat.orderBy("_place", "ord").limit(max_events)
+    return first.drop("_place")
 
 
 def read_datasets(

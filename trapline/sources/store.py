@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trapline.functions.clock import parse_utc
-from trapline.schema import EVENT_PREFIX, PLAN_SERVICES
+from trapline.schema import CORE_COLUMNS, EVENT_PREFIX, PLAN_SERVICES
+
+#: What a payload may hold besides the columns that the document itself gives.
+PAYLOAD_FIELDS = [c for c in CORE_COLUMNS if c not in ("eventid", "timestamp", "session_id", "src_ip", "sensor")] + [
+    "command", "query"]
 
 
 def newest_first(logs: DataFrame, limit: int | None = None, before_id: int | None = None) -> DataFrame:
@@ -32,13 +36,14 @@ def flatten(logs: DataFrame, payload_fields: list[str] | None = None) -> DataFra
 
     Payload values replace ``timestamp`` and ``sensor``; for session, type and
     source the document's own value wins. A document that is not JSON gives an
-    event without values; ``broken_documents`` lists those.
+    event without values; ``broken_documents`` lists those. ``payload`` keeps the
+    whole payload as JSON text, so no field is lost.
     """
-    fields = payload_fields or ["protocol", "username", "password", "input"]
+    fields = PAYLOAD_FIELDS if payload_fields is None else payload_fields
     doc = F.try_parse_json("raw_json")
 
-    def text(path: str) -> Column:
-        return F.try_variant_get("doc", path, "string")
+    def text(path: str, kind: str = "string") -> Column:
+        return F.try_variant_get("doc", path, kind)
 
     own_count = F.coalesce(
         F.when(F.col("active_honeypot_count") != 0, F.col("active_honeypot_count")),
@@ -53,7 +58,8 @@ def flatten(logs: DataFrame, payload_fields: list[str] | None = None) -> DataFra
         text("$.src_ip").alias("src_ip"),
         F.coalesce(text("$.payload.sensor"), text("$.sensor_id")).alias("sensor"),
         eventid.alias("eventid"),
-        *[text(f"$.payload.{f}").alias(f) for f in fields],
+        *[text(f"$.payload.{f}", CORE_COLUMNS.get(f, "string")).alias(f) for f in fields],
+        text("$.payload").alias("payload"),
         *service_counts(eventid, own_count),
         F.lit("backend").alias("source"),
     )
@@ -71,7 +77,7 @@ def from_canonical(events: DataFrame, payload_fields: list[str] | None = None) -
     The newest event comes first in ``ord``, as in the stored feed. Shell and
     cache commands arrive as ``command``, queries as ``query``.
     """
-    fields = payload_fields or ["protocol", "username", "password", "input", "command", "query"]
+    fields = PAYLOAD_FIELDS if payload_fields is None else payload_fields
 
     def text(name: str) -> Column:
         return F.try_element_at("payload", F.lit(name))
@@ -79,7 +85,7 @@ def from_canonical(events: DataFrame, payload_fields: list[str] | None = None) -
     return events.select(
         (-F.unix_micros("event_time")).alias("ord"), F.col("event_time").alias("timestamp"),
         "session_id", "src_ip", F.col("sensor_id").alias("sensor"), F.col("event_type").alias("eventid"),
-        *[text(f).alias(f) for f in fields],
+        *[text(f).try_cast(CORE_COLUMNS.get(f, "string")).alias(f) for f in fields],
         *service_counts(F.col("event_type"), F.col("active_honeypot_count")),
         F.lit("sensor").alias("source"))
 

@@ -43,15 +43,13 @@ def sensor_line_stream(
 def ingest_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canonical events, and rejected lines with the reason.
 
-    Noise that the sensors' own filters drop is in neither.
+    Noise that the sensors' own filters drop is in neither. Every reject keeps the
+    line as it came, so it can be replayed.
     """
     good, malformed = parse_lines(lines)
-    valid, invalid = split_valid(normalise_sensor_lines(good))
+    valid, invalid = split_valid(normalise_sensor_lines(good, keep_raw=True))
     rejected = malformed.select("service", "value", F.lit("malformed line").alias("reject_reason"))
-    refused = invalid.select(
-        F.col("honeypot_type").alias("service"), F.to_json(F.struct(
-            "timestamp", "source_ip", "event_type", "session_id", "sensor_id", "data")).alias("value"),
-        "reject_reason")
+    refused = invalid.select(F.col("honeypot_type").alias("service"), F.col("raw").alias("value"), "reject_reason")
     return canonical(valid), rejected.unionByName(refused)
 
 
@@ -80,6 +78,6 @@ def start_ingest(
 
 
 def replay_rejects(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """Run stored rejected lines through the ingest again."""
-    stored = spark.read.parquet(f"{out}/rejects").filter("reject_reason = 'malformed line'")
+    """Run all stored rejects, malformed or refused, through the ingest again."""
+    stored = spark.read.parquet(f"{out}/rejects")
     return ingest_lines(stored.select("value", "service"))

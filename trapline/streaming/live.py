@@ -19,7 +19,10 @@ LEADERS = 8
 
 
 def hourly_sessions(events: DataFrame, ts: str = "ts", delay: str = DELAY) -> DataFrame:
-    """Events per source, type and hour (T05), emitted when the hour is final."""
+    """Events per source, type and hour.
+
+    Append mode gives an hour once it is final, update mode also the current one.
+    """
     return (events.withWatermark(ts, delay)
             .groupBy(F.window(ts, "1 hour").alias("hour"), "src_ip", "event_type")
             .agg(F.count("*").alias("events")))
@@ -31,7 +34,7 @@ def distinct_events(events: DataFrame, key: str = "id", ts: str = "ts", delay: s
 
 
 def last_minute(events: DataFrame, ts: str = "ts", delay: str = DELAY) -> DataFrame:
-    """Events in the last 60 seconds, every 10 seconds."""
+    """Events in the last 60 seconds, every 10 seconds (T07); modes as for hours."""
     return (events.withWatermark(ts, delay)
             .groupBy(F.window(ts, "60 seconds", "10 seconds").alias("minute"))
             .agg(F.count("*").alias("events")))
@@ -45,7 +48,7 @@ def source_counts(events: DataFrame, ts: str = "ts", delay: str = DELAY) -> Data
 
 
 def start_source_counts(counts: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Store the changed counts of every micro-batch."""
+    """Store the changed counts of every micro-batch, open windows included."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
@@ -53,10 +56,14 @@ def start_source_counts(counts: DataFrame, out: str, checkpoint: str, **trigger)
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
+def latest_counts(spark: SparkSession, out: str, *keys: str) -> DataFrame:
+    """The newest stored count of every window, final or still open."""
+    return spark.read.parquet(out).groupBy(*keys).agg(F.max_by("events", "batch").alias("events"))
+
+
 def live_leaders(spark: SparkSession, out: str, size: int = LEADERS) -> DataFrame:
     """Top sources per day from the stored counts."""
-    latest = spark.read.parquet(out).groupBy("day", "src_ip").agg(
-        F.max_by("events", "batch").alias("events"))
+    latest = latest_counts(spark, out, "day", "src_ip")
     rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("events"), "src_ip"))
     return latest.withColumn("rank", rank).filter(F.col("rank") <= size)
 
