@@ -208,3 +208,19 @@ def test_a_replaced_override_no_longer_holds(spark, monkeypatch):
     assert plans(first, (datetime(2024, 1, 2), datetime(2024, 1, 3))) == 1
     assert plans((datetime(2024, 1, 2), None)) == 0
     assert plans() == 1
+
+
+def test_a_clear_event_ends_an_override(spark, monkeypatch):
+    from datetime import datetime
+
+    monkeypatch.setattr(deploy, "build_plans", lambda known: known.select("session_id"))
+    sessions = spark.createDataFrame([("s", datetime(2024, 1, 1))], "session_id string, session_start timestamp")
+    overrides = spark.createDataFrame(
+        [(datetime(2024, 1, 2), datetime(2024, 1, 9), {"ssh": 1.0}), (datetime(2024, 1, 4), None, None)],
+        "set_at timestamp, expires_at timestamp, weights map<string,double>")
+    counts = [deploy.refresh_plans(sessions, F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp"), overrides).count() for d in (1, 3, 5)]
+    assert counts == [1, 0, 1]
+    moments = spark.createDataFrame([(datetime(2024, 1, d), "p") for d in (1, 3, 5)], "moment timestamp, plan_id string")
+    plans = spark.createDataFrame([], "plan_id string, weights array<double>")
+    got = deploy.effective_weights(moments, plans, overrides).orderBy("moment").collect()
+    assert [r["origin"] for r in got] == ["uniform", "override", "uniform"]

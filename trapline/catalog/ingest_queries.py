@@ -397,10 +397,11 @@ def _(t: Tables):
 
 
 @query("N18_command_text", """
-SELECT id, coalesce(nullif(trim(password), ''), nullif(trim(input), '')) AS cmd FROM raw_logs""")
+SELECT id, coalesce(nullif(trim(password), ''), nullif(trim(input), ''), username || ', ' || coalesce(session_id, '—')) AS cmd FROM raw_logs""")
 def _(t: Tables):
-    # A password that may be blank stands in for the first candidate.
-    logs = t.raw_logs.withColumn("command", F.col("password"))
+    # A password that may be blank stands in for the first candidate, a list of two columns for the last.
+    pair = F.when(F.col("username").isNotNull(), F.array("username", "session_id"))
+    logs = t.raw_logs.withColumn("command", F.col("password")).withColumn("commands", pair)
     return logs.select("id", analytics.log_command(logs).alias("cmd"))
 
 

@@ -442,18 +442,26 @@ def _(t: Tables):
         F.inline(F.arrays_zip(names.alias("service"), F.col("weights").alias("weight")))))
 
 
-view("asof_sessions", """
-SELECT plan_id, count(*) AS total_sessions FROM planned WHERE session_start <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY plan_id""", "planned")
+# An override holds at the first moment, and has run out at the second.
+REFRESHED = ["2024-01-07 12:00:00", "2024-01-08 12:00:00"]
+
+
+view("refreshed", f"SELECT unnest({REFRESHED})::TIMESTAMP AS moment")
+view("valid_overrides", "SELECT * FROM overrides WHERE first_type = 'ssh' AND first_weight > 0", "overrides")
 
 
 @query("T10_plan_refresh", """
-SELECT plan_id, total_sessions, least(total_sessions, 100) AS selected_sessions FROM asof_sessions""", ["asof_sessions"])
+SELECT epoch_us(moment) AS moment, plan_id, count(*) AS total_sessions, least(count(*), 100) AS selected_sessions
+FROM refreshed JOIN planned ON session_start <= moment
+WHERE moment NOT IN (
+  SELECT moment FROM (SELECT moment, max(set_at) AS set_at FROM refreshed JOIN valid_overrides ON set_at <= moment GROUP BY moment)
+  JOIN valid_overrides USING (set_at) WHERE expires_at > moment)
+GROUP BY moment, plan_id""", ["planned", "refreshed", "valid_overrides"])
 def _(t: Tables):
-    asof = F.lit("2024-01-20 00:00:00").cast("timestamp")
-    # All overrides have run out by then.
-    overrides = _overrides(t).drop("bucket").filter(F.col("expires_at") < asof)
-    return deploy.refresh_plans(sessions_of_plans(t), asof, overrides).select(
-        "plan_id", "total_sessions", "selected_sessions")
+    known, overrides = sessions_of_plans(t), _overrides(t).drop("bucket")
+    first, second = (deploy.refresh_plans(known, F.lit(m).cast("timestamp"), overrides).select(
+        micros("asof").alias("moment"), "plan_id", "total_sessions", "selected_sessions") for m in REFRESHED)
+    return first.unionByName(second)
 
 
 @query("S13_plan_sink", "SELECT plan_id, service, recommended FROM plan_rows", ["plan_rows"])

@@ -118,7 +118,7 @@ def _(t: Tables):
 SELECT count(*) AS events, count(DISTINCT coalesce(src_ip, '')) AS unique_ips,
   count(DISTINCT coalesce(session_id, 'unknown')) AS sessions,
   (SELECT count(*) FROM (SELECT 1 FROM raw_logs GROUP BY coalesce(session_id, 'unknown') HAVING count(*) >= 51)) AS deep_sessions,
-  least(8, count(DISTINCT event_type)) AS attack_types FROM raw_logs""")
+  count(DISTINCT event_type) AS attack_types, least(8, count(DISTINCT event_type)) AS shown_types FROM raw_logs""")
 def _(t: Tables):
     return analytics.kpis(t.raw_logs)
 

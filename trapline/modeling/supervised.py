@@ -120,8 +120,12 @@ def _classifier(name: str, rows: int, trees: int, depth: int):
 
 
 def train_classifier(train: DataFrame, columns: list[str], label: str = "label", model: str = "rf",
-                     trees: int = FOREST_TREES, depth: int = 10) -> PipelineModel:
-    """Fit a logistic regression or a balanced random forest."""
+                     trees: int = FOREST_TREES, depth: int = 30) -> PipelineModel:
+    """Fit a logistic regression or a balanced random forest.
+
+    Trees grow until their leaves are pure, or to ``depth``, whose default is the
+    most the library allows.
+    """
     rows = train.count()
     train = spread(train, rows)
     if model == "rf":

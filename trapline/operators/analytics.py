@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapline.functions.classify import display_service, map_severity, severity_rank
 from trapline.functions.clock import age_text
-from trapline.functions.text import command_text
+from trapline.functions.text import command_text, joined
 from trapline.operators.filters import contains_text, last_hours, public_sources, session_events
 from trapline.operators.normalize import event_flags
 from trapline.schema import EVENT_PREFIX, SEARCH_EVENT_TYPES, SERVICES
@@ -23,15 +24,17 @@ DEPTH_BANDS = [
     ("51+", "Deep intrusion", 51, None),
 ]
 DEEP_EVENTS = 51
-MAX_TYPES = 8
+SHOWN_TYPES = 8
 MAX_TEXT = 64
+COMMAND_COLUMNS = ["command", "input", "cmd", "message", "commands"]
 # --- end of fixed values ----------------------------------------------------
 
 
 def log_command(logs: DataFrame) -> Column:
-    """Command text of a log row."""
-    names = [c for c in ("command", "input", "cmd", "message") if c in logs.columns]
-    return command_text(*[F.col(c) for c in names])
+    """Command text of a log row (N18); lists are joined."""
+    kinds = {f.name: f.dataType for f in logs.schema.fields}
+    return command_text(*[joined(F.col(c)) if isinstance(kinds[c], T.ArrayType) else F.col(c)
+                          for c in COMMAND_COLUMNS if c in kinds])
 
 
 def frequency(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
@@ -170,7 +173,8 @@ def kpis(logs: DataFrame) -> DataFrame:
         F.count_if(kind == "ip").alias("unique_ips"),
         F.count_if(kind == "session").alias("sessions"),
         F.count_if((kind == "session") & (F.col("n") >= DEEP_EVENTS)).alias("deep_sessions"),
-        F.least(F.count_if(kind == "type"), F.lit(MAX_TYPES)).alias("attack_types"))
+        F.count_if(kind == "type").alias("attack_types"),
+        F.least(F.count_if(kind == "type"), F.lit(SHOWN_TYPES)).alias("shown_types"))
 
 
 def page_stats(logs: DataFrame) -> DataFrame:
@@ -212,17 +216,18 @@ def top_commands(logs: DataFrame, limit: int = 8) -> DataFrame:
     return top_labels(rows, F.col("cmd"), limit)
 
 
-def top_credentials(logs: DataFrame, limit: int = 7) -> DataFrame:
+def top_credentials(logs: DataFrame, limit: int = 7, max_text: int | None = MAX_TEXT) -> DataFrame:
     """Most tried user names and passwords.
 
-    The first known alias of each counts, if it is neither empty nor long.
+    The first known alias of each counts, if it is not empty and has fewer than
+    ``max_text`` characters; None takes every length.
     """
     aliases = {"username": ["username", "user", "login"], "password": ["password", "passwd", "pass"]}
 
     def top(kind: str) -> DataFrame:
         known = [F.col(c) for c in aliases[kind] if c in logs.columns]
         rows = logs.select("id", F.coalesce(*known).alias("text")).filter(
-            (F.length("text") > 0) & (F.length("text") < MAX_TEXT))
+            (F.length("text") > 0) & (F.lit(True) if max_text is None else F.length("text") < max_text))
         # Equal counts: plain numbers come first, by value, then newest first.
         number = F.when(F.col("label").rlike("^(0|[1-9][0-9]{0,8})$"), F.col("label").try_cast("long"))
         return (rows.groupBy(F.col("text").alias("label"))

@@ -268,6 +268,7 @@ def check_overrides(overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable overrides, and rejected ones with the reason.
 
     ``overrides`` has ``set_at, expires_at, weights`` (map of service to weight).
+    A row without weights is a clear event: it ends the override before it.
     """
     known = F.array(*map(F.lit, SERVICES))
     reason = (F.when(F.exists(F.map_keys("weights"), lambda k: ~F.array_contains(known, k)), "unknown type")
@@ -283,13 +284,13 @@ def effective_weights(moments: DataFrame, plans: DataFrame, overrides: DataFrame
 
     ``moments`` has ``moment, plan_id``; ``plans`` has adapted ``weights``. A
     new override replaces an earlier one for good, even if that would still
-    hold when the new one ends.
+    hold when the new one ends; a clear event ends it without another.
     """
     good, _ = check_overrides(overrides)
     order = Window.partitionBy("scope").orderBy("set_at")
-    spans = adapt_distribution(good).withColumn("scope", F.lit("all")).withColumn(
+    spans = good.withColumn("scope", F.lit("all")).withColumn(
         "until", F.least("expires_at", F.lead("set_at").over(order)))
-    spans = spans.select("set_at", "until", F.col("weights").alias("override_weights"))
+    spans = adapt_distribution(spans.filter("weights IS NOT NULL")).select("set_at", "until", F.col("weights").alias("override_weights"))
     planned = plans.select("plan_id", F.col("weights").alias("plan_weights"))
     out = interval_join(moments, spans, [], "moment", "set_at", "until")
     out = lookup_join(out, planned, ["plan_id"])
@@ -310,9 +311,10 @@ def refresh_plans(sessions: DataFrame, asof: Column, overrides: DataFrame | None
     known = sessions.filter(F.col("session_start") <= asof)
     if overrides is not None:
         good, _ = check_overrides(overrides)
-        # A new override replaces the one before; one without an end holds until it is replaced.
-        newest = good.filter(F.col("set_at") <= asof).agg(F.max_by(F.struct("expires_at"), "set_at").alias("o"))
-        holds = F.col("o").isNotNull() & F.coalesce(F.col("o.expires_at") > asof, F.lit(True))
+        # A new override replaces the one before; one without an end holds until it is replaced or cleared.
+        state = F.struct("expires_at", F.col("weights").isNotNull().alias("set"))
+        newest = good.filter(F.col("set_at") <= asof).agg(F.max_by(state, "set_at").alias("o"))
+        holds = F.coalesce("o.set", F.lit(False)) & F.coalesce(F.col("o.expires_at") > asof, F.lit(True))
         held = newest.select(holds).scalar()
         known = known.filter(~held)
     return build_plans(known).withColumn("asof", asof)
