@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EMPTY = np.zeros(0, dtype=np.int64)
+SLAB = 1 << 18  # bytes hashed at a time
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +28,13 @@ def digest(column: Column) -> Column:
     return F.unhex(F.md5(column))
 
 
-def chunks(batch: pa.RecordBatch, column: str, budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold about ``budget`` bytes; a longer text comes alone."""
+def chunks(batch: pa.RecordBatch, column: str, budget: int = 2 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` texts that hold about ``budget`` bytes; a longer text comes alone."""
     sizes = np.asarray(batch.column(column).cast(pa.large_binary()).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
     ends = np.cumsum([len(x) for x in sizes]) if len(sizes) else EMPTY
     at, done = 0, 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, done + budget, side="right")))
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + budget, side="right"))))
         yield batch.slice(at, to - at)
         at, done = to, int(ends[to - 1])
 
@@ -70,12 +72,34 @@ def powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(out)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span."""
+@lru_cache(maxsize=2)
+def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return powers(_BASE, n), powers(_BASE_INVERSE, n + 1)
+
+
+def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = len(data)
+    up, down = _powers_for(SLAB) if n <= SLAB else (powers(_BASE, n), powers(_BASE_INVERSE, n + 1))
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * powers(_BASE_INVERSE, len(data) + 1)[starts])
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span; spans are in order.
+
+    A hash does not depend on where its span lies, so about ``SLAB`` bytes are looked at
+    at a time and memory follows the longest span, not the data.
+    """
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + SLAB, side="right")))
+        out[at:to] = _hash_spans(data[low:int(ends[to - 1])], starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out
 
 
 _WORD = np.zeros(256, dtype=bool)

@@ -38,6 +38,7 @@ from trapline.session import materialise
 
 BASE_RANK = 2.0 ** -12  # side of the first rank region; the sides after it double
 SALT = np.uint64(0x632BE59BD9B4E019)
+SKETCH_TEXTS = 256  # signed together: a text throws a few thousand darts at once
 
 
 class Shingles:
@@ -134,7 +135,7 @@ def signatures(shingles: Shingles, n_docs: int, k: int) -> tuple[np.ndarray, np.
 def _banded(size: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            for part in common.chunks(batch, "text", 4 << 20):
+            for part in common.chunks(batch, "text", 1 << 20, SKETCH_TEXTS):
                 n = part.num_rows
                 darts, has = signatures(Shingles(part.column("text"), size), n, bands * rows)
                 keys = np.zeros((n, bands), dtype=np.uint64)

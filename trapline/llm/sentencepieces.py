@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from trapline.llm import common
 
 SPACE = "▁"
-CACHE = 800_000  # distinct stretches a Python worker keeps
+CACHE = 250_000  # distinct stretches a Python worker keeps
 
 
 class Vocabulary:
@@ -161,7 +161,7 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, row, schema:
     def run(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            for part in common.chunks(batch, "text", 4 << 20):
+            for part in common.chunks(batch, "text", 1 << 20):
                 got = [row(*x) for x in vocab.encode(part.column("text").to_pylist())]
                 columns = list(zip(*got)) if got else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays(

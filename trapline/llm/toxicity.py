@@ -116,7 +116,7 @@ def _terms(text: str, n: int) -> Counter:
     return counts
 
 
-def _counted(n: int, flush: int = 300_000):
+def _counted(n: int, flush: int = 100_000):
     """Occurrences by term and class, summed in the worker before they are shuffled."""
     def rows(sums):
         return pa.RecordBatch.from_arrays(
@@ -213,13 +213,17 @@ def score(documents: DataFrame, lexicon: Lexicon, *, text_col: str = "text", sco
     """The rows with a score from 0 to 1; an existing column of that name is replaced."""
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
     kept = [c for c in documents.columns if c != score_col]
-    rows = documents.select(common.text_of(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    # The text travels once, inside its row.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    place = kept.index(text_col)
 
     def run(batches):
         matcher = Matcher(shared.value)
         for batch in batches:
-            scores = [matcher.score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
+            row = batch.column("row")
+            for part in common.chunks(pa.RecordBatch.from_arrays([row, row.field(place)], ["row", "text"]), "text"):
+                scores = [matcher.score(t or "") for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
     scored = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
     return scored.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("score").alias(score_col))
