@@ -142,6 +142,25 @@ def test_documents_equal_but_for_key_order(spark):
     assert sorted(r["id"] for r in quality.deduplicate_documents(df).collect()) == [1, 3]
 
 
+def test_copies_of_a_document_with_one_key_leave_one_row(spark):
+    df = spark.createDataFrame([(1, "{}", "a"), (1, "{ }", "a"), (2, None, "b"), (5, None, "b"), (None, "[1]", "c")],
+                               "id long, raw_json string, note string")
+    kept = quality.deduplicate_documents(df).collect()
+    assert sorted((r["id"] or 0, r["note"]) for r in kept) == [(0, "c"), (1, "a"), (2, "b")]
+
+
+def test_first_values_combine_in_hash_tables(spark):
+    df = spark.createDataFrame(
+        [("s", 3, None, 22.5), ("s", 1, None, None), ("s", 2, "x", 7.0), ("s", 2, "b", None), ("t", 1, None, None), (None, 1, "q", 1.0)],
+        "session_id string, ord long, src_ip string, dst_port double")
+    out = sessions.network(df)
+    assert sorted((r["session_id"], r["src_ip"], r["dst_port"]) for r in out.collect()) == [("s", "b", 7.0), ("t", None, None)]
+    plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    steps = [line for line in plan if "Aggregate" in line]
+    # The steps nearest to the scan come last: two of hash tables, for all rows, before any sort.
+    assert all("HashAggregate" in line for line in steps[-2:])
+
+
 def test_command_column_can_be_chosen(spark, sample):
     named = sample.withColumn("command", F.when(F.col("eventid") == "redis.command", "CONFIG"))
     rows = {r["session_id"]: r["cmd_count"] for r in sessions.sessions(named, command="command").collect()}

@@ -151,8 +151,7 @@ def _(t: Tables):
         F.to_json(F.struct(
             *[F.get_json_object("raw_json", f"$.{c}").alias(c)
               for c in ("session_id", "sensor_id", "event_type", "src_ip", "timestamp")],
-            F.from_json(F.get_json_object("raw_json", "$.payload"),
-                        "protocol string, username string, password string, input string").alias("payload"),
+            F.try_parse_json(F.get_json_object("raw_json", "$.payload")).alias("payload"),
         )).alias("raw_json"), "active_honeypot_count")
     return quality.deduplicate_documents(t.stored.unionByName(copies)).select(
         "id", F.get_json_object("raw_json", "$.event_type").alias("event_type"))

@@ -82,10 +82,15 @@ def session_event_types(logs: DataFrame) -> DataFrame:
     """Events per session and type, with the oldest and newest row of each."""
     sid = F.coalesce("session_id", F.lit(UNKNOWN))
     etype = F.coalesce("event_type", F.lit(UNKNOWN))
-    newest = F.struct("id", "src_ip", "created_at")
-    return logs.groupBy(sid.alias("session_id"), etype.alias("event_type")).agg(
-        F.count("*").alias("n"), F.max(newest).alias("newest"),
-        F.min(F.struct("id", "created_at")).alias("oldest"))
+    # Ids and times have a fixed width, so all rows combine in hash tables; texts are compared among few rows.
+    first = logs.groupBy(sid.alias("session_id"), etype.alias("event_type"), "src_ip").agg(
+        F.count("*").alias("n"),
+        F.max("id").alias("last_id"), F.max_by("created_at", "id").alias("last_at"),
+        F.min("id").alias("first_id"), F.min_by("created_at", "id").alias("first_at"))
+    newest = F.struct(F.col("last_id").alias("id"), "src_ip", F.col("last_at").alias("created_at"))
+    oldest = F.struct(F.col("first_id").alias("id"), F.col("first_at").alias("created_at"))
+    return first.groupBy("session_id", "event_type").agg(
+        F.sum("n").alias("n"), F.max(newest).alias("newest"), F.min(oldest).alias("oldest"))
 
 
 def newest_commands(logs: DataFrame, keep: int = 5) -> DataFrame:

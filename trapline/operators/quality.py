@@ -42,7 +42,9 @@ def canonical_json(text: Column) -> Column:
 
 def deduplicate_documents(logs: DataFrame, document: str = "raw_json", key: str = "id") -> DataFrame:
     """Keep the lowest key per JSON document, whatever its key order."""
-    rest = [c for c in logs.columns if c not in (key, document)]
-    kept = logs.groupBy(F.coalesce(canonical_json(F.col(document)), F.col(document)).alias("doc")).agg(
-        F.min(F.struct(key, *rest, document)).alias("row"))
-    return kept.select(*[F.col(f"row.{c}").alias(c) for c in logs.columns])
+    text = F.coalesce(canonical_json(F.col(document)), F.col(document))
+    marked = logs.withColumn("_doc", F.unhex(F.md5(text)))
+    least = marked.groupBy(F.col("_doc").alias("_mark")).agg(F.min(key).alias("_least"))
+    same = F.col("_doc").eqNullSafe(F.col("_mark")) & F.col(key).eqNullSafe(F.col("_least"))
+    # Only short marks are grouped; rows that share document and key are copies, of which one stays.
+    return marked.join(least, same, "left_semi").dropDuplicates(["_doc"]).select(*logs.columns)

@@ -84,11 +84,31 @@ def bounds(events: DataFrame) -> DataFrame:
     ).withColumn("duration", seconds_between(F.col("session_start"), F.col("session_end")))
 
 
+def picked(events: DataFrame, columns: dict[str, str], last: bool = False) -> DataFrame:
+    """First (or last) known value per session of each column; ``columns`` names source columns by output.
+
+    The first step keeps one order number per (session, column, value), so events
+    combine in hash tables before the shuffle; values are picked from those few rows.
+    Equal order numbers give the least (or greatest) value, compared as text.
+    """
+    if not columns:
+        return events.select("session_id").distinct()
+    kinds = {n: events.schema[c].dataType for n, c in columns.items()}
+    long = events.select("session_id", "ord", *[F.col(c).cast("string").alias(n) for n, c in columns.items()]).unpivot(
+        ["session_id", "ord"], list(columns), "name", "value")
+    edge = F.max if last else F.min
+    short = long.groupBy("session_id", "name", "value").agg(edge("ord").alias("ord"))
+    known = F.col("value").isNotNull()
+    pick = F.max_by if last else F.min_by
+    return short.groupBy("session_id").agg(*[
+        pick("value", F.when(known & (F.col("name") == n), F.struct("ord", "value"))).cast(kind).alias(n)
+        for n, kind in kinds.items()])
+
+
 def network(events: DataFrame) -> DataFrame:
     """First known network values of every session."""
     present = {n: c for n, c in FIRST_VALUES.items() if c in events.columns}
-    return has_session(events).groupBy("session_id").agg(
-        *[first_known(c).alias(n) for n, c in present.items()])
+    return picked(has_session(events), present)
 
 
 def type_counts(events: DataFrame) -> DataFrame:
@@ -106,9 +126,12 @@ def type_counts(events: DataFrame) -> DataFrame:
 
 def sensor_counts(events: DataFrame, how: str = "last") -> DataFrame:
     """Sensor counts of the last row in feed order, or their maximum."""
-    agg = last_known if how == "last" else F.max
-    return has_session(events).groupBy("session_id").agg(
-        *[F.coalesce(agg(c), F.lit(0)).cast("int").alias(c) for c in COUNT_COLUMNS])
+    events = has_session(events)
+    if how == "last":
+        found = picked(events, {c: c for c in COUNT_COLUMNS}, last=True)
+    else:
+        found = events.groupBy("session_id").agg(*[F.max(c).alias(c) for c in COUNT_COLUMNS])
+    return found.select("session_id", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in COUNT_COLUMNS])
 
 
 def session_items(events: DataFrame, command: str = "input") -> DataFrame:
@@ -193,32 +216,35 @@ def sessions(events: DataFrame, command: str = "input") -> DataFrame:
 
 def extended(events: DataFrame) -> DataFrame:
     """Reported durations, terminal log and transfer fields."""
-    present = set(events.columns)
-
-    def first_in(eventid: str, column: str) -> Column:
-        if column not in present:
-            return F.lit(None).cast("string")
-        hit = (F.col("eventid") == eventid) & F.col(column).isNotNull()
-        return F.min_by(column, F.when(hit, F.col("ord")))
-
+    events = has_session(events)
     closed, log = "cowrie.session.closed", "cowrie.log.closed"
     down, up = "cowrie.session.file_download", "cowrie.session.file_upload"
-    return has_session(events).groupBy("session_id").agg(
-        first_in(closed, "duration").alias("reported_session_duration"),
-        first_in(log, "duration").alias("reported_tty_duration"),
-        first_in(log, "ttylog").alias("ttylog"),
-        first_in(log, "size").alias("ttylog_size"),
-        first_in(log, "duplicate").alias("ttylog_duplicate"),
-        first_in(log, "shasum").alias("ttylog_shasum"),
+    wanted = {
+        "reported_session_duration": (closed, "duration"),
+        "reported_tty_duration": (log, "duration"),
+        "ttylog": (log, "ttylog"),
+        "ttylog_size": (log, "size"),
+        "ttylog_duplicate": (log, "duplicate"),
+        "ttylog_shasum": (log, "shasum"),
+        "first_download_url": (down, "url"),
+        "first_download_outfile": (down, "outfile"),
+        "first_upload_filename": (up, "filename"),
+        "first_upload_outfile": (up, "outfile"),
+        "first_upload_destfile": (up, "destfile"),
+        "first_upload_url": (up, "url"),
+    }
+    present = {n: x for n, x in wanted.items() if x[1] in events.columns}
+    hits = events.select("session_id", "ord", *[
+        F.when(F.col("eventid") == eventid, F.col(c)).alias(n) for n, (eventid, c) in present.items()])
+    counts = events.groupBy("session_id").agg(
         F.count_if(F.col("eventid") == down).alias("file_download_count"),
-        first_in(down, "url").alias("first_download_url"),
-        first_in(down, "outfile").alias("first_download_outfile"),
-        F.count_if(F.col("eventid") == up).alias("file_upload_count"),
-        first_in(up, "filename").alias("first_upload_filename"),
-        first_in(up, "outfile").alias("first_upload_outfile"),
-        first_in(up, "destfile").alias("first_upload_destfile"),
-        first_in(up, "url").alias("first_upload_url"),
-    )
+        F.count_if(F.col("eventid") == up).alias("file_upload_count"))
+    found = counts.join(picked(hits, {n: n for n in present}), "session_id")
+    value = {n: F.col(n) if n in present else F.lit(None).cast("string").alias(n) for n in wanted}
+    names = list(wanted)
+    return found.select(
+        "session_id", *[value[n] for n in names[:6]], "file_download_count", *[value[n] for n in names[6:8]],
+        "file_upload_count", *[value[n] for n in names[8:]])
 
 
 ORDER_SPAN = 100_000
