@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trapline.llm import graph, hnsw, minhash, secrets
+from trapline.llm import common, graph, hnsw, minhash, secrets
 from trapline.llm.common import table
 
 FOLDER, LABELLED = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -167,3 +167,15 @@ def shingles_of(text, n):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     n = min(n, len(words))
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
+
+
+def test_hashes_do_not_depend_on_slabs_or_batches(monkeypatch):
+    texts = pa.array(["", None, "x" * 700 + " y", "é à " * 90, "a b c d e f g"])
+    whole = common.Words(texts)
+    monkeypatch.setattr(common, "SLAB", 64)
+    common._powers_for.cache_clear()
+    small = common.Words(texts)
+    common._powers_for.cache_clear()
+    assert (whole.hash == small.hash).all() and len(whole.hash) == 189
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    assert [p.num_rows for p in common.chunks(batch, "text", 1 << 20, 2)] == [2, 2, 1]
