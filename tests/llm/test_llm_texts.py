@@ -78,6 +78,34 @@ def test_pii_contexts(spark):
     assert got[100] == ["context"] and got[101] == [] and got[3] == ["email"]
 
 
+def test_pii_contexts_of_any_form(spark):
+    """Short and dotless identifiers, and parts of runs before and after base matches, are found by their label."""
+    rows = [(i, f"and then kontakt: user{i}@mail{i}.example.org said") for i in range(60)]
+    cases = {
+        100: ("so kontakt: @handle said", ["@handle"]), 101: ("so kontakt: user@host said", ["user@host"]),
+        102: ("so kontakt: AB-12345 said", ["AB-12345"]), 103: ("so kontakt: CD-1234567 a@b.example said", ["CD-1234567"]),
+        104: ("so kontakt: 🙂 x1", []), 105: ("so kontakt: a@b.example EF-7654321, said", ["EF-7654321"]),
+        106: ("so kontakt:\n4111 1111 1111 1111 GH-77 +49 30 1234567 IJ-88 said", ["GH-77", "IJ-88"]),
+        107: ("the then KL-1234567 stands", []), 108: ("kontakt: \U0010ff41\U0010ff42 said", []),
+    }
+    texts = rows + [(i, t) for i, (t, _) in cases.items()]
+    found = {r.id: r.spans for r in pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    got = {i: [t[s.begin:s.end] for s in found[i] if s.kind == "context"] for i, (t, _) in cases.items()}
+    assert got == {i: want for i, (_, want) in cases.items()}
+
+
+def test_pii_contexts_spread_until_nothing_changes(spark):
+    """Each label is known only by identifiers that the label before it made sure."""
+    labels = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]
+    texts = [f"the alpha u{i}@mail.example said" for i in range(200)]
+    for k in range(len(labels) - 1):
+        texts += [f"the {labels[k]} Q{k}-{i} said" for i in range(6)] + [f"the {labels[k + 1]} Q{k}-{i} said" for i in range(6) for _ in range(10)]
+    texts.append("the theta LAST-1 said")
+    rows = list(enumerate(texts))
+    got = {r.id: [s.kind for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[len(rows) - 1] == ["context"]
+
+
 def plain_secrets(text):
     found = []
     for i, (kind, pattern) in enumerate([

@@ -1,11 +1,14 @@
 """Personal data by patterns, widened by bootstrapped contexts. DataFrame functions only.
 
 Four base kinds are found by their forms. They are the seeds of a graph between
-instances (runs of words with digits or an at sign) and the lexical patterns
-around them (the word before). A pattern's score is the weight of the instances it
-precedes over all its occurrences in the corpus; an instance's score is the chance that at
-least one confident pattern means it. A few rounds of the two spread confidence
-from the seeds, and instances of confident patterns are reported as ``context``.
+instances and the lexical patterns around them (the word before). Words with digits or an
+at sign that follow each other by a single space are a run; a run is cut at base matches,
+and each base match and each part between them is an instance that goes by the word before
+the run. A pattern's score is the weight of the instances it precedes over all its
+occurrences in the corpus; a run weighs once, by its first base match or else its first
+part. An instance's score is the chance that at least one confident pattern means it.
+Rounds of the two spread confidence from the seeds until no pattern becomes confident and
+no score rises any more, and instances of confident patterns are reported as ``context``.
 
 Defined cases: null and empty texts have no findings; a null id is kept; repeated
 rows get the same findings each and count each time; empty tables give empty
@@ -23,6 +26,7 @@ from trapline.llm import common, spans
 from trapline.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
+SETTLED = 1e-9
 _NAME = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     # A run of name characters is tried from its beginning, or from where the last match ended, and never given back.
@@ -31,10 +35,15 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words that hold a digit or an at sign, and all such words that follow directly.
-_WORD = r"[^\s0-9@]*+[0-9@]\S*+"
-INSTANCE = rf"(?<!\S){_WORD}(?:\x20{_WORD})*+"
-SEED = "@[A-Za-z0-9-]+\\.[A-Za-z0-9-]|(?<![0-9])[0-9]{1,3}(?:\\.[0-9]{1,3}){3}(?![0-9])|(?:[0-9][\\x20-]?){16,19}|\\+[0-9](?:[\\x20().-]*[0-9]){7,14}"
+#: Characters of base matches, and what stands for them where runs are cut: the private code points U+10FF20 to U+10FF7E.
+_PLAIN = "".join(map(chr, range(0x20, 0x7F)))
+_MARKED = "".join(chr(0x10FF00 + c) for c in range(0x20, 0x7F))
+_MARK = f"{_MARKED[0]}-{_MARKED[-1]}"
+#: Words that hold a digit or an at sign, and all such words that follow directly, outside base matches.
+_WORD = rf"[^\s0-9@{_MARK}]*+[0-9@][^\s{_MARK}]*+"
+INSTANCE = rf"[{_MARK}]++|(?<![^\s{_MARK}]){_WORD}(?:\x20{_WORD})*+"
+#: The same for a text without base matches.
+_WHOLE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 
 
 def _digits(text: Column) -> Column:
@@ -75,15 +84,34 @@ def _base_mark(kind: str):
                               (p["match"].isNotNull() & _valid(F.lit(kind), p["match"])).alias("told"))
 
 
-def _instance_mark(p: Column) -> Column:
-    """An identifier-like run of words without marks around it, and the word before."""
-    head = F.length(F.regexp_extract(p["match"], r"^[^\p{L}\p{N}+(]*+", 0))
-    core = F.regexp_replace(F.substr(p["match"], head + 1), r"[^\p{L}\p{N}]++$", "")
-    before = _plain(F.substring_index(F.rtrim(F.translate(p["gap"], "\t\n\x0b\f\r", " " * 5)), " ", -1))
-    seed = p["match"].rlike(SEED)
-    told = F.coalesce((seed | (F.length(_digits(core)) >= 6)) & (before != ""), F.lit(False))
-    return F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("size"), told.alias("told"), head.alias("head"),
-                    F.when(told, core).alias("instance"), F.when(told, before).alias("pattern"), F.when(told, seed).alias("seed"))
+def _cut(text: Column, kind: str) -> Column:
+    """The text with the matches of a kind that count in marked characters."""
+    match = lambda m: F.coalesce(F.when(_valid(F.lit(kind), m), F.translate(m, _PLAIN, _MARKED)).otherwise(m), F.lit(""))
+    part = lambda p: F.concat(p["gap"], match(p["match"]))
+    return F.array_join(F.transform(spans.pieces(text, PATTERNS[kind]), part), "")
+
+
+def _either(one: Column, other: Column) -> Column:
+    """Characters marked in one of two copies of a text are marked."""
+    pick = lambda a, b: F.when(a >= _MARKED[0], a).otherwise(b)
+    return F.array_join(F.zip_with(F.split(one, ""), F.split(other, ""), pick), "")
+
+
+def _instance_mark(p: Column, last: Column) -> Column:
+    """A base match, or a part of a run without marks around it, and the word before the run.
+
+    ``joined`` parts lie in the run of the part before, ``last``.
+    """
+    seed = p["match"] >= _MARKED[0]
+    head = F.when(seed, 0).otherwise(F.length(F.regexp_extract(p["match"], r"^[^\p{L}\p{N}+(@]*+", 0)))
+    core = F.when(seed, F.translate(p["match"], _MARKED, _PLAIN)).otherwise(
+        F.regexp_replace(F.substr(p["match"], head + 1), r"[^\p{L}\p{N}]++$", ""))
+    joined = last["match"].isNotNull() & p["gap"].rlike(r"^\S*+\x20?+\S*+\z")
+    upto = F.concat(F.coalesce(F.translate(last["match"], _MARKED, _PLAIN), F.lit("")), p["gap"])
+    upto = F.translate(F.regexp_replace(upto, r"(?<!\S)\S++\z", ""), "\t\n\x0b\f\r", " " * 5)
+    before = F.when(~joined, _plain(F.substring_index(F.rtrim(upto), " ", -1)))
+    return F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("size"), (core != "").alias("told"), head.alias("head"),
+                    F.when(core != "", core).alias("instance"), before.alias("pattern"), seed.alias("seed"), joined.alias("joined"))
 
 
 def marks(documents: DataFrame, text: Column) -> DataFrame:
@@ -91,12 +119,21 @@ def marks(documents: DataFrame, text: Column) -> DataFrame:
 
     Marks hold lengths and identifiers, so no text is shuffled; copies combine before the shuffle.
     """
-    kinds = [F.transform(spans.pieces(text, PATTERNS[k]), _base_mark(k)).alias(k) for k in KINDS]
-    found = documents.select(common.digest(text).alias("tid"), *kinds, F.transform(spans.pieces(text, INSTANCE), _instance_mark).alias("context"))
+    own = F.when(text.rlike(f"[{_MARK}]"), F.regexp_replace(text, f"[{_MARK}]", "\ufffd")).otherwise(text)
+    found = documents.select(common.digest(text).alias("tid"), own.alias("text"))
+    found = found.select("tid", "text", *[F.transform(spans.pieces(F.col("text"), PATTERNS[k]), _base_mark(k)).alias(k) for k in KINDS])
     # Most digits are no card: a kind without one match that counts is left out before any row is made.
+    some = found.select("tid", "text", *[F.when(F.exists(k, lambda p: p["told"]), F.col(k)).alias(k) for k in KINDS])
+    copies = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), _cut(F.col("text"), k)) for k in KINDS]))
+    cut = F.aggregate(copies, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull(), b).otherwise(_either(a, b)))
+    parts = some.select("tid", *KINDS, "text", cut.alias("cut")).select("tid", *KINDS, F.when(
+        F.col("cut").isNull(), spans.pieces(F.col("text"), _WHOLE)).otherwise(spans.pieces(F.col("cut"), INSTANCE)).alias("parts"))
+    # The last piece has no match; its text is not needed.
+    parts = parts.withColumn("parts", F.filter("parts", lambda p: p["match"].isNotNull()))
+    earlier = F.concat(F.array(F.lit(None).cast(parts.schema["parts"].dataType.elementType)), F.slice("parts", 1, F.size("parts") - 1))
+    context = F.when(F.size("parts") > 0, F.zip_with("parts", earlier, _instance_mark)).alias("context")
     names = [*KINDS, "context"]
-    some = found.select("tid", *[F.when(F.exists(k, lambda p: p["told"]), F.col(k)).alias(k) for k in names])
-    return (some.where(F.greatest(*[F.col(k).isNotNull() for k in names]))
+    return (parts.select("tid", *KINDS, context).where(F.greatest(*[F.col(k).isNotNull() for k in names]))
             .groupBy("tid").agg(F.count("*").alias("n"), F.first(F.struct(*names)).alias("m")).select("tid", "n", "m.*"))
 
 
@@ -108,10 +145,21 @@ def base_spans(marked: DataFrame) -> DataFrame:
 
 
 def instances(marked: DataFrame) -> DataFrame:
-    """``tid, n, begin, end, instance, pattern, seed`` of every identifier-like run of words."""
-    placed = _placed(marked.select("tid", "n", F.posexplode("context").alias("i", "p")), ["tid"]).where("p.told")
+    """``tid, n, begin, end, instance, pattern, seed, weight`` of every base match and other part of a run with a word before.
+
+    ``weight`` is ``n`` for the part that its run weighs by, else 0.
+    """
+    placed = _placed(marked.select("tid", "n", F.posexplode("context").alias("i", "p")), ["tid"])
+    placed = placed.withColumn("run", F.sum((~F.col("p.joined")).cast("int")).over(Window.partitionBy("tid").orderBy("i")))
+    run = Window.partitionBy("tid", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = F.col("p.told")
     begin = F.col("begin") + F.col("p.head")
-    return placed.select("tid", "n", begin.alias("begin"), (begin + F.length("p.instance")).alias("end"), "p.instance", "p.pattern", "p.seed")
+    return placed.select(
+        "tid", "n", begin.alias("begin"), (begin + F.length("p.instance")).alias("end"), "p.instance", "p.seed",
+        F.first("p.pattern").over(run).alias("pattern"),
+        F.coalesce(F.min(F.when(F.col("p.seed"), F.col("i"))).over(run), F.min(F.when(told, F.col("i"))).over(run)).alias("weighs"), "i",
+    ).where(F.col("instance").isNotNull() & (F.col("pattern") != "")).select(
+        "tid", "n", "begin", "end", "instance", "pattern", "seed", F.when(F.col("i") == F.col("weighs"), F.col("n")).otherwise(0).alias("weight"))
 
 
 def occurrences(documents: DataFrame, text: Column) -> DataFrame:
@@ -120,24 +168,34 @@ def occurrences(documents: DataFrame, text: Column) -> DataFrame:
     return words.groupBy(_plain(F.col("word")).alias("pattern")).agg(F.sum("n").alias("total")).where(F.col("pattern") != "")
 
 
-def context_spans(marked: DataFrame, words: DataFrame, *, rounds: int = 3, least_instances: int = 5, least_score: float = 0.8) -> DataFrame:
+def context_spans(marked: DataFrame, words: DataFrame, *, least_instances: int = 5, least_score: float = 0.8) -> DataFrame:
     """``tid, begin, end`` of instances that confident patterns precede.
 
-    A pattern needs ``least_instances`` different instances and ``least_score`` to count.
+    A pattern needs ``least_instances`` different instances and ``least_score`` to count. Scores only rise from
+    round to round; the rounds end when no pattern becomes confident and no confidence rises by ``SETTLED``.
     """
     found = materialise(instances(marked), "instances")
-    edges = found.groupBy("pattern", "instance").agg(F.sum("n").alias("n"), F.max("seed").alias("seed"))
-    known = edges.groupBy("pattern").agg(F.count("*").alias("m")).where(F.col("m") >= least_instances).select("pattern")
-    edges = materialise(edges.join(words.join(known, "pattern"), "pattern").withColumn("score", F.col("seed").cast("double")), "edges")
-    for _ in range(rounds):
-        patterns = (edges.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("confidence"))
+    edges = found.groupBy("pattern", "instance").agg(F.sum("weight").alias("n"), F.max("seed").alias("seed"))
+    # A pattern that mostly precedes no instance stays below the score even if all its instances are sure.
+    known = (edges.groupBy("pattern").agg(F.count_if(F.col("n") > 0).alias("m"), F.sum("n").alias("most")).where(F.col("m") >= least_instances)
+             .join(words, "pattern").where(F.col("most") / F.col("total") >= least_score).select("pattern", "total"))
+    edges = materialise(edges.join(known, "pattern"), "edges")
+    score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("chance", F.lit(0.0)))
+    meant, reached = None, (0, 0.0)
+    while True:
+        scored = edges.withColumn("chance", F.lit(0.0)) if meant is None else edges.join(meant, "instance", "left")
+        patterns = (scored.groupBy("pattern").agg((F.sum(F.col("n") * score) / F.max("total")).alias("confidence"))
                     .where(F.col("confidence") >= least_score).withColumn("confidence", F.least("confidence", F.lit(0.999))))
-        meant = (edges.join(patterns, "pattern").groupBy("instance")
-                 .agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("chance")))
-        edges = materialise(edges.join(meant, "instance", "left").select(
-            "pattern", "instance", "n", "seed", "total",
-            F.when(F.col("seed"), 1.0).otherwise(F.coalesce("chance", F.lit(0.0))).alias("score")), "edges")
-    sure = edges.where(~F.col("seed") & (F.col("score") >= least_score)).select("instance").distinct()
+        patterns = materialise(patterns, "patterns")
+        now = tuple(patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first())
+        if now[0] == reached[0] and now[1] - reached[1] < SETTLED:
+            break
+        reached = now
+        meant = materialise(edges.where(~F.col("seed")).join(patterns, "pattern").groupBy("instance")
+                            .agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("chance")), "meant")
+    if meant is None:
+        return found.select("tid", "begin", "end").limit(0)
+    sure = meant.where(F.col("chance") >= least_score).select("instance")
     return found.where(~F.col("seed")).join(sure, "instance", "left_semi").select("tid", "begin", "end")
 
 
