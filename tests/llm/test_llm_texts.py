@@ -143,6 +143,31 @@ def test_secret_ledger_scans_only_what_is_new(spark, tmp_path):
     assert triples.count() == 2
 
 
+def test_pieces_of_whole_texts_are_decoded():
+    """The decoded text comes from the text's own ids, and the library decodes them as a whole."""
+    vocab = sentencepieces.Vocabulary(tokenizer_path(PIECES))
+    texts = ["one two\nthree", "", "  Ünïcode ▁ 🙂"]
+    plain = [t.replace("▁", " ") for t in texts]
+    assert [(d, ok) for _, d, ok in vocab.encode(texts)] == [(t, True) for t in plain]
+
+    class Faulty:
+        """A library that decodes texts of several words wrongly."""
+
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, *args, **options):
+            return self.library.encode(*args, **options)
+
+        def decode(self, lists, **options):
+            return [t.replace(" two\n", " 2\n") for t in self.library.decode(lists, **options)]
+
+    vocab.library = Faulty(vocab.library)
+    assert [ok for _, _, ok in vocab.encode(texts)] == [False, True, True]
+    vocab.known["▁two"] = (vocab.encode_stretch("▁three"), "0", " three")
+    assert vocab.encode(["one two"])[0][1] == "one three"
+
+
 def test_pieces_match_the_library(awkward):
     import sentencepiece
 

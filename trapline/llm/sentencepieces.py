@@ -3,8 +3,8 @@
 Each stretch of a text that no piece can reach across is merged on its own: an
 agenda of adjacent symbol pairs, ordered by score and then from the left, says
 which pair joins next. Symbols that end up outside the vocabulary become byte
-pieces. Every distinct stretch is also encoded, and its ids decoded, by the sentencepiece
-library in the same Arrow batch, and the results are compared.
+pieces. Every distinct stretch is also encoded by the sentencepiece library, and the ids
+of every text are decoded by it as a whole, and the results are compared in the same Arrow batch.
 
 Defined cases: null is the empty text, which has only the end id; a text of any
 length is encoded whole (a stretch without any break costs n log n); repeated rows
@@ -48,8 +48,7 @@ class Vocabulary:
         spanning = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids if len(p) > 1)
         self.stretches = re.compile("(?s).+" if spanning else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         self.lead = self.library.encode("\n")
-        self.known: dict[str, str] = {}
-        self.altered: dict[str, str] = {}
+        self.known: dict[str, tuple[list[int], str, str]] = {}
         self.doubtful: set[str] = set()
 
     def merge(self, stretch: str) -> list[str]:
@@ -115,37 +114,36 @@ class Vocabulary:
         return out.decode("utf-8", "replace").replace(SPACE, " ")
 
     def learn(self, stretches: set[str]) -> None:
-        """Encodes the stretches not known yet and holds ids and decoded texts against the library."""
+        """Encodes the stretches not known yet and holds their ids against the library."""
         new = [s for s in stretches if s not in self.known]
         if len(self.known) + len(new) > CACHE:
             self.known = {s: self.known[s] for s in stretches if s in self.known}
-        ids = [self.encode_stretch(s) for s in new]
         # The line end keeps the library's own leading space mark apart from the stretch.
         encoded = self.library.encode(["\n" + s.replace(SPACE, " ") for s in new], num_threads=1)
-        decoded = self.library.decode([self.lead + i for i in ids]) if new else []
-        for s, own, other, text in zip(new, ids, encoded, decoded):
-            mine = self.decode_ids(own)
-            if other != self.lead + own or text != "\n" + mine:
+        for s, other in zip(new, encoded):
+            own = self.encode_stretch(s)
+            if other != self.lead + own:
                 self.doubtful.add(s)
-            if mine != s.replace(SPACE, " "):
-                self.altered[s] = mine
-            self.known[s] = " ".join(map(str, own))
+            self.known[s] = own, " ".join(map(str, own)), self.decode_ids(own)
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, bool]]:
         """For each text its ids with the end id, spelled out, the text they decode to, and whether the library agrees."""
         split = [self.stretches.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         self.learn({s for parts in split for s in parts})
-        known, out, end = self.known, [], str(self.end)
-        for text, parts in zip(texts, split):
-            spelled = " ".join([known[s] for s in parts])
-            if self.altered:
-                decoded = "".join([self.altered.get(s, s) for s in parts]).replace(SPACE, " ")[1:]
-            else:
-                # Every stretch decodes to itself, so the text does.
-                decoded = text.replace(SPACE, " ")
+        known, out, whole, end = self.known, [], [], str(self.end)
+        for parts in split:
+            entries = [known[s] for s in parts]
+            ids: list[int] = []
+            for e in entries:
+                ids += e[0]
+            ids.append(self.end)
+            whole.append(ids)
+            spelled = " ".join([e[1] for e in entries])
+            decoded = "".join([e[2] for e in entries])[1:]
             agrees = not self.doubtful or self.doubtful.isdisjoint(parts)
             out.append((f"{spelled} {end}" if spelled else end, decoded, agrees))
-        return out
+        theirs = self.library.decode(whole, num_threads=1) if whole else []
+        return [(spelled, decoded, agrees and decoded == other) for (spelled, decoded, agrees), other in zip(out, theirs)]
 
 
 _LOADED: dict[str, Vocabulary] = {}
