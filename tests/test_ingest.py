@@ -207,3 +207,16 @@ def test_a_broken_stored_document_does_not_end_the_job(spark):
     flat = {r.id: (r.eventid, r.username) for r in store.flatten(logs).collect()}
     assert flat == {1: ("ssh.login", "a"), 2: (None, None), 3: (None, None)}
     assert {r.id: r.reject_reason for r in store.broken_documents(logs).collect()} == {2: "not JSON", 3: "no document"}
+
+
+def test_broken_nested_documents_are_listed(spark, tmp_path):
+    good = '{"s1": [{"eventid": "a"}]}'
+    docs = [good, "[" + good + "]", '{"s2": [{"eventid": "b"}', "[" + good + ", {", '{"s3": 5}', "7", "", "  "]
+    (tmp_path / "lines.json").write_text("\n".join(docs))
+    (tmp_path / "whole.json").write_text('{\n"s4": [\n')
+    broken = files.broken_nested(spark, str(tmp_path / "lines.json")).collect()
+    assert {r.value: r.reject_reason for r in broken} == {
+        docs[2]: "not JSON", docs[3]: "not JSON", docs[4]: "not sessions with lists of events", docs[5]: "not sessions with lists of events"}
+    assert files.read_nested(spark, str(tmp_path / "lines.json")).count() == 2
+    whole = files.broken_nested(spark, str(tmp_path / "whole.json"), whole=True).collect()
+    assert [(r._source_file, r.reject_reason) for r in whole] == [("whole.json", "not JSON")]

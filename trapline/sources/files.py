@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,13 @@ def read_json_any(
 SESSION_MAP = T.MapType(T.StringType(), T.ArrayType(NESTED_EVENT))
 
 
+def _session_maps() -> Column:
+    """The session maps of the document in ``value``; null or a null entry where it cannot be read."""
+    listed = F.from_json("value", T.ArrayType(SESSION_MAP))
+    single = F.array(F.from_json("value", SESSION_MAP))
+    return F.when(F.ltrim("value").startswith("{"), single).otherwise(listed)
+
+
 def read_nested(
     spark: SparkSession,
     path: str | list[str],
@@ -78,14 +85,10 @@ def read_nested(
 
     ``whole=True`` reads one document per file; otherwise each line holds one.
     ``max_events`` keeps the first ones by file path, line and position.
+    Documents that cannot be read give no events; ``broken_nested`` lists them.
     """
     docs = read_lines(spark, path, whole, skip_unreadable)
-    listed = F.from_json("value", T.ArrayType(SESSION_MAP))
-    single = F.array(F.from_json("value", SESSION_MAP))
-    opens_map = F.ltrim("value").startswith("{")
-    entries = docs.select(
-        "_source_file", "_place",
-        F.posexplode(F.when(opens_map, single).otherwise(listed)).alias("entry_pos", "entry"))
+    entries = docs.select("_source_file", "_place", F.posexplode(_session_maps()).alias("entry_pos", "entry"))
     events = (entries
               .select("_source_file", "_place", "entry_pos", F.explode("entry").alias("entry_session", "events"))
               .select("_source_file", "_place", "entry_pos", "entry_session",
@@ -106,6 +109,23 @@ def read_nested(
     return first.drop("_place")
 
 
+def broken_nested(
+    spark: SparkSession, path: str | list[str], whole: bool = False, skip_unreadable: bool = False
+) -> DataFrame:
+    """Documents that ``read_nested`` cannot read wholly, as they came, with file and reason.
+
+    Blank documents are neither read nor broken.
+    """
+    docs = read_lines(spark, path, whole, skip_unreadable).select("_source_file", "value", F.explode(F.array(
+        F.struct(_session_maps().alias("maps")))).alias("doc"))
+    maps = F.col("doc.maps")
+    lost = F.exists(maps, lambda m: m.isNull() | F.exists(F.map_values(m), lambda events: events.isNull()))
+    reason = (F.when(F.try_parse_json("value").isNull(), "not JSON")
+              .when(maps.isNull() | lost, "not sessions with lists of events"))
+    return (docs.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+            .select("_source_file", "value", reason.alias("reject_reason")).filter("reject_reason IS NOT NULL"))
+
+
 def read_datasets(
     spark: SparkSession, folder: str, whole: bool = False, pattern: str = "*.json"
 ) -> DataFrame:
