@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapline.llm import chat, common, hnsw, minhash, pii, secrets, sentencepieces, suffixes, token_counts, toxicity, winnow
+from trapline.llm import (
+    alignment, archives, chat, common, hnsw, infilling, minhash, pii, secrets, sentencepieces, suffixes, token_counts, toxicity, winnow)
+from trapline.session import materialise, scratch_path
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.tiktoken"
+BYTES_JSON = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -105,10 +108,69 @@ CHAT_SQL = f"""
     FROM t GROUP BY conv_id"""
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_texts(common.table(spark, sf_dir, "documents"), tokenizer_path(BYTES_JSON), tokenizer_path(PIECES))
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return aligned.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", groups)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    folder = scratch_path(spark, "warc")
+    archives.write(pages, folder)
+    # The files are taken apart once; the join needs what the payloads came to, not the payloads.
+    found = archives.verified(archives.read(spark, folder)).select("type", "record_id", "refers_to", "sha256", "sha1", "size")
+    whole = archives.reconstruct(materialise(found, "records"))
+    kind = pages.schema["page_id"].dataType
+    return whole.select(
+        archives.page_id(F.col("record_id"), kind).alias("page_id"), F.col("size").alias("payload_bytes"), F.col("sha1").alias("payload_digest"),
+        F.col("type").alias("record_type"), archives.page_id(F.col("refers_to"), kind).alias("refers_to"))
+
+
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = infilling.rearrange(common.table(spark, sf_dir, "documents"))
+    return moved.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infilling.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha1(h), {5 * i + 1}, 5))::BIGINT >> {shift} & 31)::INT + 1, 1)"
+    for i in range(8) for shift in (15, 10, 5, 0))
+WARC_SQL = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages)
+    SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_LETTERS} AS payload_digest,
+        CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> least THEN least END AS refers_to
+    FROM p"""
+INFILLING_SQL = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS x,
+            CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_extract_all(text, '[^
+]*
+|[^
+]+') END AS units FROM documents),
+    h AS (
+        SELECT *, len(units) AS n, ('0x' || substr(x, 1, 8))::BIGINT AS h1, ('0x' || substr(x, 9, 8))::BIGINT AS h2,
+            ('0x' || substr(x, 17, 8))::BIGINT AS h3, ('0x' || substr(x, 25, 8))::BIGINT AS h4 FROM d),
+    c AS (
+        SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    w AS (
+        SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+    FROM w"""
+
+
 def queries():
     return {f.__name__: f for f in (
-        op1_near_duplicates, op2_nearest, op3_pii, op4_repeated_bytes, op5_sentencepiece, op6_secrets, op7_token_counts, op8_toxicity, op9_decontamination, op10_chat)}
+        op1_near_duplicates, op2_nearest, op3_pii, op4_repeated_bytes, op5_sentencepiece, op6_secrets, op7_token_counts, op8_toxicity,
+        op9_decontamination, op10_chat, op11_alignment, op12_warc, op13_infilling)}
 
 
 def oracle_sql():
-    return {"op10_chat": CHAT_SQL}
+    return {"op10_chat": CHAT_SQL, "op12_warc": WARC_SQL, "op13_infilling": INFILLING_SQL}
