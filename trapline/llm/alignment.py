@@ -40,12 +40,14 @@ from trapline.llm.bits import Bits
 from trapline.session import materialise
 
 SPACE = "▁"
-CACHE = 24 << 20  # characters of stretches and their groups that a worker keeps
+CACHE = 160 << 20  # bytes of stretches, with their groups, that a worker keeps
+RUN = 512  # new stretches encoded in one string
 FAN_IN = 8  # vectors added by one task of the tree
 #: White space of either library and characters close to it: none of them is taken for the end of a stretch.
 _WIDE = r"\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
 BLANK = r"\t-\r\x1c-\x20" + _WIDE
 OTHER_BLANK = r"\t\x0b-\r\x1c-\x1f" + _WIDE
+CUTTABLE = re.compile(f"[^{BLANK}]\\Z")
 STRETCH = f"(?:[{BLANK}]+[^{BLANK}]*|[^{BLANK}]+)(?:[{OTHER_BLANK}][{BLANK}]*[^{BLANK}]*)*"
 
 
@@ -74,6 +76,8 @@ class Aligner:
         n = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.numerals = [str(i) for i in range(max(len(self.a_bytes), n))]
         self.lead = self.b.encode("\n")
         with open(a_path, encoding="utf-8") as f:
             before = json.load(f).get("pre_tokenizer") or {}
@@ -86,8 +90,8 @@ class Aligner:
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
         self.groups: list[str] = []
-        self.facts: list[tuple[int, int, int]] = []  # tokens of A, tokens of B, links
-        self.links: list[list[int]] = []
+        self.facts = np.zeros((0, 3), dtype=np.int64)  # tokens of A, tokens of B, links
+        self.links: list[np.ndarray] = []
         self.unspelled: set[str] = set()
         self.held = 0
 
@@ -97,61 +101,97 @@ class Aligner:
         longer_a = sum(known_b[t[i:]] for t in self.a_bytes for i in range(len(t)))
         return longer_a + sum(known_a[t[i:]] for t in self.b_bytes for i in range(1, len(t)))
 
-    def _align(self, stretch: str, a: list[int], b: list[int]) -> None:
-        spelled = stretch.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != spelled or b"".join([self.b_bytes[i] for i in b]) != spelled:
-            self.unspelled.add(stretch)
-            a = b = []
-        groups, links = [], []
-        i = j = first_a = first_b = 0
-        end_a = end_b = 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b and i < len(a):
-                end_a += len(self.a_bytes[a[i]])
-                i += 1
-            else:
-                end_b += len(self.b_bytes[b[j]])
-                j += 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                links.append(a[i - 1] * len(self.b_bytes) + b[j - 1])
-                first_a, first_b = i, j
-        self.slot[stretch] = len(self.groups)
-        self.groups.append(";".join(groups))
-        self.facts.append((len(a), len(b), len(links)))
-        self.links.append(links)
-        self.held += len(stretch) + len(self.groups[-1]) + 100
-
-    def learn(self, stretches: set[str]) -> int:
-        """Aligns the stretches not known; says how many slots were known before, none if the others had to go."""
+    def _encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """Ids of both vocabularies for each text, none for a text that they do not spell."""
+        ours = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        # The line end keeps the library's own leading space mark apart from the text; whole texts bring theirs.
+        theirs = self.b.encode([t[1:] if self.whole else "\n" + t for t in texts], num_threads=1)
+        out = []
+        for text, x, y in zip(texts, ours, theirs):
+            a, b, spelled = x.ids, y if self.whole else y[len(self.lead):], text.encode()
+            same = b"".join([self.a_bytes[i] for i in a]) == spelled and b"".join([self.b_bytes[i] for i in b]) == spelled
+            out.append((a, b) if same else ([], []))
+        return out
+
+    def learn(self, stretches: set[str], spell: bool) -> int:
+        """Aligns the stretches not known; says how many slots were known before, none if the others had to go.
+
+        Groups are spelled out only if wanted.
+        """
         if self.held > CACHE:
             self.forget()
-        before = len(self.groups)
+        before = len(self.facts)
         new = [s for s in stretches if s not in self.slot]
-        ours = self.a.encode_batch(new, add_special_tokens=False)
-        # The line end keeps the library's own leading space mark apart from the stretch; whole texts bring theirs.
-        theirs = self.b.encode([s[1:] if self.whole else "\n" + s for s in new], num_threads=1)
-        skip = 0 if self.whole else len(self.lead)
-        for stretch, x, y in zip(new, ours, theirs):
-            self._align(stretch, x.ids, y[skip:])
+        joined = [] if self.whole else [s for s in new if CUTTABLE.search(s)]
+        alone = new if self.whole else [s for s in new if not CUTTABLE.search(s)]
+        runs = [joined[i:i + RUN] for i in range(0, len(joined), RUN)]
+        encoded = list(zip(runs, self._encoded(["".join(r) for r in runs])))
+        # What one stretch of a run does not spell says nothing of the others.
+        alone += [s for run, (a, _) in encoded if not a for s in run]
+        encoded = [(run, ids) for run, ids in encoded if ids[0]]
+        for stretch, ids in zip(alone, self._encoded(alone)):
+            if ids[0]:
+                encoded.append(([stretch], ids))
+            else:
+                self.unspelled.add(stretch)
+                self.slot[stretch] = -1
+                self.held += 200 + len(stretch)
+        if encoded:
+            self._align([s for run, _ in encoded for s in run], *(np.array([i for _, ids in encoded for i in ids[k]], dtype=np.int64) for k in (0, 1)), spell)
         return before
 
-    def split(self, texts: list[str]) -> tuple[list[list[str]], int]:
-        """Stretches of each text, none for one that its tokens do not spell; and what ``learn`` says."""
+    def _align(self, stretches: list[str], a: np.ndarray, b: np.ndarray, spell: bool) -> None:
+        """Groups and links of stretches whose tokens stand one after another in ``a`` and ``b``."""
+        stops = np.cumsum([len(s.encode()) for s in stretches])
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        met = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(ends_a, met), np.searchsorted(ends_b, met)
+        upto = np.searchsorted(met, stops)
+        if len(met) <= upto[-1] or (met[upto] != stops).any():
+            raise RuntimeError("a token reaches across the end of a stretch")
+        self.links.append(a[last_a] * len(self.b_bytes) + b[last_b])
+        counts = [np.diff(x, prepend=-1) for x in (last_a[upto], last_b[upto], upto)]
+        first = len(self.facts)
+        self.facts = np.concatenate([self.facts, np.column_stack(counts)])
+        self.slot.update(zip(stretches, range(first, len(self.facts))))
+        self.held += sum(map(len, stretches)) + 250 * len(stretches)
+        if spell:
+            a_text, b_text = [self.numerals[i] for i in a.tolist()], [self.numerals[i] for i in b.tolist()]
+            groups, i, j = [], 0, 0
+            for x, y in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
+                groups.append(f"{a_text[i]}|{b_text[j]}" if x - i == y - j == 1 else f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}")
+                i, j = x, y
+            i = 0
+            for x in (upto + 1).tolist():
+                self.groups.append(";".join(groups[i:x]))
+                self.held += len(self.groups[-1])
+                i = x
+
+    def split(self, texts: list[str], spell: bool) -> tuple[np.ndarray, np.ndarray, int]:
+        """Slots of the stretches of all texts, where each text's begin (plus the end), and what ``learn`` says.
+
+        A text that its tokens do not spell has none.
+        """
         parts = [self.stretches.findall(f" {t}") if t else [] for t in texts]
-        before = self.learn({s for p in parts for s in p})
+        before = self.learn({s for p in parts for s in p}, spell)
         if self.unspelled:
             parts = [p if self.unspelled.isdisjoint(p) else [] for p in parts]
-        return parts, before
+        bounds = np.zeros(len(parts) + 1, dtype=np.int64)
+        np.cumsum([len(p) for p in parts], out=bounds[1:])
+        return np.array([self.slot[s] for p in parts for s in p], dtype=np.int64), bounds, before
 
 
-_LOADED: dict[tuple[str, str], Aligner] = {}
+_LOADED: dict[tuple[str, str, bool], Aligner] = {}
 
 
-def aligner(a_path: str, b_path: str) -> Aligner:
-    if (a_path, b_path) not in _LOADED:
-        _LOADED[a_path, b_path] = Aligner(a_path, b_path)
-    return _LOADED[a_path, b_path]
+def aligner(a_path: str, b_path: str, spell: bool) -> Aligner:
+    """This worker's aligner; those that spell groups out and those that do not keep stretches of their own."""
+    key = (a_path, b_path, spell)
+    if key not in _LOADED:
+        for other in list(_LOADED):
+            del _LOADED[other]
+        _LOADED[key] = Aligner(a_path, b_path)
+    return _LOADED[key]
 
 
 class PerfectHash:
@@ -215,28 +255,25 @@ class LinkCounts:
 def task_counts(df: DataFrame, a_path: str, b_path: str, *, text_col: str = "text") -> DataFrame:
     """``pair, n``: the linked pairs met by each task and how often; a pair comes once for every task."""
     def run(batches):
-        align = aligner(a_path, b_path)
-        totals: Counter[int] = Counter()
-        met = np.zeros(0, dtype=np.int64)  # how often each slot was met since the last time they were forgotten
-
-        def settle():
-            for slot in np.flatnonzero(met).tolist():
-                for pair in align.links[slot]:
-                    totals[pair] += int(met[slot])
+        align = aligner(a_path, b_path, False)
+        met = np.zeros(len(align.facts), dtype=np.int64)  # how often each slot was met since stretches were last forgotten
+        totals = np.zeros((2, 0), dtype=np.int64)
+
+        def settled():
+            links = np.concatenate([totals[0], *align.links])
+            n = np.concatenate([totals[1], np.repeat(met, align.facts[:len(met), 2])])
+            keys, place = np.unique(links[:len(n)][n > 0], return_inverse=True)
+            out = np.zeros(len(keys), dtype=np.int64)
+            np.add.at(out, place, n[n > 0])
+            return np.stack([keys, out])
 
         for batch in batches:
             for part in common.chunks(batch, "text", 1 << 20):
                 if align.held > CACHE:
-                    settle()
-                    met = np.zeros(0, dtype=np.int64)
-                parts, _ = align.split(part.column("text").to_pylist())
-                slot = align.slot
-                at = np.array([slot[s] for p in parts for s in p], dtype=np.int64)
-                met = np.concatenate([met, np.zeros(len(align.groups) - len(met), dtype=np.int64)])
-                met += np.bincount(at, minlength=len(met))
-        settle()
-        keys = np.fromiter(totals.keys(), dtype=np.int64, count=len(totals))
-        counts = np.fromiter(totals.values(), dtype=np.int64, count=len(totals))
+                    totals, met = settled(), met[:0]
+                at, _, _ = align.split(part.column("text").to_pylist(), False)
+                met = np.bincount(at, minlength=len(align.facts)) + np.pad(met, (0, len(align.facts) - len(met)))
+        keys, counts = settled()
         for i in range(0, len(keys), 65_536):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + 65_536]), pa.array(counts[i:i + 65_536])], ["pair", "n"])
 
@@ -308,16 +345,17 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_i
     found = df.sparkSession.sparkContext.broadcast(counts or link_counts(df, a_path, b_path, text_col=text_col))
 
     def run(batches):
-        align, known = aligner(a_path, b_path), found.value
+        align, known = aligner(a_path, b_path, True), found.value
         facts = np.zeros((0, 5), dtype=np.int64)
         for batch in batches:
             for part in common.chunks(batch, "text", 1 << 20):
-                parts, before = align.split(part.column("text").to_pylist())
+                at, bounds, before = align.split(part.column("text").to_pylist(), True)
                 facts = _looked_up(align, known, facts if before >= len(facts) else facts[:0])
-                slot, groups = align.slot, align.groups
-                at = [[slot[s] for s in p] for p in parts]
-                sums = np.array([facts[x].sum(axis=0) for x in at], dtype=np.int64).reshape(len(at), 5)
-                texts = [";".join([groups[i] for i in x]) for x in at]
+                sums = np.zeros((len(at) + 1, 5), dtype=np.int64)
+                np.cumsum(facts[at], axis=0, out=sums[1:])
+                sums = sums[bounds[1:]] - sums[bounds[:-1]]
+                groups = [align.groups[i] for i in at.tolist()]
+                texts = [";".join(groups[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 columns = [pa.array(sums[:, i]) for i in (0, 1, 2, 2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns, pa.array(texts, pa.string())], names)
 
@@ -328,15 +366,15 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, *, id_col: str = "doc_i
 
 def _looked_up(align: Aligner, known: LinkCounts, facts: np.ndarray) -> np.ndarray:
     """``facts`` with a row for each new slot: tokens of A, of B, links, links that are best, sum of counts."""
-    old, new = len(facts), len(align.groups) - len(facts)
+    old, new = len(facts), len(align.facts) - len(facts)
     if not new:
         return facts
-    flat = np.array([p for links in align.links[old:] for p in links], dtype=np.int64)
-    at = known.pairs.number(flat)
+    added = align.facts[old:]
+    links = np.concatenate(align.links)[align.facts[:old, 2].sum():] if old else np.concatenate(align.links)
+    at = known.pairs.number(links)
     there = at >= 0
-    sizes = np.array([f[2] for f in align.facts[old:]], dtype=np.int64)
-    owner, at = np.repeat(np.arange(new), sizes)[there], at[there]
+    owner, at = np.repeat(np.arange(new), added[:, 2])[there], at[there]
     best, total = np.zeros(new, dtype=np.int64), np.zeros(new, dtype=np.int64)
     np.add.at(best, owner, known.best[at])
     np.add.at(total, owner, known.counts[at])
-    return np.concatenate([facts, np.column_stack([np.array(align.facts[old:], dtype=np.int64), best, total])])
+    return np.concatenate([facts, np.column_stack([added, best, total])])
