@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trapline.session import scratch_path
+from trapline.sources import growing
+from trapline.sources.growing import growing_lines
 from trapline.streaming import ingest, live
 
 
@@ -116,3 +118,106 @@ def test_leaders_skip_private_sources(spark):
                              availableNow=True).awaitTermination()
     got = [(r["src_ip"], r["events"], r["rank"]) for r in live.live_leaders(spark, out).orderBy("rank").collect()]
     assert got == [("8.8.8.8", 20, 1), ("9.9.9.9", 1, 2)]
+
+
+def append(folder, service, name, text, mode="ab"):
+    target = folder / f"service={service}"
+    target.mkdir(parents=True, exist_ok=True)
+    with open(target / name, mode) as file:
+        file.write(text)
+
+
+class Tail:
+    """A stream over growing files that is started and stopped for every look."""
+
+    def __init__(self, spark, folder, **options):
+        self.spark, self.folder, self.options = spark, folder, options
+        self.out, self.checkpoint = scratch_path(spark, "tail"), scratch_path(spark, "ck")
+        self.seen = 0
+
+    def new(self):
+        lines = growing_lines(self.spark, str(self.folder), **self.options)
+        lines.writeStream.format("parquet").option("path", self.out).option("checkpointLocation", self.checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+        rows = self.spark.read.schema("value string, path string, place long").parquet(self.out).orderBy("path", "place").collect()
+        values = sorted(r["value"] for r in rows)
+        before, self.seen = self.seen, list(values)
+        for v in before or []:
+            values.remove(v)
+        return values
+
+
+@pytest.mark.parametrize("range_bytes", [growing.RANGE_BYTES, 7, 1])
+def test_appended_lines_come_once(spark, tmp_path, range_bytes):
+    tail = Tail(spark, tmp_path, range_bytes=range_bytes)
+    assert tail.new() == []
+    append(tmp_path, "http", "a.json", b"one\ntwo\n\nthree and a long line\nhal")
+    assert tail.new() == ["", "one", "three and a long line", "two"]
+    assert tail.new() == []
+    append(tmp_path, "http", "a.json", "f\r\nÜnï🙂\n".encode())
+    append(tmp_path, "ssh", "b.json", b"other file\n")
+    assert tail.new() == ["half", "other file", "Ünï🙂"]
+
+
+def test_files_started_anew_are_read_from_the_beginning(spark, tmp_path):
+    tail = Tail(spark, tmp_path)
+    append(tmp_path, "http", "short.json", b"a1\na2\na3\n")
+    append(tmp_path, "http", "long.json", b"b1\n")
+    assert tail.new() == ["a1", "a2", "a3", "b1"]
+    append(tmp_path, "http", "short.json", b"a4\n", "wb")
+    append(tmp_path, "http", "long.json", b"b2\nb3\nb4\n", "wb")
+    assert tail.new() == ["a4", "b2", "b3", "b4"]
+    (tmp_path / "service=http" / "short.json").unlink()
+    assert tail.new() == []
+    append(tmp_path, "http", "short.json", b"a4\n")
+    assert tail.new() == ["a4"]
+
+
+def test_renamed_and_copied_files_go_on(spark, tmp_path):
+    tail = Tail(spark, tmp_path)
+    lines = [f"line {i} of a file that is long enough to be known again" for i in range(20)]
+    append(tmp_path, "http", "log", "".join(f"{x}\n" for x in lines).encode())
+    assert tail.new() == sorted(lines)
+    append(tmp_path, "http", "log", b"last before the file is renamed\n")
+    (tmp_path / "service=http" / "log").rename(tmp_path / "service=http" / "log.1")
+    append(tmp_path, "http", "log", b"first of the next\n")
+    assert tail.new() == ["first of the next", "last before the file is renamed"]
+
+
+def test_hidden_and_other_files_are_left_out(spark, tmp_path):
+    append(tmp_path, "http", "a.json", b"yes\n")
+    append(tmp_path, "http", "a.txt", b"no\n")
+    append(tmp_path, "http", ".a.json", b"no\n")
+    append(tmp_path, "_tmp", "a.json", b"yes\n")
+    append(tmp_path / "_hidden", "http", "a.json", b"no\n")
+    assert Tail(spark, tmp_path, pattern="*.json").new() == ["yes", "yes"]
+
+
+def test_first_run_can_begin_at_the_end(spark, tmp_path):
+    append(tmp_path, "http", "a.json", b"old\n")
+    tail = Tail(spark, tmp_path, from_end=True)
+    assert tail.new() == []
+    append(tmp_path, "http", "a.json", b"new\n")
+    assert tail.new() == ["new"]
+
+
+def test_batch_planned_before_a_file_was_started_anew(spark, tmp_path):
+    """The lost lines are gone, the new ones come with the next batch."""
+    append(tmp_path, "http", "a.json", b"a1\na2\n")
+    reader = growing.GrowingReader(str(tmp_path), "*", False, 3)
+    planned = reader.latestOffset()
+    ranges = reader.partitions(reader.initialOffset(), planned)
+    append(tmp_path, "http", "a.json", b"new line that is longer\n", "wb")
+    assert [b for r in ranges for b in reader.read(r)] == []
+    after = reader.partitions(planned, reader.latestOffset())
+    assert [v for r in after for b in reader.read(r) for v in b.column("value").to_pylist()] == ["new line that is longer"]
+
+
+def test_growing_sensor_files_are_ingested(spark, tmp_path):
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "ck")
+    for docs in ([http(1), "{broken"], [http(2), http(3, timestamp="never")]):
+        append(tmp_path, "http", "a.json", "".join((d if isinstance(d, str) else json.dumps(d)) + "\n" for d in docs).encode())
+        lines = ingest.growing_line_stream(spark, str(tmp_path))
+        ingest.start_ingest(lines, out, checkpoint, period=None).awaitTermination()
+    assert sorted(r["src_ip"] for r in spark.read.parquet(f"{out}/events").collect()) == ["8.8.8.1", "8.8.8.2"]
+    assert sorted(r["reject_reason"] for r in spark.read.parquet(f"{out}/rejects").collect()) == ["bad timestamp", "malformed line"]

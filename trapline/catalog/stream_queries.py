@@ -41,6 +41,19 @@ def _(t: Tables):
         F.count("*").alias("n"), F.count_distinct("src_ip").alias("sources"))
 
 
+@query("T01_growing_files", f"""
+SELECT service, event_type, severity, count(*) AS n, count(DISTINCT source_ip) AS sources FROM ({KEPT}) GROUP BY ALL""", ["kept"])
+def _(t: Tables):
+    # Files appear, grow, and are started anew with fewer lines; each run goes on from the last one's offsets.
+    folder, out, offsets = (scratch_path(t.spark, n) for n in ("growing", "ingest", "offsets"))
+    for steps in ([0], [0, 1], [2]):
+        t.grow_files(folder, steps)
+        ingest.start_ingest(ingest.growing_line_stream(t.spark, folder), out, offsets, period=None).awaitTermination()
+    events = t.spark.read.parquet(f"{out}/events")
+    return events.groupBy("service", "event_type", "severity").agg(
+        F.count("*").alias("n"), F.count_distinct("src_ip").alias("sources"))
+
+
 @query("T02_micro_batches", f"SELECT count(*) AS events, true AS several_batches FROM ({KEPT})", ["kept"])
 def _(t: Tables):
     events = t.spark.read.parquet(f"{_ingested(t, files_per_batch=2)}/events")

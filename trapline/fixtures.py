@@ -6,12 +6,18 @@ that the comparison queries read.
 
 from __future__ import annotations
 
+import sys
 from functools import cached_property
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapline.schema import SERVICES
+from trapline.sources.growing import file_system
+
+# Executors need not have this package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RAW_LOGS = """
 WITH b AS (
@@ -230,6 +236,31 @@ class Tables:
         self.sensor_lines.select("service", "value").write.partitionBy("service").text(path)
         return path
 
+    def grow_files(self, folder: str, steps: list[int]) -> None:
+        """Sensor files below ``folder`` as they stand once the lines of these steps (id modulo 3) are in them.
+
+        A file is written anew as a whole, so a longer list of steps leaves it longer and another list
+        leaves it replaced. It holds at most 10,000 lines.
+        """
+        def write(rows):
+            file, name = None, None
+            for row in rows:
+                if name != (row["service"], row["part"]):
+                    name = (row["service"], row["part"])
+                    if file:
+                        file.close()
+                    system, base = file_system(folder)
+                    system.create_dir(f"{base}/service={name[0]}", recursive=True)
+                    file = system.open_output_stream(f"{base}/service={name[0]}/{name[1]}.json")
+                file.write((row["value"] + "\n").encode())
+            if file:
+                file.close()
+
+        lines = self.sensor_lines.withColumns({"step": F.col("id") % 3, "part": F.floor(F.col("id") / 10_000)})
+        order = F.array_position(F.array(*map(F.lit, steps)), F.col("step").cast("int"))
+        (lines.filter(F.col("step").isin(steps)).repartition("service", "part")
+         .sortWithinPartitions("service", "part", order, "id").foreachPartition(write))
+
     def nested_files(self) -> str:
         """Events as session maps, one JSON document per line.
 

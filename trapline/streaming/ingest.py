@@ -1,7 +1,7 @@
 """Continuous ingest of sensor files.
 
-The file source sees new files, not bytes appended to old ones: sensors must
-rotate. The batch job uses the same column functions, so both give the same rows.
+Sensors that rotate their files are followed by the file source, those that append by the
+source of growing files. The batch job uses the same column functions, so all give the same rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trapline.operators.normalize import canonical, normalise_sensor_lines, split_valid
 from trapline.sources.files import parse_lines
+from trapline.sources.growing import RANGE_BYTES, growing_lines
 
 # --- fixed values -----------------------------------------------------------
 BATCH_PERIOD = "2 seconds"
@@ -40,6 +41,17 @@ def sensor_line_stream(
     return lines.select("value", service.alias("service"))
 
 
+def growing_line_stream(
+    spark: SparkSession, path: str, pattern: str = "*", from_end: bool = False, range_bytes: int = RANGE_BYTES
+) -> DataFrame:
+    """Lines appended to sensor files below ``service=<name>`` folders, each once.
+
+    ``from_end`` begins behind what the files hold at the first run.
+    """
+    lines = growing_lines(spark, path, pattern, from_end, range_bytes)
+    return lines.select("value", F.regexp_extract("path", SERVICE_FOLDER, 1).alias("service"))
+
+
 def ingest_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Canonical events, and rejected lines with the reason.
 
