@@ -22,14 +22,64 @@ def arrays(table):
     return pdf["a"].to_numpy(), pdf["b"].dropna().to_numpy()
 
 
-@pytest.mark.parametrize("exact_rows", [100_000, 100])
-def test_quantiles_are_exact_on_both_ways(table, exact_rows):
+def test_quantiles_are_exact(table):
     a, b = arrays(table)
-    probs = [0.001, 0.25, 0.5, 0.99, 0.999]
-    got = stats.quantiles(table, ["a", "b", "c"], probs, exact_rows)
-    assert got["a"] == pytest.approx(list(np.quantile(a, probs)))
-    assert got["b"] == pytest.approx(list(np.quantile(b, probs)))
-    assert got["c"] == [7.0] * 5
+    probs = [0.0, 0.001, 0.25, 0.5, 0.99, 0.999, 1.0]
+    got = stats.quantiles(table, ["a", "b", "c"], probs)
+    assert got["a"] == pytest.approx(list(np.quantile(a, probs)), rel=1e-14)
+    assert got["b"] == pytest.approx(list(np.quantile(b, probs)), rel=1e-14)
+    assert got["c"] == [7.0] * 7
+
+
+def test_quantiles_of_awkward_values(spark):
+    tiny, huge = 5e-324, 1.7976931348623157e308
+    x = [0.0, -0.0, tiny, -tiny, 2.2250738585072014e-308, -2.2250738585072009e-308, huge, -huge, float("inf"), float("-inf"), 1.0,
+         1.0000000000000002, 0.9999999999999999, 2.0, 4.0, 8.0, 3.9999999999999996, -1.5, -1.5, 1e-200, 1e200]
+    rng = np.random.default_rng(8)
+    x += [float(v) for v in rng.integers(0, 2**63, 300, dtype=np.int64).view(np.float64) if np.isfinite(v)]
+    df = spark.createDataFrame([(v,) for v in x] + [(None,)], "x double").repartition(3)
+    order = sorted(x)
+    probs = [i / (len(x) - 1) for i in range(len(x))]
+    got = stats.quantiles(df, ["x"], probs)["x"]
+    for p, v in zip(probs, got):
+        low, high = order[int(np.floor(p * (len(x) - 1)))], order[int(np.ceil(p * (len(x) - 1)))]
+        assert v == low or low <= v <= high
+    ranks = spark.createDataFrame([(v,) for v in x], "x double").selectExpr("x", f"{stats._ordered('x')} AS bits")
+    by_bits = [r["x"] for r in ranks.orderBy("bits").collect()]
+    assert by_bits == order
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "x double")
+    assert stats.quantiles(nan, ["x"], [0.0, 0.5])["x"] == [1.0, 2.0] and np.isnan(stats.quantiles(nan, ["x"], [1.0])["x"][0])
+    nothing = spark.createDataFrame([(None, None)], "x double, y double")
+    assert stats.quantiles(nothing, ["x", "y"], [0.5]) == {"x": [None], "y": [None]}
+
+
+def jobs_of(spark, run):
+    tracker, group = spark.sparkContext.statusTracker(), f"count-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(tracker.getJobIdsForGroup(group))
+
+
+def test_group_quantiles_take_as_many_jobs_for_any_number_of_groups(spark, table):
+    rows = table.withColumn("g", F.when(F.col("id") % 50 > 0, F.col("id") % 50))
+    got = {(r["g"], r["name"], r["prob"]): r["value"] for r in stats.quantile_table(rows, ["a", "b"], [0.25, 0.5], ["g"]).collect()}
+    pdf = table.toPandas()
+    pdf["g"] = pdf["id"] % 50
+    for g, part in pdf.groupby("g"):
+        for c in ("a", "b"):
+            for p in (0.25, 0.5):
+                assert got[(g or None, c, p)] == pytest.approx(np.quantile(part[c].dropna(), p), rel=1e-14)
+    assert len(got) == 200
+
+    def jobs(n):
+        stored = table.withColumn("g", F.col("id") % n)
+        return jobs_of(spark, lambda: stats.quantile_table(stored, ["a"], [0.5], ["g"]).collect())
+
+    # Adaptive execution counts each stage as a job; a round has a few.
+    assert jobs(400) <= jobs(2) + 4
 
 
 def test_column_statistics(table):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapline.modeling.stats import quantiles, quoted
+from trapline.modeling.stats import quantile_table, quoted
 from trapline.operators.lookup import lookup_join
 
 # --- fixed values: cluster naming rules ---------------------------------------
@@ -27,21 +27,14 @@ def cluster_anomalies(df: DataFrame, cluster: str = "attack_cluster") -> DataFra
 
 
 def cluster_summary(df: DataFrame, columns: list[str], cluster: str = "attack_cluster") -> DataFrame:
-    """Count, mean and median of each feature per cluster.
-
-    Medians are taken cluster by cluster, so that each stays exact at any size;
-    ``df`` is read once per cluster and should be stored.
-    """
+    """Count, mean and median of each feature per cluster (A19); ``df`` should be stored."""
     values = df.select(cluster, *[F.col(quoted(c)).cast("double").alias(c) for c in columns])
     means = values.unpivot([cluster], [quoted(c) for c in columns], "feature", "value").groupBy(
         cluster, "feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"))
-    ids = sorted(r[0] for r in df.select(cluster).distinct().collect())
-    medians = [
-        (i, c, q[0]) for i in ids
-        for c, q in quantiles(values.filter(F.col(cluster) == i), columns, [0.5]).items()]
-    table = df.sparkSession.createDataFrame(medians, f"{cluster} int, feature string, median double")
-    # One row per cluster and feature.
-    return means.join(F.broadcast(table), [cluster, "feature"])
+    medians = quantile_table(values, columns, [0.5], [cluster]).select(
+        F.col(cluster).alias("_cluster"), F.col("name").alias("_feature"), F.col("value").alias("median"))
+    same = F.col(cluster).eqNullSafe(F.col("_cluster")) & (F.col("feature") == F.col("_feature"))
+    return means.join(medians, same, "left").drop("_cluster", "_feature")
 
 
 def name_clusters(profiles: DataFrame, cluster: str = "attack_cluster") -> DataFrame:

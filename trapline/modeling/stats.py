@@ -7,10 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 100_000
-BRACKET = 0.0005
-ACCURACY = 10_000
-
+from trapline.session import materialise
 
 def quoted(column: str) -> str:
     return f"`{column}`"
@@ -55,58 +52,78 @@ def varying_columns(stats: dict[str, ColumnStats]) -> list[str]:
     return [c for c, s in stats.items() if not s.is_constant]
 
 
-def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], exact_rows: int = EXACT_ROWS
-) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles, exact at any size.
+def _ordered(x: str) -> str:
+    """A long that orders as the double ``x`` does: its sign times exponent and fraction; NaN is largest, both zeros are 0."""
+    size, unit = f"abs({x})", "4503599627370496"
+    power = f"floor(log2({size}))"
+    exponent = f"greatest({power} + int({size} >= pow(2D, {power} + 1)) - int({size} < pow(2D, {power})), -1022)"
+    digits = f"({exponent} + 1022) * {unit} + bigint({size} / pow(2D, {exponent}) * {unit}D)"
+    return (f"CASE WHEN isnan({x}) THEN {2047 * 2**52 + 1} WHEN {size} = double('inf') THEN bigint(sign({x})) * {2047 * 2**52} "
+            f"WHEN {x} = 0 THEN 0 ELSE bigint(sign({x})) * ({digits}) END")
+
+
+def quantile_table(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """``*by, name, prob, value``: linearly interpolated quantiles, exact, of every column in every group.
 
-    Small inputs use the built-in exact aggregate. Larger ones bracket each
-    quantile by an approximate one, count what lies below the bracket, and look
-    only at the distinct values inside it.
+    Values are looked at as ordered 64-bit numbers, 16 bits a round. A round counts the values
+    that share their bits so far with a wanted one by their next bits, for all columns,
+    probabilities and groups at once, and keeps the bucket that each wanted rank falls in.
+    A bucket of one value is an answer, so there are at most four rounds, each one scan of ``df``, which should be
+    stored. No task sees more than 65,536 counts of a bucket in order, and nothing is sorted.
+    NULL values do not count; a group without values has no row; NaN is larger than any other value.
     """
-    if df.limit(exact_rows + 1).count() <= exact_rows:
-        wanted = ", ".join(f"{p}D" for p in probs)
-        row = df.agg(*[
-            F.expr(f"percentile(double({quoted(c)}), array({wanted}))").alias(f"q{i}")
-            for i, c in enumerate(columns)]).first()
-        return {c: list(row[i] or [None] * len(probs)) for i, c in enumerate(columns)}
-    return _bracketed(df, columns, probs)
-
-
-def _bracketed(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
-    edges = ", ".join(
-        f"{max(p - BRACKET, 0.0)}D, {min(p + BRACKET, 1.0)}D" for p in probs)
-    row = df.agg(*[
-        F.expr(f"named_struct('n', count({quoted(c)}), 'q', "
-               f"percentile_approx(double({quoted(c)}), array({edges}), {ACCURACY}))").alias(f"b{i}")
-        for i, c in enumerate(columns)]).first()
-    targets = []
-    for i, c in enumerate(columns):
-        n, found = row[i]
-        for j, p in enumerate(probs):
-            if n:
-                position = p * (n - 1)
-                targets.append((c, j, float(found[2 * j]), float(found[2 * j + 1]), position))
-    spark = df.sparkSession
-    brackets = spark.createDataFrame(
-        targets, "name string, j int, lo double, hi double, position double")
-    values = long_values(df, columns).filter("x IS NOT NULL")
-    # A bracket table has one row per column and quantile.
-    joined = values.join(F.broadcast(brackets), "name").filter("x <= hi")
-    inside = joined.groupBy(
-        "name", "j", "position", F.when(F.col("x") >= F.col("lo"), F.col("x")).alias("x")
-    ).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("name", "j").orderBy(F.asc_nulls_first("x"))
-    ranked = inside.withColumn("upto", F.sum("n").over(order)).withColumn("start", F.col("upto") - F.col("n"))
-
-    def at(index):
-        return F.max(F.when((F.col("start") <= index) & (index < F.col("upto")), F.col("x")))
-
-    low, high = F.floor("position"), F.ceil("position")
-    picked = ranked.groupBy("name", "j", "position").agg(at(low).alias("a"), at(high).alias("b"))
-    found = {(r["name"], r["j"]): r["a"] + (r["b"] - r["a"]) * (r["position"] % 1.0)
-             for r in picked.collect()}
-    return {c: [found.get((c, j)) for j in range(len(probs))] for c in columns}
+    by = by or []
+    value = F.posexplode(F.array(*[F.col(quoted(c)).cast("double") for c in columns])).alias("column", "x")
+    values = df.select(*[F.col(quoted(c)).alias(f"by{i}") for i, c in enumerate(by)], value).filter("x IS NOT NULL")
+    values = values.withColumn("bits", F.expr(_ordered("x")))
+    keys = [*[f"by{i}" for i in range(len(by))], "column"]
+    sums = [F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")]
+
+    def placed(counts: DataFrame, group: list[str]) -> DataFrame:
+        order = Window.partitionBy(*group).orderBy("bucket")
+        upto = counts.withColumn("upto", F.sum("n").over(order))
+        return upto.withColumn("before", F.col("upto") - F.col("n"))
+
+    first = placed(values.groupBy(*keys, F.shiftright("bits", 48).alias("bucket")).agg(*sums), keys)
+    first = first.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    position = [F.lit(p) * (F.col("total") - 1) for p in probs]
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(j).alias("j"), F.lit(side).alias("side"), rank.alias("rank"), at.alias("position"))
+        for j, at in enumerate(position) for side, rank in enumerate((F.floor(at), F.ceil(at)))]))
+    hit = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))
+    answer = [*keys, "j", "side", "position", (F.col("rank") - F.col("before")).alias("rank"), "bucket", "low", "high"]
+    found = materialise(first.select("*", wanted.alias("w")).select("*", "w.*").filter(hit).select(answer), "ranks")
+    for shift in (32, 16, 0):
+        unsure = found.filter("low < high")
+        left = [r[0] for r in unsure.select("column").distinct().collect()]
+        if not left:
+            break
+        asked = unsure.select(*keys, "j", "side", "position", "rank", F.col("bucket").alias("parent"))
+        parents = asked.select(*keys, "parent").distinct()
+        inside = values.filter(F.col("column").isin(left)).withColumn("parent", F.shiftright("bits", shift + 16))
+        inside = _same(inside, parents, [*keys, "parent"])
+        counts = inside.groupBy(*keys, "parent", F.shiftright("bits", shift).alias("bucket")).agg(*sums)
+        hits = _same(placed(counts, [*keys, "parent"]), asked, [*keys, "parent"]).filter(hit).select(answer)
+        found = materialise(found.filter("NOT low < high").unionByName(hits), "ranks")
+    ends = found.groupBy(*keys, "j", "position").agg(
+        F.max(F.when(F.col("side") == 0, F.col("low"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("low"))).alias("b"))
+    between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.expr("a * (1 - (position - floor(position))) + b * (position - floor(position))"))
+    pick = lambda items, at: F.get(F.array(*map(F.lit, items)), F.col(at))
+    return ends.select(*[F.col(f"by{i}").alias(c) for i, c in enumerate(by)],
+                       pick(columns, "column").alias("name"), pick(probs, "j").alias("prob"), between.alias("value"))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on equal keys, NULL being equal to NULL; the keys come from the left."""
+    named = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(named, on).drop(*[f"_{k}" for k in keys])
+
+
+def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles of whole columns (see ``quantile_table``); None where a column has no values."""
+    found = {(r["name"], r["prob"]): r["value"] for r in quantile_table(df, columns, probs).collect()} if columns else {}
+    return {c: [found.get((c, p)) for p in probs] for c in columns}
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
