@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ def test_quantiles_of_awkward_values(spark):
 
 
 def jobs_of(spark, run):
-    tracker, group = spark.sparkContext.statusTracker(), f"count-{id(run)}"
+    tracker, group = spark.sparkContext.statusTracker(), uuid.uuid4().hex
     spark.sparkContext.setJobGroup(group, group)
     try:
         run()
@@ -134,21 +136,73 @@ def test_silhouette_matches_a_direct_count(spark):
         own = means[labels[i]]
         other = min(m for c, m in enumerate(means) if c != labels[i])
         want.append((other - own) / max(own, other))
-    df = scale.to_vector(spark.createDataFrame(
-        [(list(map(float, r)), float(c)) for r, c in zip(x, labels)], "x array<double>, c double"), "x", "v")
-    assert kmeans.silhouette(df, "v", "c") == pytest.approx(np.mean(want))
+    df = spark.createDataFrame([(list(map(float, r)), int(c)) for r, c in zip(x, labels)], "x array<double>, c int")
+    assert kmeans.silhouette(df, "x", "c") == pytest.approx(np.mean(want))
+    points = kmeans.Points.of(df, "x")
+    fit = kmeans.fit_points(points, [3], 4)[3]
+    near = ((x[:, None] - fit.centres[None]) ** 2).sum(-1).argmin(axis=1)
+    own = [[d[i][near == c].sum() / ((near == c).sum() - (near[i] == c)) for c in range(3)] for i in range(len(x))]
+    pairs = [(m[near[i]], min(m[c] for c in range(3) if c != near[i])) for i, m in enumerate(own)]
+    score = [(other - here) / max(other, here) for here, other in pairs]
+    assert kmeans.silhouettes(points, [fit]) == pytest.approx([np.mean(score)])
 
 
 def test_sweep_finds_the_groups(spark):
     rng = np.random.default_rng(3)
     x = np.vstack([rng.normal(c, 0.3, (60, 2)) for c in (0, 5, 10)])
-    df = scale.to_vector(spark.createDataFrame([(list(map(float, r)),) for r in x], "x array<double>"), "x", "v").persist()
-    chosen = kmeans.sweep(df, "v", 180, max_k=4, restarts=3)
+    df = spark.createDataFrame([(list(map(float, r)),) for r in x], "x array<double>").repartition(3)
+    chosen = kmeans.sweep(df, "x", max_k=4, restarts=3)
     assert chosen.best_k == 3
-    sizes = kmeans.assign(df, chosen.fits[3]).groupBy("attack_cluster").agg(
+    rows = kmeans.assign(df, chosen.fits[3], "x")
+    sizes = rows.groupBy("attack_cluster").agg(
         F.count("*").alias("n"), F.avg(F.get("x", F.lit(0))).alias("m")).orderBy("attack_cluster").collect()
     assert [r["n"] for r in sizes] == [60] * 3
     assert [round(r["m"]) for r in sizes] == [0, 5, 10]
+    cost = sum(((part - part.mean(axis=0)) ** 2).sum() for part in np.split(x, 3))
+    assert chosen.fits[3].cost == pytest.approx(cost) and sorted(chosen.fits[3].sizes) == [60] * 3
+    # The draw follows the coordinates, not the layout.
+    again = kmeans.sweep(df.repartition(7), "x", max_k=4, restarts=3)
+    for k in (2, 3, 4):
+        assert np.allclose(again.fits[k].centres, chosen.fits[k].centres)
+
+
+def best_cost_on_a_line(points, weight, k):
+    """Clusters on a line are runs, so the least cost is found by where runs end."""
+    def run(i, j):
+        p, w = points[i:j], weight[i:j]
+        return (w * (p - (p * w).sum() / w.sum()) ** 2).sum()
+
+    costs = [0.0] + [np.inf] * len(points)
+    for _ in range(k):
+        costs = [np.inf] + [min(costs[i] + run(i, j) for i in range(j)) for j in range(1, len(points) + 1)]
+    return costs[-1]
+
+
+def test_every_k_reaches_the_least_cost_on_a_line(spark):
+    at = np.array([0.0, 1.0, 10.0, 12.0, 100.0, 130.0, 1000.0, 1001.5])
+    weight = np.array([50, 3, 20, 20, 7, 9, 1, 30])
+    df = spark.createDataFrame([([float(p)],) for p, w in zip(at, weight) for _ in range(w)], "x array<double>").repartition(5)
+    for r in kmeans.elbow(df, "x", [2, 3, 4, 5, 6, 8]).collect():
+        assert r["inertia"] == pytest.approx(best_cost_on_a_line(at, weight, r["k"]), abs=1e-9)
+
+
+def test_a_sweep_takes_as_many_jobs_for_any_number_of_restarts(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "TOLERANCE", -1.0)
+    monkeypatch.setattr(kmeans, "MOST_PASSES", 3)
+    df = spark.createDataFrame([([float(i % 17), float(i % 5)],) for i in range(500)], "x array<double>")
+    one = jobs_of(spark, lambda: kmeans.sweep(df, "x", max_k=2, restarts=1))
+    many = jobs_of(spark, lambda: kmeans.sweep(df, "x", max_k=8, restarts=10))
+    assert many <= one + 6
+
+
+def test_clusters_of_awkward_tables(spark):
+    same = spark.createDataFrame([([1.0, 2.0],)] * 9 + [(None,)], "x array<double>")
+    found = kmeans.sweep(same, "x", max_k=3, restarts=2)
+    assert found.best_k == 2 and found.fits[2].cost == 0 and sum(found.fits[2].sizes) == 9
+    rows = kmeans.assign(same, found.fits[2], "x").groupBy("attack_cluster").count().collect()
+    assert {r[0]: r[1] for r in rows} == {0: 9, None: 1}
+    with pytest.raises(ValueError, match="three rows"):
+        kmeans.sweep(spark.createDataFrame([], "x array<double>"), "x")
 
 
 def test_planted_outliers_score_worst(spark):

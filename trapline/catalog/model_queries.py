@@ -16,7 +16,7 @@ from trapline.functions.numbers import log1p_clipped
 from trapline.modeling import behaviour, clusters, explain, kmeans, metrics, pca, scale, stats, supervised
 from trapline.operators import analytics, features, flows, sessions
 from trapline.schema import COUNT_COLUMNS, FEATURES
-from trapline.session import materialise, spread
+from trapline.session import materialise
 from trapline.sources import sinks
 
 CHECKED = ["duration", "event_count", "login_fail", "ssh_ratio", "pw_entropy_total", "services_touched"]
@@ -300,41 +300,100 @@ m AS (SELECT vec_id, d.label, other, CASE WHEN d.label = other THEN s / nullif(n
 ab AS (SELECT vec_id, max(mean) FILTER (WHERE label = other) AS a, min(mean) FILTER (WHERE label <> other) AS b FROM m GROUP BY vec_id)
 SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM ab""", [])
 def _(t: Tables):
-    rows = scale.to_vector(_vectors(t), "x", "v").select("v", F.col("label").cast("double").alias("cluster"))
-    return rounded(t.spark.createDataFrame(
-        [(float(kmeans.silhouette(rows, "v", "cluster")),)], "silhouette double"))
+    return rounded(t.spark.createDataFrame([(float(kmeans.silhouette(_vectors(t), "x", "label")),)], "silhouette double"))
 
 
-def _compact_matrix(t: Tables) -> DataFrame:
-    columns = ["session_duration_s", "command_count", "commands_per_min", "avg_password_entropy"]
-    rows = materialise(sessions.compact(t.flat), "compact")
-    scaler = scale.fit_scaler(rows, columns, winsorise=False)
-    vectors = scale.to_vector(scaler.transform(rows), "scaled", "v")
-    return spread(vectors, rows.count()).persist()
+def _fitted(table: DataFrame, array: str, chosen: kmeans.Sweep, min_share: float = kmeans.MIN_SHARE) -> DataFrame:
+    """What a sweep must satisfy, whatever it drew: rows far from their nearest centre, costs and sizes as told
+    against those of the rows, ks that score better than the one chosen among those without tiny clusters."""
+    fit = chosen.fits[chosen.best_k]
+    centre = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in sorted(fit.centres, key=tuple)])
+    far = lambda c: F.aggregate(F.zip_with(array, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, b: a + b)
+    rows = table.select(far(F.get(centre, F.col("attack_cluster"))).alias("own"), F.array_min(F.transform(centre, far)).alias("least"), "attack_cluster")
+    sizes = rows.groupBy("attack_cluster").agg(
+        F.count("*").alias("n"), F.sum("own").alias("cost"), F.count_if(F.col("own") > F.col("least") + 1e-9).alias("misplaced"))
+    allowed = [k for k, f in chosen.fits.items() if f.smallest_share >= min_share]
+    better = sum(chosen.scores[k] > chosen.scores[chosen.best_k] for k in allowed) if allowed else 0
+    told = sorted(n for n in fit.sizes if n)
+    return sizes.agg(
+        F.sum("n").alias("sessions"), F.sum("misplaced").alias("misplaced"),
+        F.round(F.abs(F.sum("cost") / fit.cost - 1), 6).alias("cost_error"),
+        (F.array_sort(F.collect_list("n")) != F.array(*[F.lit(x).cast("long") for x in told])).cast("int").alias("size_error"),
+        F.lit(better).alias("better_ks"), F.lit(sorted(chosen.fits) != sorted(range(2, max(chosen.fits) + 1))).cast("int").alias("gaps"))
 
 
-@query("M05_behaviour_clusters")
+@query("M05_behaviour_clusters", """
+SELECT count(*) AS sessions, 0::BIGINT AS misplaced, 0.0::DOUBLE AS cost_error, 0 AS size_error, 0 AS better_ks, 0 AS gaps FROM feat""", ["feat"])
 def _(t: Tables):
     reduced = behaviour.reduce_features(feature_rows(t))
-    table, _sweep = behaviour.cluster(reduced)
-    return table.groupBy("attack_cluster").agg(
-        F.count("*").alias("sessions"), F.round(F.avg("pca1"), 3).alias("pca1"),
-        F.round(F.avg("pca2"), 3).alias("pca2"))
+    table, chosen = behaviour.cluster(reduced)
+    return _fitted(table, "reduced", chosen)
+
+
+# Points by a rule whose best clusters are plain: four groups on a grid, well apart, with a little spread inside.
+PLANTED = """
+SELECT flow_id, CAST(flow_id % 10 % 4 AS INT) AS planted,
+  CAST(100 * (flow_id % 10 % 2) + iat_mean * 10 AS DOUBLE) AS x, CAST(70 * CAST(floor(flow_id % 10 % 4 / 2) AS INT) + iat_std * 10 AS DOUBLE) AS y FROM {flows}"""
+view("planted", PLANTED.replace("{flows}", "flows"), "flows")
+view("planted_means", """
+SELECT planted, count(*) AS n, avg(x) AS cx, avg(y) AS cy, sum(x) AS sx, sum(y) AS sy, sum(x * x + y * y) AS q FROM planted GROUP BY planted""", "planted")
+view("planted_scores", """
+SELECT (SELECT sum((x - cx) ** 2 + (y - cy) ** 2) FROM planted JOIN planted_means USING (planted)) AS cost, round(avg((b - a) / greatest(a, b)), 6) AS silhouette
+FROM (SELECT planted, place, max(far / (n - 1)) FILTER (planted = other) AS a, min(far / n) FILTER (planted <> other) AS b
+      FROM (SELECT p.planted, p.place, (p.x * p.x + p.y * p.y) * c.n - 2 * (p.x * c.sx + p.y * c.sy) + c.q AS far, c.planted AS other, c.n
+            FROM (SELECT *, row_number() OVER () AS place FROM planted) p, planted_means c) GROUP BY ALL)""", "planted", "planted_means")
+
+
+def _planted(t: Tables) -> DataFrame:
+    return t.sql(PLANTED, flows=t.flows).selectExpr("flow_id", "planted", "array(double(x), double(y)) AS p")
+
+
+@query("M05_planted_clusters", """
+SELECT row_number() OVER (ORDER BY cx, cy) - 1 AS cluster, n, round(cx, 6) AS cx, round(cy, 6) AS cy, (SELECT count(*) FROM planted_means) AS best_k,
+  silhouette, round(cost, 4) AS cost FROM planted_means, planted_scores""", ["planted_means", "planted_scores"])
+def _(t: Tables):
+    rows = materialise(_planted(t), "planted")
+    chosen = kmeans.sweep(rows, "p")
+    fit = chosen.fits[chosen.best_k]
+    named = kmeans.assign(rows, fit, "p").groupBy(F.col("attack_cluster").cast("long").alias("cluster")).agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col("p")[0]), 6).alias("cx"), F.round(F.avg(F.col("p")[1]), 6).alias("cy"))
+    return named.withColumns({
+        "best_k": F.lit(chosen.best_k).cast("long"), "silhouette": F.round(F.lit(chosen.scores[chosen.best_k]), 6), "cost": F.round(F.lit(fit.cost), 4)})
+
+
+# Clusters on a line are runs of its points, so the least cost for every k follows from where the runs end.
+SPOTS = [0, 1, 10, 12, 100, 130, 1000]
+_RUN = "a.i AS i, b.i AS j, b.w - a.w + a.own AS w, b.s - a.s + a.own * a.x AS s, b.q - a.q + a.own * a.x * a.x AS q"
+_STEPS = " ".join(f", d{k} AS (SELECT r.j, min(d{k - 1}.cost + r.cost) AS cost FROM r JOIN d{k - 1} ON d{k - 1}.j = r.i - 1 GROUP BY r.j)" for k in range(2, 7))
+
+
+@query("M07_elbow", f"""
+WITH o AS (SELECT l_linenumber AS i, [{', '.join(map(str, SPOTS))}][l_linenumber]::DOUBLE AS x, count(*)::DOUBLE AS own FROM lineitem GROUP BY 1, 2),
+p AS (SELECT i, x, own, sum(own) OVER (ORDER BY i) AS w, sum(own * x) OVER (ORDER BY i) AS s, sum(own * x * x) OVER (ORDER BY i) AS q FROM o),
+r AS (SELECT i, j, q - s * s / w AS cost FROM (SELECT {_RUN} FROM p a JOIN p b ON a.i <= b.i)),
+d1 AS (SELECT j, cost FROM r WHERE i = 1){_STEPS}
+{' UNION ALL '.join(f"SELECT {k} AS k, round(cost, 3) AS inertia FROM d{k} WHERE j = 7" for k in range(2, 7))}""", [])
+def _(t: Tables):
+    spot = F.element_at(F.array(*[F.lit(float(x)) for x in SPOTS]), F.col("l_linenumber").cast("int"))
+    rows = t.read("lineitem").select(F.array(spot).alias("p"))
+    return kmeans.elbow(rows, "p", list(range(2, 7))).select("k", F.round("inertia", 3).alias("inertia"))
 
 
-@query("M07_elbow")
+@query("M07_fixed_k", """
+SELECT 4 AS k, round(cost, 4) AS inertia, silhouette FROM planted_scores""", ["planted_scores"])
 def _(t: Tables):
-    vectors = scale.to_vector(_vectors(t), "x", "v").select("v")
-    rows = spread(vectors, vectors.count()).persist()
-    return kmeans.elbow(rows, "v", list(range(2, 9)), restarts=kmeans.RESTARTS)
+    found = kmeans.elbow(materialise(_planted(t), "planted"), "p", [4])
+    return found.select("k", F.round("inertia", 4).alias("inertia"), F.round("silhouette", 6).alias("silhouette"))
 
 
-@query("M08_compact_clusters")
+@query("M08_compact_clusters", """
+SELECT count(*) AS sessions, 0::BIGINT AS misplaced, 0.0::DOUBLE AS cost_error, 0 AS size_error, 0 AS better_ks, 0 AS gaps FROM compact""", ["compact"])
 def _(t: Tables):
-    rows = _compact_matrix(t)
-    chosen = kmeans.sweep(rows, "v", rows.count(), max_k=9, min_share=0.0, restarts=1)
-    named = kmeans.assign(rows, chosen.fits[chosen.best_k])
-    return named.groupBy("attack_cluster").agg(F.count("*").alias("sessions"))
+    columns = ["session_duration_s", "command_count", "commands_per_min", "avg_password_entropy"]
+    rows = materialise(sessions.compact(t.flat), "compact")
+    table = materialise(scale.fit_scaler(rows, columns, winsorise=False).transform(rows).select("scaled"), "scaled")
+    chosen = kmeans.sweep(table, "scaled", max_k=9, min_share=0.0, restarts=1)
+    return _fitted(kmeans.assign(table, chosen.fits[chosen.best_k], "scaled"), "scaled", chosen, 0.0)
 
 
 @query("M10_anomalies", """

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +12,8 @@ from trapline.modeling.explain import explain_anomalies
 from trapline.modeling.iforest import TREES, flag_anomalies
 from trapline.modeling.kmeans import MIN_ROWS, RESTARTS, Sweep, assign, sweep
 from trapline.modeling.pca import Components, fit_components
-from trapline.modeling.scale import Scaler, fit_scaler, model_columns, to_vector
-from trapline.session import materialise, spread
+from trapline.modeling.scale import Scaler, fit_scaler, model_columns
+from trapline.session import materialise
 
 
 @dataclass(frozen=True)
@@ -45,15 +44,8 @@ def reduce_features(features: DataFrame, with_counts: bool = True) -> Reduced:
 
 def cluster(reduced: Reduced, restarts: int = RESTARTS) -> tuple[DataFrame, Sweep]:
     """Add ``attack_cluster`` by the best k."""
-    plain = to_vector(reduced.table.select("reduced"), "reduced", "_vector")
-    vectors = spread(plain, reduced.rows)
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        chosen = sweep(vectors, "_vector", reduced.rows, restarts=restarts)
-    finally:
-        vectors.unpersist()
-    fresh = to_vector(reduced.table, "reduced", "_vector")
-    return assign(fresh, chosen.fits[chosen.best_k]).drop("_vector"), chosen
+    chosen = sweep(reduced.table, "reduced", restarts=restarts)
+    return assign(reduced.table, chosen.fits[chosen.best_k], "reduced"), chosen
 
 
 @dataclass(frozen=True)
