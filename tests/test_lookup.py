@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from trapline.operators import lookup
 
 
-@pytest.fixture(params=[100_000, 0], ids=["broadcast", "salted"])
-def size_limit(request, monkeypatch):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", request.param)
-    monkeypatch.setattr(lookup.is_small, "__defaults__", (request.param,))
-    defaults = list(lookup.lookup_join.__defaults__)
-    defaults[2] = request.param
-    monkeypatch.setattr(lookup.lookup_join, "__defaults__", tuple(defaults))
+@pytest.fixture(params=["10MB", "-1"], ids=["broadcast", "shuffled"])
+def size_limit(request, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_as_of_matches_a_direct_search(spark, size_limit):
@@ -27,12 +25,68 @@ def test_as_of_matches_a_direct_search(spark, size_limit):
     facts = [(i, "a" if random.random() < .7 else random.choice("abc"), random.randint(-day, 31 * day)) for i in range(400)]
     h = spark.createDataFrame(history, "k string, s long, v int").select("k", F.timestamp_seconds("s").alias("at"), "v")
     f = spark.createDataFrame(facts, "id int, k string, s long").withColumn("t", F.timestamp_seconds("s"))
-    got = {r["id"]: r["v"] for r in lookup.as_of(f, h, "k", "t", "at", "v").collect()}
     want = {}
     for i, k, s in facts:
         past = [(t, v) for hk, t, v in history if hk == k and t <= s]
         want[i] = max(past)[1] if past else None
-    assert got == want
+    for slot in (lookup.SLOT, 1_000_000, 10**15):
+        assert {r["id"]: r["v"] for r in lookup.as_of(f, h, "k", "t", "at", "v", slot).collect()} == want
+    latest = lookup.latest_at(f, h, ["k"], "t", "at", ["v"])
+    assert {r["id"]: r["v"] for r in latest.collect()} == want and latest.columns == ["id", "k", "s", "t", "at", "v"]
+
+
+def test_as_of_ties_nulls_and_repeated_facts(spark, size_limit):
+    at = lambda s: datetime(2024, 1, 1, 0, 0, s)
+    history = spark.createDataFrame([("a", at(5), 1), ("a", at(5), 2), ("a", at(9), None), (None, at(1), 7), ("a", None, 8)], "k string, at timestamp, v int")
+    facts = spark.createDataFrame(
+        [(1, "a", at(5)), (2, "a", at(5)), (2, "a", at(5)), (3, "a", at(4)), (4, "a", at(9)), (5, None, at(9)), (6, "a", None), (7, "b", at(9))],
+        "id int, k string, t timestamp").withColumn("m", F.create_map(F.lit("x"), F.col("id")))
+    out = lookup.as_of(facts, history, "k", "t", "at", "v")
+    assert sorted((r["id"], r["v"]) for r in out.collect()) == [(1, 2), (2, 2), (2, 2), (3, None), (4, None), (5, None), (6, None), (7, None)]
+    empty = lookup.as_of(facts, history.limit(0), "k", "t", "at", "v")
+    assert empty.filter("v IS NULL").count() == 8 and lookup.as_of(facts.limit(0), history, "k", "t", "at", "v").count() == 0
+
+
+def test_intervals_match_a_direct_search(spark, size_limit):
+    rng = random.Random(5)
+    starts = [rng.randint(-3 * 10**9, 4 * 10**9) for _ in range(60)]
+    spans = [(i, rng.choice("ab"), s, s + rng.choice([0, 1, 59, 61, 3600, 86400 * 40, 10**9])) for i, s in enumerate(starts)]
+    spans += [(60, "a", 5, None), (61, "b", -(10**9), 2 * 10**11)]
+    facts = [(i, rng.choice("ab"), rng.choice([s[2], (s[3] or 0) - 1, s[3] or 0, rng.randint(-(10**9), 5 * 10**9)])) for i, s in enumerate(rng.choices(spans, k=300))]
+    time = F.timestamp_seconds
+    f = spark.createDataFrame(facts, "id int, k string, s long").withColumn("t", time("s")).drop("s")
+    d = spark.createDataFrame(spans, "n int, k string, a long, b long").select("n", "k", time("a").alias("since"), time("b").alias("until"))
+    want = []
+    for i, k, s in facts:
+        hits = [n for n, dk, a, b in spans if dk == k and a <= s and (b is None or (s < b and a < b))]
+        want += [(i, n) for n in hits] or [(i, -1)]
+    joined = lookup.interval_join(f, d, ["k"], "t", "since", "until").collect()
+    assert sorted((r["id"], -1 if r["n"] is None else r["n"]) for r in joined) == sorted(want)
+
+
+def test_a_far_interval_takes_few_nodes(spark):
+    rows = spark.createDataFrame(
+        [(datetime(2024, 5, 17, 13, 7), datetime(9999, 12, 31, 23, 59)), (datetime(1, 1, 3, 0, 1), datetime(9999, 12, 31, 23, 59))], "a timestamp, b timestamp")
+    minutes = rows.select(*[F.floor(lookup._since_year_1(c) / lookup.MINUTE).alias(c) for c in "ab"])
+    for r in minutes.select("a", "b", lookup._span_nodes("a", "b", lookup.MINUTE_LEVELS).alias("n")).collect():
+        assert len(r["n"]) < 100 and sum(4 ** x["level"] for x in r["n"]) == r["b"] - r["a"]
+
+
+def test_building_a_plan_starts_no_job(spark):
+    key = (F.col("id") % 3).cast("string").alias("k")
+    facts = spark.range(50).select(F.col("id"), key, F.timestamp_seconds("id").alias("t"))
+    history = spark.range(5).select(key, F.timestamp_seconds("id").alias("at"), F.col("id").alias("v"))
+    spans = history.select("at", "v", F.timestamp_seconds(F.col("v") + 3).alias("to"))
+    spark.sparkContext.setJobGroup("plans", "plans")
+    try:
+        frames = [
+            lookup.lookup_join(facts, history, ["k"]), lookup.as_of(facts, history, "k", "t", "at", "v"),
+            lookup.latest_at(facts, history.drop("k"), [], "t", "at", ["v"]), lookup.interval_join(facts, spans, [], "t", "at", "to")]
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    assert not any(word in p for p in plans for word in ("SinglePartition", "CartesianProduct", "NestedLoop"))
 
 
 def test_ranges_across_prefixes(spark, size_limit):

@@ -32,8 +32,8 @@ def row_hash(df: DataFrame, key: list[str] | None = None, seed: int = SEED) -> C
     return F.xxhash64(*[F.col(quoted(c)) for c in (key or df.columns)], F.lit(seed))
 
 
-def _cuts(hashed: DataFrame, label: str, shares: list[float]) -> DataFrame:
-    """Hash below which each share of a class lies, per class.
+def _cuts(hashed: DataFrame, label: str, wanted_rows: list[Column]) -> DataFrame:
+    """Hash up to which so many rows of a class lie, per class; the numbers are of its ``total``.
 
     Hash buckets are counted first; only the bucket that holds a cut is looked
     at value by value, so no class is ever sorted.
@@ -43,22 +43,22 @@ def _cuts(hashed: DataFrame, label: str, shares: list[float]) -> DataFrame:
     upto = Window.partitionBy(label).orderBy("_b")
     totals = counts.withColumns({
         "upto": F.sum("n").over(upto), "total": F.sum("n").over(Window.partitionBy(label))})
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), F.lit(s).alias("share"))
-                                 for i, s in enumerate(shares)]))
-    # Test rows are rounded up, as in a usual split.
-    edges = (totals.select("*", wanted.alias("w"))
-             .withColumn("want", F.ceil(F.round(F.col("total") * F.col("w.share"), 6)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("cut"), n.alias("want")) for i, n in enumerate(wanted_rows)]))
+    edges = (totals.select("*", wanted.alias("w")).withColumn("want", F.col("w.want"))
              .filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
              .select(F.col(label), "_b", F.col("w.cut").alias("cut"), "want",
                      (F.col("upto") - F.col("n")).alias("before")))
-    # Stored: one short row per class and share, read by the size check and the join.
-    edges = materialise(edges, "edges")
     near = lookup_join(hashed.withColumn("_b", bucket), edges, [label, "_b"], how="inner")
     values = near.groupBy(label, "cut", "want", "before", "_h").agg(F.count("*").alias("n"))
     within = Window.partitionBy(label, "cut").orderBy("_h")
     ranked = values.withColumn("rank", F.col("before") + F.sum("n").over(within))
     return (ranked.filter(F.col("rank") - F.col("n") < F.col("want"))
-            .groupBy(label).pivot("cut", list(range(len(shares)))).agg(F.max("_h")))
+            .groupBy(label).pivot("cut", list(range(len(wanted_rows)))).agg(F.max("_h")))
+
+
+def _share(rows: Column, share: float) -> Column:
+    """Test rows are rounded up, as in a usual split."""
+    return F.ceil(F.round(rows * share, 6))
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: list[str] | None = None,
@@ -69,8 +69,8 @@ def stratified_split(df: DataFrame, label: str = "label", key: list[str] | None
     together, so copies cannot leak from training into the test.
     """
     hashed = df.withColumn("_h", row_hash(df, key))
-    shares = [test, test + (1 - test) * test]
-    cuts = materialise(_cuts(hashed.select(label, "_h"), label, shares), "cuts")
+    wanted = [_share(F.col("total"), share) for share in (test, test + (1 - test) * test)]
+    cuts = materialise(_cuts(hashed.select(label, "_h"), label, wanted), "cuts")
     joined = lookup_join(hashed, cuts, [label])
     split = (F.when(F.col("_h") <= F.col("0"), "test")
              .when(F.col("_h") <= F.col("1"), "val").otherwise("train"))
@@ -78,16 +78,17 @@ def stratified_split(df: DataFrame, label: str = "label", key: list[str] | None
 
 
 def group_split(df: DataFrame, group: str, test: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """Add ``split`` by whole groups, such as source files."""
-    groups = df.select(group).distinct()
-    total = groups.count()
-    n_test = math.ceil(total * test)
-    n_val = math.ceil((total - n_test) * test)
-    order = F.xxhash64(F.col(group), F.lit(seed))
-    held = groups.orderBy(order, group).limit(n_test + n_val)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, group))
-    named = held.withColumn("split", F.when(rank <= n_test, "test").otherwise("val"))
-    return lookup_join(df, named, [group]).withColumn("split", F.coalesce("split", F.lit("train")))
+    """Add ``split`` by whole groups, such as source files.
+
+    Groups are cut by their hash as rows of a class are, so they are never put in order.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(F.col(quoted(group)), F.lit(seed)))
+    groups = hashed.select(F.lit(0).alias("_all"), F.col("_h")).distinct()
+    n_test = _share(F.col("total"), test)
+    cuts = materialise(_cuts(groups, "_all", [n_test, n_test + _share(F.col("total") - n_test, test)]), "cuts")
+    upto = [cuts.select(c).scalar() for c in ("0", "1")]
+    split = F.when(F.col("_h") <= upto[0], "test").when(F.col("_h") <= upto[1], "val").otherwise("train")
+    return hashed.withColumn("split", split).drop("_h")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

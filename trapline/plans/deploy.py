@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapline.operators.lookup import interval_join, lookup_join
+from trapline.operators.lookup import latest_at, lookup_join
 from trapline.schema import PLAN_SERVICES, SERVICES
 
 # --- fixed values -----------------------------------------------------------
@@ -287,12 +287,13 @@ def effective_weights(moments: DataFrame, plans: DataFrame, overrides: DataFrame
     hold when the new one ends; a clear event ends it without another.
     """
     good, _ = check_overrides(overrides)
-    order = Window.partitionBy("scope").orderBy("set_at")
-    spans = good.withColumn("scope", F.lit("all")).withColumn(
-        "until", F.least("expires_at", F.lead("set_at").over(order)))
-    spans = adapt_distribution(spans.filter("weights IS NOT NULL")).select("set_at", "until", F.col("weights").alias("override_weights"))
+    known = adapt_distribution(good.filter("weights IS NOT NULL")).select("set_at", "expires_at", F.col("weights").alias("override_weights"))
+    cleared = good.filter("weights IS NULL").select("set_at", "expires_at")
+    events = known.unionByName(cleared, allowMissingColumns=True)
     planned = plans.select("plan_id", F.col("weights").alias("plan_weights"))
-    out = interval_join(moments, spans, [], "moment", "set_at", "until")
+    out = latest_at(moments, events, [], "moment", "set_at", ["expires_at", "override_weights"])
+    over = F.coalesce(F.col("moment") >= F.col("expires_at"), F.lit(False))
+    out = out.withColumn("override_weights", F.when(~over, F.col("override_weights")))
     out = lookup_join(out, planned, ["plan_id"])
     uniform = F.array(*[F.lit(1.0 / len(SERVICES))] * len(SERVICES))
     source = (F.when(F.col("override_weights").isNotNull(), "override")
