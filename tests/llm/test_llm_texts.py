@@ -356,3 +356,23 @@ def test_empty_tables(spark, nothing):
     assert suffixes.remove_repeats(nothing).count() == 0
     assert toxicity.score(nothing, toxicity.Lexicon()).count() == 0
     assert chat.final_messages(spark.createDataFrame([], "conv_id long, msg int, seq int, kind string, role string, text string")).count() == 0
+
+
+def test_agendas_that_advance_together_equal_heaps():
+    rng = np.random.default_rng(6)
+    vocab = sentencepieces.vocabulary(tokenizer_path(PIECES))
+    letters = list("aeinrst▁hdlTHE.,é🙂\x00—日") + ["the", "▁an", "ing"]
+    stretches = ["".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(3_000)] + ["a" * 63, "🙂" * 9, "\x01", "▁" * 30]
+    assert vocab._merge_together(stretches) == [vocab._merge_long(s) for s in stretches]
+    assert vocab._merge_together([]) == []
+
+
+def test_generations_of_stretches_change_nothing(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "CACHE", 3)
+    vocab = sentencepieces.Vocabulary(tokenizer_path(PIECES))
+    texts = [f"word{i % 7} and {i} other\nlines  {i % 3} é" for i in range(40)]
+    for i in range(0, 40, 4):
+        for text, (spelled, decoded, agrees) in zip(texts[i:i + 4], vocab.encode(texts[i:i + 4])):
+            ids = vocab.library.encode(text, add_eos=True)
+            assert agrees and spelled.split() == list(map(str, ids)) and decoded == vocab.library.decode(ids)
+    assert len(vocab.known) < 20

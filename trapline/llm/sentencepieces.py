@@ -2,7 +2,9 @@
 
 Each stretch of a text that no piece can reach across is merged on its own: an
 agenda of adjacent symbol pairs, ordered by score and then from the left, says
-which pair joins next. Symbols that end up outside the vocabulary become byte
+which pair joins next. The agendas of all new stretches of a batch advance together, each by
+its first pair a turn, as arrays; a stretch of over ``LONG`` characters has a heap of its own.
+Symbols that end up outside the vocabulary become byte
 pieces. Every distinct stretch is also encoded by the sentencepiece library, and the ids
 of every text are decoded by it as a whole, and the results are compared in the same Arrow batch.
 
@@ -18,6 +20,7 @@ import heapq
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 from trapline.llm import common
 
 SPACE = "▁"
-CACHE = 250_000  # distinct stretches a Python worker keeps
+CACHE = 200_000  # distinct stretches of a generation; a Python worker keeps two
+LONG = 64
+RUN = 512  # new stretches that the library encodes in one string
 
 
 class Vocabulary:
@@ -47,30 +52,87 @@ class Vocabulary:
         # unless a piece spans such a place.
         spanning = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids if len(p) > 1)
         self.stretches = re.compile("(?s).+" if spanning else f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+        self.whole = spanning
         self.lead = self.library.encode("\n")
+        self._number_symbols()
         self.known: dict[str, tuple[list[int], str, str]] = {}
+        self.before: dict[str, tuple[list[int], str, str]] = {}
         self.doubtful: set[str] = set()
 
-    def merge(self, stretch: str) -> list[str]:
-        return self._merge_long(stretch) if len(stretch) > 64 else self._merge_short(stretch)
+    def _number_symbols(self) -> None:
+        """Numbers for all symbols a merge can meet, and which two of them join to which, as arrays."""
+        symbols = [*self.ids, *sorted({c for p in self.ids for c in p} - set(self.ids))]
+        self.symbols, number = symbols, {s: i for i, s in enumerate(symbols)}
+        points = sorted((ord(s), i) for s, i in number.items() if len(s) == 1)
+        self.points, self.point_symbols = (np.array(x, dtype=np.int64) for x in zip(*points))
+        joins = sorted((number[p[:i]] * len(symbols) + number[p[i:]], number[p]) for p in self.ids for i in range(1, len(p))
+                       if p[:i] in number and p[i:] in number)
+        self.join_keys, self.join_symbols = (np.array(x, dtype=np.int64) for x in zip(*joins)) if joins else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64))
+        self.symbol_cost = np.array([self.cost.get(s, np.inf) for s in symbols] + [np.inf])
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbol that two join to, or the number after the last where they do not."""
+        key = left * len(self.symbols) + right
+        at = np.searchsorted(self.join_keys, key).clip(max=len(self.join_keys) - 1)
+        hit = (self.join_keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.join_symbols[at], len(self.symbols))
+
+    def _merge_together(self, stretches: list[str]) -> list[list[str]]:
+        """Symbols of many stretches; in every turn each of them joins the cheapest of its pairs, the leftmost of equals."""
+        sizes = np.array([len(s) for s in stretches], dtype=np.int64)
+        points = np.frombuffer("".join(stretches).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        at = np.searchsorted(self.points, points).clip(max=len(self.points) - 1)
+        # Characters that no piece holds are told apart by their place, from -1 down.
+        symbol = np.where(self.points[at] == points, self.point_symbols[at], -1 - np.arange(len(points)))
+        owner = np.repeat(np.arange(len(stretches)), sizes)
+        none = len(self.symbols)
+        join = np.full(len(symbol), none, dtype=np.int64)
+        pairs = np.flatnonzero(owner[:-1] == owner[1:])
+        join[pairs] = self._joined(symbol[pairs], symbol[pairs + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            cost = self.symbol_cost[join]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(cost, first)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(owner))))
+            rest = np.isfinite(best)[group]
+            if not rest.all():
+                done.append((owner[~rest], symbol[~rest]))
+                # The last symbol of a stretch has no pair, so stretches can be taken out whole.
+                owner, symbol, join, cost, best = owner[rest], symbol[rest], join[rest], cost[rest], best[group][rest]
+            else:
+                best = best[group]
+            if not len(symbol):
+                break
+            cheap = np.flatnonzero(cost == best)
+            cheap = cheap[np.concatenate([[True], owner[cheap[1:]] != owner[cheap[:-1]]])]
+            symbol[cheap] = join[cheap]
+            kept = np.ones(len(symbol), dtype=bool)
+            kept[cheap + 1] = False
+            place = np.cumsum(kept)[cheap] - 1
+            owner, symbol, join = owner[kept], symbol[kept], join[kept]
+            changed = np.unique(np.concatenate([place, place[place > 0] - 1]))
+            inside = changed[:-1] if len(changed) and changed[-1] == len(owner) - 1 else changed
+            join[changed] = none
+            inside = inside[owner[inside] == owner[inside + 1]]
+            join[inside] = self._joined(symbol[inside], symbol[inside + 1])
+        owners, found = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(owners, kind="stable")
+        bounds = np.searchsorted(owners[order], np.arange(len(stretches) + 1))
+        names, found = self.symbols, found[order].tolist()
+        spelled = [names[i] if i >= 0 else chr(points[-1 - i]) for i in found]
+        return [spelled[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def _merge_short(self, stretch: str) -> list[str]:
-        """The agenda as a plain list: its least entry, the leftmost of equals, joins next."""
-        get, none = self.cost.get, float("inf")
-        symbols = list(stretch)
-        agenda = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            agenda.pop(i)
-            if i < len(agenda):
-                agenda[i] = get(symbols[i] + symbols[i + 1], none)
-            if i:
-                agenda[i - 1] = get(symbols[i - 1] + symbols[i], none)
-        return symbols
+        return self._merge_together([stretch])[0]
+
+    def merge(self, stretches: list[str]) -> list[list[str]]:
+        """The symbols that stay of each stretch."""
+        out = [self._merge_long(s) if len(s) > LONG else [] for s in stretches]
+        short = [i for i, s in enumerate(stretches) if len(s) <= LONG]
+        for i, symbols in zip(short, self._merge_together([stretches[i] for i in short])):
+            out[i] = symbols
+        return out
 
     def _merge_long(self, stretch: str) -> list[str]:
         """The agenda as a heap over linked symbols; entries whose symbols have changed are skipped."""
@@ -99,9 +161,9 @@ class Vocabulary:
             offer(i, after[i])
         return [s for s in symbols if s]
 
-    def encode_stretch(self, stretch: str) -> list[int]:
+    def ids_of(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
-        for s in self.merge(stretch):
+        for s in symbols:
             i = self.ids.get(s)
             if i is None:
                 out += [self.byte_ids[b] for b in s.encode()] if self.byte_ids else [self.library.unk_id()]
@@ -109,22 +171,38 @@ class Vocabulary:
                 out.append(i)
         return out
 
+    def encode_stretch(self, stretch: str) -> list[int]:
+        return self.ids_of(self.merge([stretch])[0])
+
     def decode_ids(self, ids: list[int]) -> str:
-        out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids)
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
+        out = b"".join([bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in ids])
         return out.decode("utf-8", "replace").replace(SPACE, " ")
 
+    def _library_ids(self, stretches: list[str]) -> list[list[int]]:
+        # The line end keeps the library's own leading space mark apart from the text.
+        return [x[len(self.lead):] for x in self.library.encode(["\n" + s.replace(SPACE, " ") for s in stretches], num_threads=1)]
+
     def learn(self, stretches: set[str]) -> None:
-        """Encodes the stretches not known yet and holds their ids against the library."""
-        new = [s for s in stretches if s not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {s: self.known[s] for s in stretches if s in self.known}
-        # The line end keeps the library's own leading space mark apart from the stretch.
-        encoded = self.library.encode(["\n" + s.replace(SPACE, " ") for s in new], num_threads=1)
-        for s, other in zip(new, encoded):
-            own = self.encode_stretch(s)
-            if other != self.lead + own:
-                self.doubtful.add(s)
-            self.known[s] = own, " ".join(map(str, own)), self.decode_ids(own)
+        """Encodes the stretches not known yet and holds their ids against the library.
+
+        Those met since the generation began stay; the generation before goes when a new one begins.
+        """
+        if len(self.known) > CACHE:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        known.update({s: before[s] for s in stretches if s not in known and s in before})
+        new = [s for s in stretches if s not in known]
+        own = [self.ids_of(symbols) for symbols in self.merge(new)]
+        for i in range(0, len(new), RUN):
+            run, ids = new[i:i + RUN], own[i:i + RUN]
+            # Strung together where a text may be cut; one that could be read otherwise there is looked at alone.
+            safe = not self.whole and all(s[0] in (SPACE, "\n") and not s.endswith(SPACE) for s in run)
+            if not safe or self._library_ids(["".join(run)])[0] != [x for part in ids for x in part]:
+                self.doubtful |= {s for s, part, other in zip(run, ids, self._library_ids(run)) if part != other}
+        for s, ids in zip(new, own):
+            known[s] = ids, " ".join(map(str, ids)), self.decode_ids(ids)
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, bool]]:
         """For each text its ids with the end id, spelled out, the text they decode to, and whether the library agrees."""
