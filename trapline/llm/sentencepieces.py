@@ -55,8 +55,8 @@ class Vocabulary:
         self.whole = spanning
         self.lead = self.library.encode("\n")
         self._number_symbols()
-        self.known: dict[str, tuple[list[int], str, str]] = {}
-        self.before: dict[str, tuple[list[int], str, str]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.before: dict[str, tuple[tuple[int, ...], str, str]] = {}
         self.doubtful: set[str] = set()
 
     def _number_symbols(self) -> None:
@@ -68,6 +68,9 @@ class Vocabulary:
         joins = sorted((number[p[:i]] * len(symbols) + number[p[i:]], number[p]) for p in self.ids for i in range(1, len(p))
                        if p[:i] in number and p[i:] in number)
         self.join_keys, self.join_symbols = (np.array(x, dtype=np.int64) for x in zip(*joins)) if joins else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64))
+        self.symbol_ids = np.array([self.ids.get(s, -1) for s in symbols] + [-1], dtype=np.int64)
+        self.numerals = [str(i) for i in range(len(self.pieces))]
+        self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         self.symbol_cost = np.array([self.cost.get(s, np.inf) for s in symbols] + [np.inf])
 
     def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -78,7 +81,17 @@ class Vocabulary:
         return np.where(hit, self.join_symbols[at], len(self.symbols))
 
     def _merge_together(self, stretches: list[str]) -> list[list[str]]:
-        """Symbols of many stretches; in every turn each of them joins the cheapest of its pairs, the leftmost of equals."""
+        """Symbols of many stretches."""
+        found, bounds, points = self._agendas(stretches)
+        names = self.symbols
+        spelled = [names[i] if i >= 0 else chr(points[-1 - i]) for i in found.tolist()]
+        return [spelled[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+    def _agendas(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all stretches, where each one's begin (plus the end), and the characters they came from.
+
+        In every turn each stretch joins the cheapest of its pairs, the leftmost of equals.
+        """
         sizes = np.array([len(s) for s in stretches], dtype=np.int64)
         points = np.frombuffer("".join(stretches).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         at = np.searchsorted(self.points, points).clip(max=len(self.points) - 1)
@@ -111,27 +124,40 @@ class Vocabulary:
             kept[cheap + 1] = False
             place = np.cumsum(kept)[cheap] - 1
             owner, symbol, join = owner[kept], symbol[kept], join[kept]
-            changed = np.unique(np.concatenate([place, place[place > 0] - 1]))
-            inside = changed[:-1] if len(changed) and changed[-1] == len(owner) - 1 else changed
+            changed = np.zeros(len(owner) + 1, dtype=bool)
+            changed[place] = changed[place - 1] = True  # the one before the first is beyond the last
+            changed = np.flatnonzero(changed[:-1])
             join[changed] = none
+            inside = changed[:-1] if changed[-1] == len(owner) - 1 else changed
             inside = inside[owner[inside] == owner[inside + 1]]
             join[inside] = self._joined(symbol[inside], symbol[inside + 1])
         owners, found = (np.concatenate(x) for x in zip(*done)) if done else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         order = np.argsort(owners, kind="stable")
-        bounds = np.searchsorted(owners[order], np.arange(len(stretches) + 1))
-        names, found = self.symbols, found[order].tolist()
-        spelled = [names[i] if i >= 0 else chr(points[-1 - i]) for i in found]
-        return [spelled[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        return found[order], np.searchsorted(owners[order], np.arange(len(stretches) + 1)), points
 
     def _merge_short(self, stretch: str) -> list[str]:
         return self._merge_together([stretch])[0]
 
     def merge(self, stretches: list[str]) -> list[list[str]]:
         """The symbols that stay of each stretch."""
-        out = [self._merge_long(s) if len(s) > LONG else [] for s in stretches]
+        return [self._merge_long(s) if len(s) > LONG else self._merge_short(s) for s in stretches]
+
+    def encoded(self, stretches: list[str]) -> list[tuple[tuple[int, ...], str, str]]:
+        """Ids of each stretch, spelled out, and the text they decode to."""
+        out: list = [None] * len(stretches)
         short = [i for i, s in enumerate(stretches) if len(s) <= LONG]
-        for i, symbols in zip(short, self._merge_together([stretches[i] for i in short])):
-            out[i] = symbols
+        found, bounds, _ = self._agendas([stretches[i] for i in short])
+        ids = self.symbol_ids[np.where(found < 0, len(self.symbols), found)]
+        plain = np.minimum.reduceat(ids, bounds[:-1]) >= 0 if short else np.zeros(0, dtype=bool)
+        ids = ids.tolist()
+        numerals, texts = [self.numerals[i] for i in ids], [self.texts[i] for i in ids]
+        for i, a, b, known in zip(short, bounds[:-1].tolist(), bounds[1:].tolist(), plain.tolist()):
+            if known:
+                out[i] = tuple(ids[a:b]), " ".join(numerals[a:b]), "".join(texts[a:b])
+        for i, entry in enumerate(out):
+            if entry is None:
+                own = self.encode_stretch(stretches[i])
+                out[i] = tuple(own), " ".join(map(str, own)), self.decode_ids(own)
         return out
 
     def _merge_long(self, stretch: str) -> list[str]:
@@ -194,15 +220,14 @@ class Vocabulary:
         known, before = self.known, self.before
         known.update({s: before[s] for s in stretches if s not in known and s in before})
         new = [s for s in stretches if s not in known]
-        own = [self.ids_of(symbols) for symbols in self.merge(new)]
+        own = self.encoded(new)
         for i in range(0, len(new), RUN):
-            run, ids = new[i:i + RUN], own[i:i + RUN]
+            run, ids = new[i:i + RUN], [list(x[0]) for x in own[i:i + RUN]]
             # Strung together where a text may be cut; one that could be read otherwise there is looked at alone.
             safe = not self.whole and all(s[0] in (SPACE, "\n") and not s.endswith(SPACE) for s in run)
             if not safe or self._library_ids(["".join(run)])[0] != [x for part in ids for x in part]:
                 self.doubtful |= {s for s, part, other in zip(run, ids, self._library_ids(run)) if part != other}
-        for s, ids in zip(new, own):
-            known[s] = ids, " ".join(map(str, ids)), self.decode_ids(ids)
+        known.update(zip(new, own))
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, bool]]:
         """For each text its ids with the end id, spelled out, the text they decode to, and whether the library agrees."""
@@ -238,7 +263,8 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, row, schema:
         vocab = vocabulary(path)
         for batch in batches:
             for part in common.chunks(batch, "text", 1 << 20):
-                got = [row(*x) for x in vocab.encode(part.column("text").to_pylist())]
+                with common.uncollected():
+                    got = [row(*x) for x in vocab.encode(part.column("text").to_pylist())]
                 columns = list(zip(*got)) if got else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), *[pa.array(list(c), k) for c, (_, k) in zip(columns, kinds)]], ["id", *[n for n, _ in kinds]])
