@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 EMPTY = np.zeros(0, dtype=np.int64)
 SLAB = 1 << 18  # bytes hashed at a time
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trapline.llm import common
 
 SPACE = "▁"
-CACHE = 200_000  # distinct stretches of a generation; a Python worker keeps two
+CACHE = 400_000  # distinct stretches of a generation; a Python worker keeps two
 LONG = 64
 RUN = 512  # new stretches that the library encodes in one string
 
