@@ -3,6 +3,12 @@
 Each stage takes the documents its predecessor kept and returns documents; the last
 one returns their encoding. ``run`` writes every stage's result below the shared
 folder and reads it again, so a lost executor costs no earlier stage.
+
+Defined cases, for every stage: a null text counts as the empty one (it is not toxic, holds no benchmark
+passage and no secret, and is encoded as the end id alone), and stays null where it is kept; all empty and null texts are
+one class of copies; rows that repeat an id and a text are judged alike; of copies under one id one row stays; ids may be
+null; empty tables give empty results; documents may carry further columns of any name, which all
+stages but the last hand on untouched, and need no ``n_chars``.
 """
 
 from __future__ import annotations
@@ -17,8 +23,9 @@ from trapline.session import materialise
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, by a lexicon learned from the labels of those given."""
     lexicon = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, lexicon, score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = common.free_name("toxicity", docs.columns)
+    scored = toxicity.score(docs, lexicon, score_col=name)
+    return scored.where(F.col(f"`{name}`") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +39,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with secrets masked and ``n_chars`` counted anew."""
+    """Documents with secrets masked and ``n_chars``, where there is one, counted anew."""
     clean = secrets.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -163,6 +163,42 @@ def test_pipeline_stages(spark):
     assert 0 < out.count() < len(given) and out.where("not agrees").count() == 0
 
 
+PASSAGE = "these ten words and some more stand in the benchmark as one item"
+ODD = [(1, None), (2, ""), (None, "a text without an id that is long enough for shingles"), (3, "said twice in the table with the same id and text"),
+       (3, "said twice in the table with the same id and text"), (4, f"before {PASSAGE} after"), (5, "password = hunter2secret and so on"), (6, "word " * 30_000)]
+
+
+@pytest.fixture(scope="module")
+def odd_folder(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("odd"))
+    spark.createDataFrame([*[(i, 0, 0) for i in range(1, 20) if i != 5], (1, 0, 0), (5, 1, 1), (None, 1, 1), (99, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("i1", PASSAGE), ("i2", None), ("i3", "")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_pipeline_stages_on_awkward_documents(spark, odd_folder):
+    """Nulls, repeated rows, long texts, clashing names and no ``n_chars``."""
+    names = ["_toxicity", "toxicity", "score", "id", "tid", "row", "text2", "class_id", "n_words", "spans"]
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").select("*", *[F.lit("mine").alias(c) for c in names])
+    stage = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, odd_folder)
+        assert out.columns == docs.columns, name
+        kept[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        assert all(r[c] == "mine" for r in out.collect() for c in names), name
+        assert function(spark, docs.limit(0), odd_folder).count() == 0, name
+    everything = sorted(ODD, key=repr)
+    assert kept["toxicity"] == everything
+    assert kept["near duplicates"] == sorted({(1, None), *[r for r in ODD if r[0] != 2 and r[0] != 1]}, key=repr)
+    assert kept["decontamination"] == sorted((r for r in ODD if r[0] != 4), key=repr)
+    assert [t for i, t in kept["secrets"] if i == 5] == ["[SECRET] and so on"] and len(kept["secrets"]) == len(ODD)
+    assert [r for r in kept["secrets"] if r[0] != 5] == sorted((r for r in ODD if r[0] != 5), key=repr)
+    encoded = stage["encoding"](spark, docs, odd_folder)
+    assert encoded.count() == len(ODD) and encoded.where("not agrees").count() == 0
+    assert sorted(r.n_tokens for r in encoded.where("doc_id in (1, 2)").collect()) == [1, 1]
+
+
 def shingles_of(text, n):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     n = min(n, len(words))

@@ -376,3 +376,37 @@ def test_generations_of_stretches_change_nothing(monkeypatch):
             ids = vocab.library.encode(text, add_eos=True)
             assert agrees and spelled.split() == list(map(str, ids)) and decoded == vocab.library.decode(ids)
     assert len(vocab.known) < 20
+
+
+def test_a_conversation_of_many_turns_takes_linear_time(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                     F.concat(F.lit("turn "), F.col("id"), F.lit(" </s> with a text of some length and 🙂")).alias("text"))
+        begin = time.perf_counter()
+        formatted = chat.render(chat.final_messages(chat.turn_events(rows)))
+        got = formatted.select(F.size(chat.parse(F.col("formatted"))).alias("n"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("learned")).first()
+        assert got.n == n and got.learned == "".join(f"turn {i} </s> with a text of some length and 🙂" for i in range(1, n, 2))
+        return time.perf_counter() - begin
+
+    seconds(100)
+    assert seconds(32_000) < 10 + 4 * seconds(8_000)
+
+
+def test_texts_under_one_id_keep_the_same_bytes_in_any_layout(spark):
+    """Of different texts with one id the one with the least digest stays whole."""
+    shared = "".join(f"{i:03d}," for i in range(40))
+    texts = [f"{i} {shared} {i * 7}" for i in range(8)]
+    least = min(texts, key=lambda t: hashlib.md5(t.encode()).digest())
+    results = []
+    for parts, spread in ((1, 1), (4, 3), (200, 8)):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            df = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string").repartition(spread)
+            rows = suffixes.remove_repeats(df).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        results.append(sorted(r.kept_sha256 for r in rows))
+        assert [r.kept_sha256 for r in rows if r.n_removed == 0] == [hashlib.sha256(least.encode()).hexdigest()]
+    assert results[0] == results[1] == results[2]

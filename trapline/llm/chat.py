@@ -18,7 +18,7 @@ give no rows. Only the named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapline.llm import common
@@ -63,18 +63,17 @@ def render(conversations: DataFrame, learned: str = "assistant") -> DataFrame:
         F.concat(F.lit(OPEN), escape(m["role"]), F.lit(MID)).alias("head"), escape(m["text"]).alias("body")))
     turns = conversations.select("conv_id", turn.alias("turns"))
     rendered = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
-    # One row a message, so positions are a running sum and not a nested fold.
-    placed = turns.select("conv_id", rendered.alias("formatted"), F.transform("turns", lambda t: F.struct(
-        t["learned"].alias("learned"), F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"))).alias("sizes"))
-    step = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<begin:bigint,length:int>>").alias("spans"))
-
-    def add(acc, s):
-        begin = acc["at"] + s["head"]
-        span = F.when(s["learned"], F.array(F.struct(begin.alias("begin"), s["body"].alias("length"))))
-        return F.struct((begin + s["body"] + len(CLOSE)).alias("at"),
-                        F.concat(acc["spans"], F.coalesce(span, F.array().cast("array<struct<begin:bigint,length:int>>"))).alias("spans"))
-
-    return placed.select("conv_id", "formatted", F.aggregate("sizes", step, add)["spans"].alias("loss"))
+    # One row a message, so positions are a running sum; the first of them alone carries the text.
+    sizes = F.transform("turns", lambda t, i: F.struct(
+        t["learned"].alias("learned"), F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"), F.when(i == 0, rendered).alias("formatted")))
+    rows = turns.select("conv_id", F.posexplode_outer(sizes).alias("i", "s"))
+    upto = F.sum(F.col("s.head") + F.col("s.body") + len(CLOSE)).over(Window.partitionBy("conv_id").orderBy("i"))
+    span = F.struct((upto - F.col("s.body") - len(CLOSE)).alias("begin"), F.col("s.body").alias("length"))
+    placed = rows.select("conv_id", "s.formatted", F.col("s.learned").alias("learned"), span.alias("span"))
+    # A list takes the text once; a first value would be copied with every row.
+    return placed.groupBy("conv_id").agg(
+        F.array_join(F.collect_list("formatted"), "").alias("formatted"),
+        F.sort_array(F.collect_list(F.when(F.col("learned"), F.col("span")))).alias("loss"))
 
 
 def parse(formatted: Column) -> Column:
@@ -87,8 +86,28 @@ def parse(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, s["begin"].cast("int") + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped.
+
+    The text is cut into blocks once and a span is taken from the blocks it lies in, so that a span
+    does not cost a walk through all of the text before it.
+    """
+    size = F.greatest(F.lit(1_024), (F.sqrt(F.length(formatted)) * 16).cast("int"))
+    sized = F.struct(formatted.alias("text"), loss.alias("loss"), size.alias("size"))
+
+    def cut(x):
+        places = F.sequence(F.lit(0), (F.length(x["text"]) / x["size"]).cast("int"))
+        return F.struct(F.transform(places, lambda i: F.substring(x["text"], i * x["size"] + 1, x["size"])).alias("blocks"),
+                        x["loss"].alias("loss"), x["size"].alias("size"))
+
+    def taken(x, s):
+        first = F.floor(s["begin"] / x["size"]).cast("int")
+        last = F.floor((s["begin"] + s["length"]) / x["size"]).cast("int")
+        held = F.array_join(F.slice(x["blocks"], first + 1, last - first + 1), "")
+        return unescape(F.substring(held, (s["begin"] - first * x["size"]).cast("int") + 1, s["length"]))
+
+    # Arrays of one element hold what is worked out once for all spans.
+    blocks = F.transform(F.array(sized), cut)
+    return F.transform(blocks, lambda x: F.array_join(F.transform(x["loss"], lambda s: taken(x, s)), ""))[0]
 
 
 def turn_events(rows: DataFrame) -> DataFrame:
@@ -105,5 +124,7 @@ def turn_events(rows: DataFrame) -> DataFrame:
     log = turns.withColumn("e", F.explode(F.array(
         event(0, "message", F.substring("text", 1, half)),
         event(1, "delta", F.substring("text", half + 1, F.length("text"))))))
-    return log.select("conv_id", F.struct("role", "text", "row").alias("msg"), F.struct("turn", "e.step").alias("seq"),
+    # The key orders turns of one place by role and text, and does not carry long texts.
+    key = F.struct("role", F.substring("text", 1, 64).alias("begin"), F.md5("text").alias("text"), "row")
+    return log.select("conv_id", key.alias("msg"), F.struct("turn", "e.step").alias("seq"),
                       "e.kind", "role", F.col("e.part").alias("text"))

@@ -35,6 +35,14 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever the case of its letters."""
+    used = {c.lower() for c in taken}
+    while wanted.lower() in used:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def digest(column: Column) -> Column:
     """128 bits that stand for a text."""
     return F.unhex(F.md5(column))

@@ -42,6 +42,8 @@ BETWEEN = b"\xff"  # stands in no UTF-8 text
 SCHEMA = "part int, run binary, node long, begin int, end int"
 
 
+PART_SAMPLES = 65_536  # repeated samples that a part of the merge takes on average
+
 def _window_least(x: np.ndarray, width: int) -> np.ndarray:
     """Least value of each window, by doubling."""
     size = 1
@@ -383,7 +385,6 @@ def repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     """(rows, texts, covers): ``rows`` has ``id, tid, n_bytes, first``; ``texts`` one row ``node, tid, first, text`` a
     distinct text; ``covers`` the bytes ``begin`` to ``end`` of a node that go."""
     spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = documents.select(id_col).schema[0].dataType
     if kind.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError("ids must be whole numbers, as they say which string comes first")
@@ -391,15 +392,19 @@ def repeated_bytes(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     source = documents.select(F.col(id_col).alias("id"), common.digest(text).alias("tid"), text.alias("text"))
     rows = materialise(source.select("id", "tid", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
     order = F.coalesce(F.col("id").cast("long"), F.lit(-2 ** 63))
-    nodes = materialise(rows.groupBy("tid").agg(F.min(order).alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Nodes ascend with the first id and, of texts under one id, with the digest: what stays depends on neither layout nor run.
+    firsts = rows.groupBy("tid").agg(F.min(order).alias("first")).orderBy("first", "tid")
+    nodes = materialise(firsts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     name = f"trapline_texts_{uuid.uuid4().hex[:12]}"
     (source.select("tid", "text").join(nodes, "tid").dropDuplicates(["tid"]).select("tid", "node", "first", "text")
-     .write.bucketBy(parts, "tid").saveAsTable(name))
+     .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "tid").saveAsTable(name))
     texts = spark.table(name)
     anchors = texts.select("node", "text").mapInArrow(_anchors(length, k), "key long, h long, node long, pos int, sure boolean, n int")
     among = Window.partitionBy("key")
     counted = materialise(anchors.withColumn("many", F.count("*").over(among)).withColumn("total", F.sum("n").over(among))
                           .where((F.col("many") > 1) | F.col("sure")).select("h", "node", "pos", "n", "total"), "repeated-samples")
+    # Parts of the merge follow the samples, so that a part's size does not grow with them.
+    parts = 8 + counted.count() // PART_SAMPLES
     # All samples of a hash go one way: a batch's representatives say which.
     frequent = counted.where((F.col("n") > 0) & (F.col("total") > hot)).select("h").distinct().withColumn("hot", F.lit(True))
     marked = counted.join(frequent, "h", "left").select("node", "pos", F.coalesce("hot", F.lit(False)).alias("hot"))
