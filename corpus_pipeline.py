@@ -48,10 +48,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text they decode to."""
-    encoded = sentencepieces.encoded_digests(docs, queries.tokenizer_path(queries.PIECES))
+    encoded = sentencepieces.encoded_digests(docs, queries.tokenizer_path(queries.PIECES), keep=KEPT_STRETCHES)
     return encoded.withColumnRenamed("id", "doc_id")
 
 
+#: Workers hold the lexicon's sums beside the stretches.
+KEPT_STRETCHES = 100_000
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("near duplicates", drop_near_copies),

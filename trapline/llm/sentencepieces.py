@@ -58,6 +58,7 @@ class Vocabulary:
         self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
         self.before: dict[str, tuple[tuple[int, ...], str, str]] = {}
         self.doubtful: set[str] = set()
+        self.keep = CACHE
 
     def _number_symbols(self) -> None:
         """Numbers for all symbols a merge can meet, and which two of them join to which, as arrays."""
@@ -69,6 +70,7 @@ class Vocabulary:
                        if p[:i] in number and p[i:] in number)
         self.join_keys, self.join_symbols = (np.array(x, dtype=np.int64) for x in zip(*joins)) if joins else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64))
         self.symbol_ids = np.array([self.ids.get(s, -1) for s in symbols] + [-1], dtype=np.int64)
+        self.numbers = [*range(len(self.pieces)), -1]
         self.numerals = [str(i) for i in range(len(self.pieces))]
         self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         self.symbol_cost = np.array([self.cost.get(s, np.inf) for s in symbols] + [np.inf])
@@ -149,7 +151,7 @@ class Vocabulary:
         found, bounds, _ = self._agendas([stretches[i] for i in short])
         ids = self.symbol_ids[np.where(found < 0, len(self.symbols), found)]
         plain = np.minimum.reduceat(ids, bounds[:-1]) >= 0 if short else np.zeros(0, dtype=bool)
-        ids = ids.tolist()
+        ids = [self.numbers[i] for i in ids.tolist()]  # one object an id, however many stretches hold it
         numerals, texts = [self.numerals[i] for i in ids], [self.texts[i] for i in ids]
         for i, a, b, known in zip(short, bounds[:-1].tolist(), bounds[1:].tolist(), plain.tolist()):
             if known:
@@ -215,7 +217,7 @@ class Vocabulary:
 
         Those met since the generation began stay; the generation before goes when a new one begins.
         """
-        if len(self.known) > CACHE:
+        if len(self.known) > self.keep:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         known.update({s: before[s] for s in stretches if s not in known and s in before})
@@ -258,9 +260,10 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, row, schema: str, kinds: list) -> DataFrame:
+def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, row, schema: str, kinds: list, keep: int | None = None) -> DataFrame:
     def run(batches):
         vocab = vocabulary(path)
+        vocab.keep = CACHE if keep is None else keep
         for batch in batches:
             for part in common.chunks(batch, "text", 1 << 20):
                 with common.uncollected():
@@ -280,11 +283,15 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
                     [("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("agrees", pa.bool_())])
 
 
-def encoded_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, ids_sha256, decoded_sha256, agrees``, without moving the ids out of the worker."""
+def encoded_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: int | None = None) -> DataFrame:
+    """``id, n_tokens, ids_sha256, decoded_sha256, agrees``, without moving the ids out of the worker.
+
+    ``keep`` stretches of a generation stay in a worker (``CACHE`` unless given): fewer where workers hold
+    the tables of other operators too.
+    """
     def row(spelled, decoded, ok):
         return spelled.count(" ") + 1, hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ok
 
     return _encoded(df, id_col, text_col, path, row,
                     "n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean",
-                    [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("agrees", pa.bool_())])
+                    [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("agrees", pa.bool_())], keep)
