@@ -271,6 +271,8 @@ def _encoded(df: DataFrame, id_col: str, text_col: str, path: str, row, schema:
                 columns = list(zip(*got)) if got else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), *[pa.array(list(c), k) for c, (_, k) in zip(columns, kinds)]], ["id", *[n for n, _ in kinds]])
+        if keep is not None:
+            _LOADED.pop(path, None)
 
     source = df.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
     return source.mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, {schema}")
@@ -286,8 +288,8 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 def encoded_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: int | None = None) -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256, agrees``, without moving the ids out of the worker.
 
-    ``keep`` stretches of a generation stay in a worker (``CACHE`` unless given): fewer where workers hold
-    the tables of other operators too.
+    A generation has ``CACHE`` stretches, and a worker keeps two from task to task. Where workers hold the tables of
+    other operators too, ``keep`` gives a smaller number, and nothing stays after a task.
     """
     def row(spelled, decoded, ok):
         return spelled.count(" ") + 1, hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ok
