@@ -22,23 +22,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trapline.llm import common, spans
+from trapline.llm import common
 from trapline.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 SETTLED = 1e-9
-_NAME = "[A-Za-z0-9._%+-]"
-PATTERNS = {
-    # A run of name characters is tried from its beginning, or from where the last match ended, and never given back.
-    "email": rf"(?:\G|(?<!{_NAME})){_NAME}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-}
-#: Characters of base matches, and what stands for them where runs are cut: the private code points U+10FF20 to U+10FF7E.
+#: Private code points: what stands for the characters of base matches where runs are cut, and what parts a text at its matches.
 _PLAIN = "".join(map(chr, range(0x20, 0x7F)))
-_MARKED = "".join(chr(0x10FF00 + c) for c in range(0x20, 0x7F))
+_MARKED = "".join(chr(0xE000 + ord(c)) for c in _PLAIN)
+_PART = "\ue000"
 _MARK = f"{_MARKED[0]}-{_MARKED[-1]}"
+
+
+def _one_of(*members: str, marked: bool) -> str:
+    """One of some characters and ``az`` ranges, or what stands for them."""
+    both = [*members, *["".join(chr(0xE000 + ord(c)) for c in m) for m in members if marked]]
+    return "[" + "".join(f"{m[0]}-{m[1]}" if len(m) == 2 else f"\\{m}" for m in both) + "]"
+
+
+def _forms(marked: bool) -> dict[str, str]:
+    digit, dot, dash = _one_of("09", marked=marked), _one_of(".", marked=marked), _one_of(" ", "-", marked=marked)
+    name = _one_of("AZ", "az", "09", ".", "_", "%", "+", "-", marked=marked)
+    host = _one_of("AZ", "az", "09", "-", marked=marked)
+    return {
+        # A run of name characters is tried from its beginning, or from where the last match ended, and never given back.
+        "email": rf"(?:\G|(?<!{name})){name}++{_one_of('@', marked=marked)}{host}+(?:{dot}{host}+)++",
+        "ip": rf"(?<!{digit}){digit}++(?:{dot}{digit}++){{3}}",
+        # Whole runs of 16 to 19 digits: no other run can hold a card.
+        "card": rf"(?<!{digit})(?<!{digit}{dash}){digit}(?:{dash}?{digit}){{15,18}}(?!{dash}?{digit})",
+        "phone": rf"{_one_of('+', marked=marked)}{digit}{_one_of(' ', '(', ')', '.', '09', '-', marked=marked)}+{digit}",
+    }
+
+
+PATTERNS, _MARKED_PATTERNS = _forms(False), _forms(True)
+#: A text without this character has no match of the kind.
+_SIGNS = {"email": "@", "phone": "+"}
 #: Words that hold a digit or an at sign, and all such words that follow directly, outside base matches.
 _WORD = rf"[^\s0-9@{_MARK}]*+[0-9@][^\s{_MARK}]*+"
 INSTANCE = rf"[{_MARK}]++|(?<![^\s{_MARK}]){_WORD}(?:\x20{_WORD})*+"
@@ -78,40 +96,73 @@ def _plain(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]++|[^\p{L}\p{N}]++$", ""))
 
 
+def _parted(text: Column, pattern: str) -> Column:
+    """The text cut at its matches, which stand at every second place."""
+    return F.split(F.regexp_replace(text, pattern, f"{_PART}$0{_PART}"), _PART)
+
+
+def _each_match(parts: Column, mark) -> Column:
+    """``mark(gap, match, last)`` for each match, the text before it and the match before that; null without matches."""
+    places = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+    return F.when(F.size(parts) > 1, F.transform(places, lambda i: mark(parts[i - 1], parts[i], F.when(i > 1, F.get(parts, i - 2)))))
+
+
 def _base_mark(kind: str):
     """Lengths of a match and of the gap before it, and whether the match counts; the texts stay behind."""
-    return lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("size"),
-                              (p["match"].isNotNull() & _valid(F.lit(kind), p["match"])).alias("told"))
+    return lambda gap, match, last: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), _valid(F.lit(kind), match).alias("told"))
 
 
-def _cut(text: Column, kind: str) -> Column:
-    """The text with the matches of a kind that count in marked characters."""
-    match = lambda m: F.coalesce(F.when(_valid(F.lit(kind), m), F.translate(m, _PLAIN, _MARKED)).otherwise(m), F.lit(""))
-    part = lambda p: F.concat(p["gap"], match(p["match"]))
-    return F.array_join(F.transform(spans.pieces(text, PATTERNS[kind]), part), "")
+def _is_marked(part: Column) -> Column:
+    return F.left(part, F.lit(1)).between(_MARKED[0], _MARKED[-1])
 
 
-def _either(one: Column, other: Column) -> Column:
-    """Characters marked in one of two copies of a text are marked."""
-    pick = lambda a, b: F.when(a >= _MARKED[0], a).otherwise(b)
-    return F.array_join(F.zip_with(F.split(one, ""), F.split(other, ""), pick), "")
+def _unmarked(part: Column) -> Column:
+    return F.when(_is_marked(part), F.translate(part, _MARKED, _PLAIN)).otherwise(part)
 
 
-def _instance_mark(p: Column, last: Column) -> Column:
-    """A base match, or a part of a run without marks around it, and the word before the run.
+def _marked(text: Column, kind: str) -> Column:
+    """The text with the matches of a kind that count in marked characters; some may be marked already."""
+    def part(p, i):
+        return F.when((i % 2 == 1) & _valid(F.lit(kind), F.translate(p, _MARKED, _PLAIN)), F.translate(p, _PLAIN, _MARKED)).otherwise(p)
+
+    return F.array_join(F.transform(_parted(text, _MARKED_PATTERNS[kind]), part), "")
+
+
+def _any_marked(text: Column, kind: Column) -> Column:
+    """``_marked`` for a kind that is known by row only."""
+    out = text
+    for k in KINDS:
+        out = F.when(kind == k, _marked(text, k)).otherwise(out)
+    return out
+
+
+def _run_mark(gap: Column, match: Column, last: Column) -> Column:
+    """A base match, or a part of a run, and the word before the run as it stands.
 
     ``joined`` parts lie in the run of the part before, ``last``.
     """
-    seed = p["match"] >= _MARKED[0]
-    head = F.when(seed, 0).otherwise(F.length(F.regexp_extract(p["match"], r"^[^\p{L}\p{N}+(@]*+", 0)))
-    core = F.when(seed, F.translate(p["match"], _MARKED, _PLAIN)).otherwise(
-        F.regexp_replace(F.substr(p["match"], head + 1), r"[^\p{L}\p{N}]++$", ""))
-    joined = last["match"].isNotNull() & p["gap"].rlike(r"^\S*+\x20?+\S*+\z")
-    upto = F.concat(F.coalesce(F.translate(last["match"], _MARKED, _PLAIN), F.lit("")), p["gap"])
-    upto = F.translate(F.regexp_replace(upto, r"(?<!\S)\S++\z", ""), "\t\n\x0b\f\r", " " * 5)
-    before = F.when(~joined, _plain(F.substring_index(F.rtrim(upto), " ", -1)))
-    return F.struct(F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("size"), (core != "").alias("told"), head.alias("head"),
-                    F.when(core != "", core).alias("instance"), before.alias("pattern"), seed.alias("seed"), joined.alias("joined"))
+    seed = _is_marked(match)
+    head = F.when(seed, 0).otherwise(F.length(F.regexp_extract(match, r"^[^\p{L}\p{N}+(@]*+", 0)))
+    joined = last.isNotNull() & gap.rlike(r"^\S*+\x20?+\S*+\z")
+    # Read from its end, the text before the match begins with what touches the match, then comes the word before.
+    back = F.reverse(F.concat(F.coalesce(_unmarked(last), F.lit("")), gap))
+    before = F.when(~joined, F.reverse(F.regexp_extract(back, r"^\S*+\s++(\S++)", 1)))
+    return F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), match.alias("match"), head.alias("head"),
+                    before.alias("before"), seed.alias("seed"), joined.alias("joined"))
+
+
+def _instance_mark(p: Column) -> Column:
+    """The same with the match as an instance, without marks around it, and the word before as a pattern."""
+    core = F.when(p["seed"], F.translate(p["match"], _MARKED, _PLAIN)).otherwise(
+        F.regexp_replace(F.substr(p["match"], p["head"] + 1), r"[^\p{L}\p{N}]++$", ""))
+    return F.struct(p["gap"].alias("gap"), p["size"].alias("size"), p["head"].alias("head"), F.nullif(core, F.lit("")).alias("instance"),
+                    _plain(p["before"]).alias("pattern"), p["seed"].alias("seed"), p["joined"].alias("joined"))
+
+
+def _once(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns, evaluated once here: neither filters nor later columns are merged with them across a generator."""
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return rows.select(F.explode(F.array(F.struct(*named))).alias("row")).select("row.*")
 
 
 def marks(documents: DataFrame, text: Column) -> DataFrame:
@@ -119,21 +170,26 @@ def marks(documents: DataFrame, text: Column) -> DataFrame:
 
     Marks hold lengths and identifiers, so no text is shuffled; copies combine before the shuffle.
     """
-    own = F.when(text.rlike(f"[{_MARK}]"), F.regexp_replace(text, f"[{_MARK}]", "\ufffd")).otherwise(text)
-    found = documents.select(common.digest(text).alias("tid"), own.alias("text"))
-    found = found.select("tid", "text", *[F.transform(spans.pieces(F.col("text"), PATTERNS[k]), _base_mark(k)).alias(k) for k in KINDS])
-    # Most digits are no card: a kind without one match that counts is left out before any row is made.
-    some = found.select("tid", "text", *[F.when(F.exists(k, lambda p: p["told"]), F.col(k)).alias(k) for k in KINDS])
-    copies = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), _cut(F.col("text"), k)) for k in KINDS]))
-    cut = F.aggregate(copies, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull(), b).otherwise(_either(a, b)))
-    parts = some.select("tid", *KINDS, "text", cut.alias("cut")).select("tid", *KINDS, F.when(
-        F.col("cut").isNull(), spans.pieces(F.col("text"), _WHOLE)).otherwise(spans.pieces(F.col("cut"), INSTANCE)).alias("parts"))
-    # The last piece has no match; its text is not needed.
-    parts = parts.withColumn("parts", F.filter("parts", lambda p: p["match"].isNotNull()))
-    earlier = F.concat(F.array(F.lit(None).cast(parts.schema["parts"].dataType.elementType)), F.slice("parts", 1, F.size("parts") - 1))
-    context = F.when(F.size("parts") > 0, F.zip_with("parts", earlier, _instance_mark)).alias("context")
+    own = F.when(text.rlike(f"[{_PART}{_MARK}]"), F.regexp_replace(text, f"[{_PART}{_MARK}]", "\ufffd")).otherwise(text)
+    found = _once(documents, common.digest(text).alias("tid"), own.alias("text"))
+
+    def base(kind: str) -> Column:
+        parts = _parted(F.col("text"), PATTERNS[kind])
+        return (F.when(F.col("text").contains(_SIGNS[kind]), parts) if kind in _SIGNS else parts).alias(kind)
+
+    found = _once(found, "tid", "text", *[base(k) for k in KINDS])
+    found = _once(found, "tid", "text", *[_each_match(F.col(k), _base_mark(k)).alias(k) for k in KINDS])
+    # A kind without one match that counts is left out before any row is made.
+    some = _once(found, "tid", "text", *[F.when(F.exists(k, lambda p: p["told"]), F.col(k)).alias(k) for k in KINDS])
+    kinds = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in KINDS]))
+    cut = F.when(F.size(kinds) > 0, F.aggregate(kinds, F.col("text"), _any_marked))
+    parts = _once(some, "tid", *KINDS, "text", cut.alias("cut"))
+    parts = _once(parts, "tid", *KINDS, F.when(F.col("cut").isNull(), _parted(F.col("text"), _WHOLE)).otherwise(
+        _parted(F.col("cut"), INSTANCE)).alias("parts"))
+    parts = _once(parts, "tid", *KINDS, _each_match(F.col("parts"), _run_mark).alias("context"))
+    parts = _once(parts, "tid", *KINDS, F.transform("context", _instance_mark).alias("context"))
     names = [*KINDS, "context"]
-    return (parts.select("tid", *KINDS, context).where(F.greatest(*[F.col(k).isNotNull() for k in names]))
+    return (parts.where(F.greatest(*[F.col(k).isNotNull() for k in names]))
             .groupBy("tid").agg(F.count("*").alias("n"), F.first(F.struct(*names)).alias("m")).select("tid", "n", "m.*"))
 
 
@@ -152,7 +208,7 @@ def instances(marked: DataFrame) -> DataFrame:
     placed = _placed(marked.select("tid", "n", F.posexplode("context").alias("i", "p")), ["tid"])
     placed = placed.withColumn("run", F.sum((~F.col("p.joined")).cast("int")).over(Window.partitionBy("tid").orderBy("i")))
     run = Window.partitionBy("tid", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = F.col("p.told")
+    told = F.col("p.instance").isNotNull()
     begin = F.col("begin") + F.col("p.head")
     return placed.select(
         "tid", "n", begin.alias("begin"), (begin + F.length("p.instance")).alias("end"), "p.instance", "p.seed",
