@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trapline.session import scratch_path
 from trapline.sources import growing
 from trapline.sources.growing import growing_lines
-from trapline.streaming import ingest, live
+from trapline.streaming import ingest, live, retry
 
 
 def sensor_file(folder, service, name, *docs):
@@ -221,3 +221,32 @@ def test_growing_sensor_files_are_ingested(spark, tmp_path):
         ingest.start_ingest(lines, out, checkpoint, period=None).awaitTermination()
     assert sorted(r["src_ip"] for r in spark.read.parquet(f"{out}/events").collect()) == ["8.8.8.1", "8.8.8.2"]
     assert sorted(r["reject_reason"] for r in spark.read.parquet(f"{out}/rejects").collect()) == ["bad timestamp", "malformed line"]
+
+
+def test_retry_takes_mended_lines_once_and_gives_up(spark, folder):
+    out = scratch_path(spark, "out")
+    run(spark, folder, out, scratch_path(spark, "ck"))
+    sensor_file(folder, "http", "b.json", "{broken", "{broken")
+    run(spark, folder, out + "x", scratch_path(spark, "ck"))
+    rejects = spark.read.parquet(f"{out}x/rejects").select(F.sum(F.when(F.col("value") == "{broken", 1))).first()[0]
+    bad = spark.read.parquet(f"{out}x/rejects").filter("reject_reason = 'bad timestamp'")
+    retry.mend(spark, f"{out}x", bad.select(
+        retry.line_key(F.col("service"), F.col("value")).alias("key"), F.regexp_replace("value", "never", "2024-01-01T00:00:03Z").alias("value")))
+    checkpoint = scratch_path(spark, "ck")
+    for _ in range(2):  # Started again, it finds nothing left to do.
+        retry.settle(retry.start_retry(spark, f"{out}x", checkpoint, delay=0.5, most=2, period="0 seconds"), 120)
+    assert [r["src_ip"] for r in spark.read.parquet(f"{out}x/retried").collect()] == ["8.8.8.3"]
+    given_up = spark.read.parquet(f"{out}x/given_up").select("value", "attempt", "copies", "reject_reason").collect()
+    assert [tuple(r) for r in given_up] == [("{broken", 2, rejects, "malformed line")] and rejects == 3
+
+
+def test_retry_holds_letters_over_a_restart(spark, folder):
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "ck")
+    run(spark, folder, out, scratch_path(spark, "ck"))
+    query = retry.start_retry(spark, out, checkpoint, delay=5, most=1, period="0 seconds")
+    while not (query.lastProgress and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2):
+        assert query.isActive
+    query.stop()
+    retry.settle(retry.start_retry(spark, out, checkpoint, delay=5, most=1, period="0 seconds"), 120)
+    given_up = spark.read.parquet(f"{out}/given_up").collect()
+    assert sorted(r["reject_reason"] for r in given_up) == ["bad timestamp", "malformed line"]

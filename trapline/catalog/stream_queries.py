@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trapline.catalog.registry import micros, query
 from trapline.fixtures import Tables
 from trapline.session import scratch_path
-from trapline.streaming import ingest, live
+from trapline.streaming import ingest, live, retry
 
 
 def _ingested(t: Tables, **options) -> str:
@@ -69,6 +69,28 @@ def _(t: Tables):
     return rejects.groupBy("service", "reject_reason").agg(F.count("*").alias("n"))
 
 
+@query("T03_timed_retry", f"""
+SELECT service, 'delivered' AS outcome, 1 AS tries, count(*) AS n FROM ({KEPT}) WHERE id % 50 = 3 GROUP BY service
+UNION ALL SELECT service, 'malformed line', 2, count(*) FROM lines WHERE broken GROUP BY service""", ["kept"])
+def _(t: Tables):
+    # Events with a broken time are refused and get their own time back while they wait; broken lines are given up.
+    never = F.when(F.col("id") % 50 == 3, F.regexp_replace("value", '"timestamp":"[^"]*"', '"timestamp":"never"')).otherwise(F.col("value"))
+    sent = t.sensor_lines.withColumn("sent", never)
+    folder, out = scratch_path(t.spark, "sensor-lines"), scratch_path(t.spark, "ingest")
+    sent.select("service", "sent").write.partitionBy("service").text(folder)
+    ingest.start_ingest(ingest.sensor_line_stream(t.spark, folder), out, scratch_path(t.spark, "offsets"), period=None).awaitTermination()
+    refused = t.spark.read.parquet(f"{out}/rejects").filter("reject_reason = 'bad timestamp'").select(
+        retry.line_key(F.col("service"), F.col("value")).alias("key"))
+    mends = sent.select(retry.line_key(F.col("service"), F.col("sent")).alias("key"), "value")
+    retry.mend(t.spark, out, mends.join(refused, "key", "left_semi"))
+    retry.settle(retry.start_retry(t.spark, out, scratch_path(t.spark, "offsets"), delay=1, most=2, period="0 seconds", partitions=8))
+    delivered = t.spark.read.parquet(f"{out}/retried").groupBy("service").agg(F.count("*").alias("n")).select(
+        "service", F.lit("delivered").alias("outcome"), F.lit(1).alias("tries"), "n")
+    given_up = t.spark.read.parquet(f"{out}/given_up").groupBy(
+        "service", F.col("reject_reason").alias("outcome"), F.col("attempt").alias("tries")).agg(F.sum("copies").alias("n"))
+    return delivered.unionByName(given_up)
+
+
 @query("T04_canonical_stream", f"""
 SELECT timestamp, source_ip AS src_ip, event_type, sensor_id, service,
   coalesce(nullif(session_id, ''), sha256(source_ip || ':' || event_type || ':' || regexp_replace(timestamp[:13], '[^0-9]', '', 'g'))) AS session_id

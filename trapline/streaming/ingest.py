@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trapline.operators.normalize import canonical, normalise_sensor_lines, split_valid
 from trapline.sources.files import parse_lines
-from trapline.sources.growing import RANGE_BYTES, growing_lines
+from trapline.sources.growing import RANGE_BYTES, file_system, growing_lines
 
 # --- fixed values -----------------------------------------------------------
 BATCH_PERIOD = "2 seconds"
@@ -65,14 +65,24 @@ def ingest_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return canonical(valid), rejected.unionByName(refused)
 
 
+def finished(path: str) -> bool:
+    """Whether a table was written here to its end."""
+    system, base = file_system(path)
+    return system.get_file_info(f"{base}/_SUCCESS").is_file
+
+
 def _write_batch(out: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         # Overwriting the batch's own folder makes a repeated batch harmless.
         lines = batch.persist()
-        events, rejects = ingest_lines(lines)
-        events.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
-        lines.unpersist()
+        try:
+            events, rejects = ingest_lines(lines)
+            events.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
+            # The retry may have read whole rejects already, so they are not written anew.
+            if not finished(f"{out}/rejects/batch={batch_id}"):
+                rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        finally:
+            lines.unpersist()
 
     return write
 
