@@ -6,9 +6,10 @@ all terms in one pass. Hits inside an exception phrase do not count. The weighte
 sum of hits is normalised by length and a logistic curve turns it into a score.
 
 Terms and weights are learned here, from labelled texts: whole words and character
-n-grams that are more frequent in toxic texts, weighted by the logarithm of how
-much. Counting runs on the cluster; only the lexicon (at most ``max_terms``) and
-three numbers for each of at most ``calibration_rows`` texts come to the driver.
+n-grams that stand in more of the toxic texts, weighted by the logarithm of how
+much more; a text counts once for a term, however long it is. Every term that passes the
+thresholds is kept. Counting runs on the cluster; only the lexicon, which the labelled
+sample bounds, and three numbers for each of its texts come to the driver.
 
 Defined cases: null and empty texts score as a text without hits; labels without a
 text, null labels and null ids are not learned from; an id labelled twice is toxic if any
@@ -20,7 +21,6 @@ empty results. Only the named columns are read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -108,16 +108,14 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def _terms(text: str, n: int) -> Counter:
-    """Words and n-grams of a text, each counted three times at most."""
+def _terms(text: str, n: int) -> set[str]:
+    """The different words and n-grams of a text."""
     folded = fold(text)
-    counts = Counter(f" {w} " for w in folded.split())
-    counts.update(folded[i:i + n] for i in range(len(folded) - n + 1))
-    return counts
+    return {f" {w} " for w in folded.split()}.union(folded[i:i + n] for i in range(len(folded) - n + 1))
 
 
 def _counted(n: int, flush: int = 100_000):
-    """Occurrences by term and class, summed in the worker before they are shuffled."""
+    """Texts by term and class, summed in the worker before they are shuffled."""
     def rows(sums):
         return pa.RecordBatch.from_arrays(
             [pa.array(list(sums)), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())],
@@ -127,8 +125,8 @@ def _counted(n: int, flush: int = 100_000):
         sums: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for term, k in _terms(text, n).items():
-                    sums.setdefault(term, [0, 0])[toxic] += min(k, 3)
+                for term in _terms(text, n):
+                    sums.setdefault(term, [0, 0])[toxic] += 1
                 if len(sums) > flush:
                     yield rows(sums)
                     sums = {}
@@ -157,7 +155,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, .
 
 
 def learn(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          n: int = 7, sample_rows: int = 24_000, max_terms: int = 6_000, least_count: int = 8, least_weight: float = 1.2,
+          n: int = 7, sample_rows: int = 24_000, least_count: int = 5, least_weight: float = 1.2,
           exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learns from at most about ``sample_rows`` labelled texts outside the held-out fifth, drawn by a hash of the id.
 
@@ -185,8 +183,8 @@ def learn(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
         F.sum(F.when(F.col("toxic") == 0, F.length("text")).otherwise(0)), F.sum(F.when(F.col("toxic") == 1, F.length("text")).otherwise(0))).first()
     in_clean, in_toxic = (max(1, s or 0) for s in sizes)
     weight = F.log((F.col("toxic") + 0.5) / F.lit(float(in_toxic))) - F.log((F.col("clean") + 0.5) / F.lit(float(in_clean)))
-    chosen = (counts.where(F.col("toxic") >= least_count).select("term", weight.alias("weight"), "toxic").where(F.col("weight") >= least_weight)
-              .orderBy((F.col("weight") * F.sqrt("toxic")).desc(), "term").limit(max_terms).collect())
+    chosen = (counts.where(F.col("toxic") >= least_count).select("term", weight.alias("weight")).where(F.col("weight") >= least_weight)
+              .orderBy("term").collect())
     lexicon = Lexicon({r.term: r.weight for r in chosen}, flat, exceptions)
     matched = _with_features(texts.where("curve").select("text", "toxic"), lexicon).toArrow()
     x = np.column_stack([matched.column(c).to_numpy() for c in ("words", "fragments", "mass")])
