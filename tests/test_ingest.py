@@ -143,6 +143,19 @@ def test_nested_files(spark, tmp_path):
     assert files.read_nested(spark, str(tmp_path / "a.json"), whole=True, max_events=2).count() == 2
 
 
+def test_nested_fields_without_a_column_come_back(spark, tmp_path):
+    events = [{"eventid": "e", "retries": 5, "via": {"hop": ["a", 1.5]}, "flag": None}, {"eventid": "f", "input": "x"}, None, "odd"]
+    (tmp_path / "a.json").write_text(json.dumps([{"s1": events[:2], "s2": [events[0]]}, {"s1": events[1:3]}]) + "\n" + json.dumps({"s3": events[:1]}) + "\n")
+    got = files.read_nested(spark, str(tmp_path / "a.json")).select("session_id", "eventid", "rest").collect()
+    rest = {"retries": 5, "via": {"hop": ["a", 1.5]}, "flag": None}
+    want = [("s1", "e", rest), ("s1", "f", None), ("s2", "e", rest), ("s1", "f", None), ("s1", None, None), ("s3", "e", rest)]
+    plain = sorted(((r[0], r[1], json.loads(r[2]) if r[2] else None) for r in got), key=repr)
+    assert plain == sorted(want, key=repr)
+    without = files.read_nested(spark, str(tmp_path / "a.json"), rest=False)
+    assert "rest" not in without.columns and sorted(map(repr, without.select("session_id", "eventid").collect())) == sorted(
+        repr(r) for r in files.read_nested(spark, str(tmp_path / "a.json")).select("session_id", "eventid").collect())
+
+
 def test_nested_cap_takes_the_first(spark, tmp_path):
     for name in "bac":
         (tmp_path / f"{name}.json").write_text("\n".join(

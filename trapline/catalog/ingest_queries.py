@@ -108,6 +108,14 @@ def _(t: Tables):
         "geo_country", "geo_city", "geo_loc_lat", "source")
 
 
+@query("S03_unlisted_fields", """
+SELECT id, id AS relay_number, sensor_id AS relay_sensor FROM raw_logs WHERE session_id IS NOT NULL""")
+def _(t: Tables):
+    return files.read_nested(t.spark, t.nested_files()).select(
+        F.col("message").cast("long").alias("id"), F.get_json_object("rest", "$.relay.number").cast("long").alias("relay_number"),
+        F.get_json_object("rest", "$.relay.sensor").alias("relay_sensor"))
+
+
 @query("S04_nested_with_cap", "SELECT least(500, count(*)) AS events FROM raw_logs WHERE session_id IS NOT NULL")
 def _(t: Tables):
     # The cap is the feature here: a load of at most so many events.

@@ -274,7 +274,8 @@ class Tables:
         event = F.struct(
             F.col("event_type").alias("eventid"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
              .alias("timestamp"), "session_id", "src_ip", "protocol", "username", "password", "input",
-            F.col("id").cast("string").alias("message"), geo.alias("geolocation_data"))
+            F.col("id").cast("string").alias("message"), geo.alias("geolocation_data"),
+            F.struct(F.col("id").alias("number"), F.col("sensor_id").alias("sensor")).alias("relay"))
         documents = (
             self.raw_logs.filter("session_id IS NOT NULL")
             .groupBy("session_id", F.floor(F.col("id") / 10_000).alias("part"))

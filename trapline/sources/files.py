@@ -65,34 +65,54 @@ def read_json_any(
 
 
 SESSION_MAP = T.MapType(T.StringType(), T.ArrayType(NESTED_EVENT))
+#: The same with every event as its JSON text.
+SESSION_TEXTS = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
 
 
-def _session_maps() -> Column:
+def _session_maps(sessions: T.MapType = SESSION_MAP) -> Column:
     """The session maps of the document in ``value``; null or a null entry where it cannot be read."""
-    listed = F.from_json("value", T.ArrayType(SESSION_MAP))
-    single = F.array(F.from_json("value", SESSION_MAP))
+    listed = F.from_json("value", T.ArrayType(sessions))
+    single = F.array(F.from_json("value", sessions))
     return F.when(F.ltrim("value").startswith("{"), single).otherwise(listed)
 
 
+def _unlisted(text: Column) -> Column:
+    """The fields of an event that have no column, as JSON text of one object; null if there are none."""
+    fields = F.map_filter(F.from_json(text, "map<string,variant>"), lambda name, _: ~name.isin(NESTED_EVENT.names))
+    return F.when(F.size(fields) > 0, F.to_json(fields))
+
+
 def read_nested(
     spark: SparkSession,
     path: str | list[str],
     whole: bool = False,
     max_events: int | None = None,
     skip_unreadable: bool = False,
+    rest: bool = True,
 ) -> DataFrame:
     """Nested session files: lists or maps of session id to events.
 
     ``whole=True`` reads one document per file; otherwise each line holds one.
     ``max_events`` keeps the first ones by file path, line and position.
-    Documents that cannot be read give no events; ``broken_nested`` lists them.
+    ``rest`` holds the fields of an event that have no column, as JSON text with their own types; ``rest=False``
+    leaves it out and parses each document once only. Documents that cannot be read give no events;
+    ``broken_nested`` lists them.
     """
     docs = read_lines(spark, path, whole, skip_unreadable)
-    entries = docs.select("_source_file", "_place", F.posexplode(_session_maps()).alias("entry_pos", "entry"))
-    events = (entries
-              .select("_source_file", "_place", "entry_pos", F.explode("entry").alias("entry_session", "events"))
-              .select("_source_file", "_place", "entry_pos", "entry_session",
-                      F.posexplode("events").alias("event_pos", "e")))
+    place = ["_source_file", "_place"]
+    if rest:
+        # Maps and lists of both readings go side by side; events are those of the first.
+        entries = docs.select(*place, _session_maps(SESSION_TEXTS).alias("texts"), F.posexplode(_session_maps()).alias("entry_pos", "entry")).select(
+            *place, "entry_pos", F.map_entries(F.get("texts", F.col("entry_pos"))).alias("texts"),
+            F.posexplode(F.map_entries("entry")).alias("at", "session"))
+        events = entries.select(
+            *place, "entry_pos", F.col("session.key").alias("entry_session"), F.get("texts", F.col("at"))["value"].alias("texts"),
+            F.posexplode("session.value").alias("event_pos", "e"))
+        events = events.withColumn("text", F.get("texts", F.col("event_pos")))
+    else:
+        entries = docs.select(*place, F.posexplode(_session_maps()).alias("entry_pos", "entry"))
+        events = (entries.select(*place, "entry_pos", F.explode("entry").alias("entry_session", "events"))
+                  .select(*place, "entry_pos", "entry_session", F.posexplode("events").alias("event_pos", "e")))
     # Position within the document: entry first, then event.
     order = F.shiftleft(F.col("entry_pos").cast("long"), 32) + F.col("event_pos")
     geo = F.col("e.geolocation_data")
@@ -104,6 +124,7 @@ def read_nested(
         geo["region_name"].alias("geo_region"), geo["latitude"].alias("geo_latitude"),
         geo["longitude"].alias("geo_longitude"), geo["timezone"].alias("geo_timezone"),
         geo["location"]["lat"].alias("geo_loc_lat"), geo["location"]["lon"].alias("geo_loc_lon"),
+        *([_unlisted(F.col("text")).alias("rest")] if rest else []),
         "_source_file", F.lit("cowrie").alias("source"), order.alias("ord"), "_place")
     first = flat if max_events is None else flat.orderBy("_place", "ord").limit(max_events)
     return first.drop("_place")
