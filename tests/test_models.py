@@ -308,3 +308,28 @@ def test_flow_features(spark):
     rows = flows.flow_features(df).collect()
     assert [(r["session_duration_s"], r["packet_count"], r["packets_per_min"], r["Flow Bytes/s"]) for r in rows] == [
         (6.0, 5.0, pytest.approx(50.0), 0.0), (0.005, 2.0, 0.0, 4.0), (0.0, 0.0, 0.0, 0.0)]
+
+
+def test_path_lengths_equal_a_walk_down_every_tree(monkeypatch):
+    monkeypatch.setattr(iforest, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    nodes, total = {k: [] for k in ("root", "feature", "threshold", "left", "right", "length")}, 0
+    for _ in range(5):
+        grown = sorted(iforest.grow_tree(rng.normal(size=(40, 3)), rng, 6))
+        nodes["root"].append(total)
+        for _node, feature, threshold, left, right, length in grown:
+            for name, value in zip(("feature", "threshold", "left", "right", "length"), (feature, threshold, left + total, right + total, length)):
+                nodes[name].append(value)
+        total += len(grown)
+    nodes = {k: np.array(v) for k, v in nodes.items()}
+
+    def walk(row, at):
+        while nodes["feature"][at] >= 0:
+            at = nodes["left" if row[nodes["feature"][at]] <= nodes["threshold"][at] else "right"][at]
+        return nodes["length"][at]
+
+    rows = rng.normal(size=(30, 3))
+    rows[0, 0] = np.nan
+    want = [np.mean([walk(row, root) for root in nodes["root"]]) for row in rows]
+    np.testing.assert_allclose(iforest.path_lengths(nodes, rows), want)
+    assert len(iforest.path_lengths(nodes, rows[:0])) == 0
