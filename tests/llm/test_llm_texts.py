@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -344,6 +345,59 @@ def test_toxicity_exceptions_and_no_labels(spark):
     assert toxicity.score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), empty).first().score < 1e-6
 
 
+def plain_score(text, lexicon):
+    """Every place of every term by comparison, phrase by phrase."""
+    folded = toxicity.fold(text)
+    places = lambda term: [i for i in range(len(folded)) if folded.startswith(term, i)]
+    spared = [(i, i + len(p) + 2) for p in lexicon.exceptions for i in places(f" {p} ")]
+    words = fragments = 0.0
+    for term, weight in lexicon.weights.items():
+        for i in places(term):
+            if not any(a <= i and i + len(term) <= b for a, b in spared):
+                whole = folded[i] == " " and folded[i + len(term) - 1] == " "
+                words, fragments = words + weight * whole, fragments + weight * (not whole)
+    length = max(60, len(folded)) / 100
+    c = lexicon.curve
+    return 1 / (1 + np.exp(-np.clip(c[0] + c[1] * words / length + c[2] * fragments / length + c[3] * np.log1p(words + fragments), -500, 500)))
+
+
+def test_toxicity_equals_plain_scores(spark, awkward):
+    lexicon = toxicity.Lexicon({" word ": 1.5, "ord wor": 0.5, " hunter ": 2.0, "xxxxxxx": 0.25, " trash ": 1.0, " ca": 0.75, "nicode": 1.25},
+                               (-2.0, 0.5, 0.25, 0.75))
+    rows = AWKWARD + [(20, "trash can trash Trаsh cans 7rash\ncan", "a", "a", "a", "a"), (21, "ＷＯＲＤ w0rd", "a", "a", "a", "a")]
+    scored = toxicity.score(spark.createDataFrame(rows, SCHEMA), lexicon, score_col="p")
+    assert scored.columns == [*awkward.columns, "p"]
+    got = by_input((r.doc_id, round(r.p, 9)) for r in scored.collect())
+    assert got == by_input((r[0], round(float(plain_score(text_of(r), lexicon)), 9)) for r in rows)
+
+
+def test_toxicity_lexicon_equals_plain_counts(spark):
+    """Weights come from the numbers of texts with a term, and no term that passes the thresholds is missing."""
+    rng = np.random.default_rng(12)
+    words = [f"{a}{b}" for a in "stone river walk green snarf grizb morl".split() for b in ("", "er", "ul", "ock")]
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        some = rng.choice(words[:16] + words[16:] * (2 * toxic), size=12).tolist()
+        rows.append((i, " ".join(some * (40 if i % 10 == 0 else 1))))
+        labels.append((i, int(toxic)))
+    n, least_count, least_weight = 7, 5, 1.2
+    lexicon = toxicity.learn(spark.createDataFrame(rows + rows[:1], "doc_id long, text string"), spark.createDataFrame(labels + labels[:9], "doc_id long, toxic int"),
+                             n=n, least_count=least_count, least_weight=least_weight)
+    counts, sizes = {}, [0, 0]
+    for (i, text), (_, toxic) in zip(rows + rows[:1], labels + labels[:1]):
+        crc = zlib.crc32(str(i).encode())
+        if crc % 5 == 0 or crc % 4 == 0:
+            continue
+        folded = toxicity.fold(text)
+        sizes[toxic] += len(text)
+        for term in {f" {w} " for w in folded.split()} | {folded[k:k + n] for k in range(len(folded) - n + 1)}:
+            counts.setdefault(term, [0, 0])[toxic] += 1
+    weight = {t: np.log((b + 0.5) / sizes[1]) - np.log((a + 0.5) / sizes[0]) for t, (a, b) in counts.items() if b >= least_count}
+    want = {t: w for t, w in weight.items() if w >= least_weight}
+    assert want and lexicon.weights == pytest.approx(want)
+
+
 def test_empty_tables(spark, nothing):
     import public_tokenizers
 
