@@ -71,6 +71,21 @@ def test_pii_base(spark, awkward):
     assert got == by_input((r[0], plain_pii(text_of(r))) for r in AWKWARD)
 
 
+def test_pii_marks_of_overlapping_kinds(spark):
+    """Kinds marked one after the other mark exactly the characters of all base matches."""
+    rng = np.random.default_rng(4)
+    parts = ["a.b@", "1.2.3.4", "10.0.0.999", "x@y.zz", "4111 1111 1111 1111", "+49 30 ", "+4111-1111-1111-1111", "1234567", " ", ".", "-", "@", "+", "é", "\n", "378282246310005", "7"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(400)] + ["+49 10.0.0.255 (4111 1111 1111 1111)", "u@1.2.3.4 " * 3_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    cut = F.aggregate(F.array(*map(F.lit, pii.KINDS)), F.col("text"), pii._any_marked)
+    for i, text in rows.select("i", cut.alias("cut")).collect():
+        want = [False] * len(texts[i])
+        for _kind, begin, end in plain_pii(texts[i]):
+            want[begin:end] = [True] * (end - begin)
+        assert [pii._MARKED[0] <= c <= pii._MARKED[-1] for c in text] == want, texts[i][:80]
+        assert text.translate(str.maketrans(pii._MARKED, pii._PLAIN)) == texts[i]
+
+
 def test_pii_contexts(spark):
     """A label that nearly always stands before known kinds reveals one of no known form."""
     rows = [(i, f"and then kontakt: user{i}@mail{i}.example.org said") for i in range(30)] + [
