@@ -5,6 +5,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trapline.operators import lookup, normalize
 from trapline.schema import INGEST_EVENT, SENSOR_LINE
@@ -132,6 +133,19 @@ def test_core_columns_and_flags(spark):
     assert out[0]["geo"] if "geo" in out[0] else out[0]["destfile"] is None
 
 
+def test_broken_records_are_listed(spark, tmp_path):
+    schema = "eventid string, n int"
+    good = ['{"eventid": "a"}', '[{"eventid": "b"}, {"eventid": "c"}]', "  "]
+    broken = ['{"eventid": ', "plain words", "[1, 2]"]
+    (tmp_path / "a.json").write_text("\n".join(good + broken) + "\n")
+    (tmp_path / "b.json").write_text('{"eventid":\n"d"')
+    schema = T._parse_datatype_string(schema)
+    got = files.broken_json(spark, str(tmp_path / "a.json"), schema).collect()
+    assert {r["value"]: r["reject_reason"] for r in got} == {broken[0]: "not JSON", broken[1]: "not JSON", broken[2]: "not records"}
+    whole = files.broken_json(spark, str(tmp_path / "b.json"), schema, documents=True).collect()
+    assert [r["reject_reason"] for r in whole] == ["not JSON"] and whole[0]["_source_file"].endswith("b.json")
+
+
 def test_nested_files(spark, tmp_path):
     event = {"eventid": "e", "timestamp": "t", "geolocation_data": {"country_name": "X", "location": {"lat": 1.0, "lon": 2.0}}}
     (tmp_path / "a.json").write_text(json.dumps([{"s1": [event, event]}, {"s2": [event]}], indent=2))

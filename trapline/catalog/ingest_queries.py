@@ -94,6 +94,12 @@ def _(t: Tables):
         F.count("*").alias("events"), tagged.alias("tagged"), F.count_distinct(etype).alias("types"))
 
 
+@query("S02_broken_records", "SELECT 'not JSON' AS reject_reason, count(*) AS n, count(*) AS tagged FROM lines WHERE broken", ["lines"])
+def _(t: Tables):
+    broken = files.broken_json(t.spark, t.sensor_files(), SENSOR_LINE)
+    return broken.groupBy("reject_reason").agg(F.count("*").alias("n"), F.count_if(F.length("_source_file") > 0).alias("tagged"))
+
+
 NESTED = """
 SELECT id, session_id, event_type AS eventid, epoch_us(ts) AS ts, src_ip, username, password, 'XX' AS geo_country,
   sensor_id AS geo_city, id::DOUBLE AS geo_loc_lat, 'cowrie' AS source

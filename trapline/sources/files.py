@@ -50,7 +50,7 @@ def read_sensor_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 def read_json_any(
     spark: SparkSession, path: str | list[str], schema: T.StructType, documents: bool = False
 ) -> DataFrame:
-    """JSON records tagged with their file; malformed ones are skipped.
+    """JSON records tagged with their file; malformed ones are skipped, and listed by ``broken_json``.
 
     ``documents=False`` reads one object or array per line and keeps files
     splittable; ``documents=True`` reads each file as one object or array.
@@ -64,6 +64,20 @@ def read_json_any(
     return records.filter("doc IS NOT NULL").select("doc.*", "_source_file")
 
 
+def broken_json(spark: SparkSession, path: str | list[str], schema: T.StructType, documents: bool = False) -> DataFrame:
+    """Lines, or whole files, that ``read_json_any`` skips wholly or in part, as they came, with file and reason.
+
+    Blank ones are neither read nor broken.
+    """
+    records = F.from_json("value", T.ArrayType(schema))
+    read = read_lines(spark, path, documents).select("_source_file", "value", F.explode(F.array(F.struct(
+        F.try_parse_json("value").isNotNull().alias("json"), records.alias("records")))).alias("doc"))
+    lost = F.col("doc.records").isNull() | F.exists("doc.records", lambda r: r.isNull())
+    reason = F.when(~F.col("doc.json"), "not JSON").when(lost, "not records")
+    return (read.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
+            .select("_source_file", "value", reason.alias("reject_reason")).filter("reject_reason IS NOT NULL"))
+
+
 SESSION_MAP = T.MapType(T.StringType(), T.ArrayType(NESTED_EVENT))
 #: The same with every event as its JSON text.
 SESSION_TEXTS = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
