@@ -289,6 +289,20 @@ def test_classifiers_learn_a_simple_rule(spark):
         assert metrics.accuracy(fitted.transform(ready)).first()[0] > 0.95
 
 
+def test_tasks_of_a_forest_grow_in_number(spark, monkeypatch):
+    df = spark.range(400, numPartitions=2).select(
+        (F.col("id") % 20).cast("double").alias("x"), F.when(F.col("id") % 20 < 5, "a").otherwise("b").alias("label"))
+    dealt = []
+    weigh = supervised.class_weights
+    monkeypatch.setattr(supervised, "class_weights", lambda train, label: dealt.append(train) or weigh(train, label))
+    monkeypatch.setattr(supervised, "TASK_BYTES", 50 * (4 * 3 + 8 + 64))
+    fitted = supervised.train_classifier(df, ["x"], trees=3, depth=2)
+    # Eight tasks of about 50 rows, more than the four cores.
+    sizes = dealt[0].groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and sum(r["count"] for r in sizes) == 400 and max(r["count"] for r in sizes) <= 60
+    assert fitted.transform(df).filter("predicted <> label").count() == 0
+
+
 def test_imputation_and_cluster_reports(spark, table):
     filled = scale.impute_median(table, ["b"])
     _, b = arrays(table)
