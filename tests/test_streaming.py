@@ -250,3 +250,51 @@ def test_retry_holds_letters_over_a_restart(spark, folder):
     retry.settle(retry.start_retry(spark, out, checkpoint, delay=5, most=1, period="0 seconds"), 120)
     given_up = spark.read.parquet(f"{out}/given_up").collect()
     assert sorted(r["reject_reason"] for r in given_up) == ["bad timestamp", "malformed line"]
+
+
+def test_workers_of_a_retry_take_few_lines_at_once(spark, folder, monkeypatch):
+    out, seen = scratch_path(spark, "out"), []
+    run(spark, folder, out, scratch_path(spark, "ck"))
+    many = [{**http(1), "n": i, "timestamp": "never"} for i in range(50)]
+    sensor_file(folder, "http", "many.json", *many)
+    run(spark, folder, out + "x", scratch_path(spark, "ck"))
+    name, write = "spark.sql.execution.arrow.maxRecordsPerBatch", retry._try
+    usual = spark.conf.get(name)
+
+    def looking(*args):
+        def look(batch, batch_id):
+            seen.append(batch.sparkSession.conf.get(name))
+            write(*args)(batch, batch_id)
+        return look
+
+    monkeypatch.setattr(retry, "_try", looking)
+    monkeypatch.setattr(retry, "LINES_AT_ONCE", 3)
+    retry.settle(retry.start_retry(spark, f"{out}x", scratch_path(spark, "ck"), delay=0.2, most=1, period="0 seconds", partitions=2), 120)
+    assert set(seen) == {"3"} and spark.conf.get(name) == usual
+    given_up = spark.read.parquet(f"{out}x/given_up")
+    assert given_up.filter("reject_reason = 'bad timestamp'").agg(F.sum("copies"), F.max("attempt")).first() == (51, 1)
+
+
+def test_workers_hand_over_what_they_hold(spark):
+    """States go to the store with rows only, so there have to be some while every line waits."""
+    class State:
+        hasTimedOut = exists = False
+
+        def getCurrentProcessingTimeMs(self):
+            return 5
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutDuration(self, duration):
+            self.duration = duration
+
+    import pandas as pd
+
+    run_key = retry._hold(1000, 3)
+    letter = pd.DataFrame({"kind": ["letter"], "service": ["http"], "value": ["x"], "attempt": [0], "copies": [2]})
+    states = [State() for _ in range(10)]
+    given = [list(run_key((f"k{i}",), iter([letter]), state)) for i, state in enumerate(states)]
+    assert [[len(f) for f in frames] for frames in given] == [[], [], [4]] * 3 + [[]]
+    assert all(f["key"].isna().all() for frames in given for f in frames)
+    assert {(s.value, s.duration) for s in states} == {(("http", "x", None, 0, 2, 1005), 1000)}

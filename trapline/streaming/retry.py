@@ -3,7 +3,8 @@
 The rejects of an ingest are the letters. A stateful operator holds each one by its key for ``delay`` seconds, then
 lets it out for another try through the same ingest. What fails goes back with one more try counted, for good or,
 after ``most`` tries, to the lines given up. A line that was mended in between is tried as mended. Equal lines of a
-service are one key with a count of copies, so the state grows with the different lines that wait.
+service are one key with a count of copies, so the state grows with the different lines that wait. It lies in the state
+store; a worker has some ``LINES_AT_ONCE`` lines before it, however many wait.
 
 Time is the clock of the cluster, so tries go on while nothing arrives. Held letters and timers are part of the
 checkpoint: a query that is started again goes on with them.
@@ -22,6 +23,7 @@ from trapline.streaming.ingest import finished, ingest_lines
 
 # --- fixed values -----------------------------------------------------------
 RETRY_SECONDS = 30.0
+LINES_AT_ONCE = 500
 # --- end of fixed values ----------------------------------------------------
 
 REJECTS = "service string, value string, reject_reason string"
@@ -59,9 +61,16 @@ def waiting(spark: SparkSession, out: str) -> DataFrame:
     return first.unionByName(again).unionByName(mends)
 
 
-def _hold(delay_ms: int):
-    """Keeps a key until its time has come. A mend that finds no letter waits ten delays for one."""
-    def run(key, frames, state):
+def _hold(delay_ms: int, at_once: int):
+    """Keeps a key until its time has come. A mend that finds no letter waits ten delays for one.
+
+    A worker hands over states along with rows only, more than ``at_once`` of them, and holds all until then. So every
+    ``at_once`` keys so many rows without a key are let out, whether or not any line's time has come.
+    """
+    blank = pd.DataFrame({"key": None, "service": None, "value": None, "attempt": 0, "copies": 0}, index=range(at_once + 1))
+    calls = 0
+
+    def hold(key, frames, state):
         now = state.getCurrentProcessingTimeMs()
         if state.hasTimedOut:
             service, value, mended, attempt, copies, _due = state.get
@@ -84,12 +93,20 @@ def _hold(delay_ms: int):
         state.update((service, value, mended, attempt, copies, due))
         state.setTimeoutDuration(max(1, due - now))
 
+    def run(key, frames, state):
+        nonlocal calls
+        yield from hold(key, frames, state)
+        calls += 1
+        if calls % at_once == 0:
+            yield blank
+
     return run
 
 
 def due_lines(letters: DataFrame, delay: float = RETRY_SECONDS) -> DataFrame:
     """``key, service, value, attempt, copies`` of lines whose time has come."""
-    return letters.groupBy("key").applyInPandasWithState(_hold(int(delay * 1000)), TRIED, HELD, "append", "ProcessingTimeTimeout")
+    held = _hold(int(delay * 1000), LINES_AT_ONCE)
+    return letters.groupBy("key").applyInPandasWithState(held, TRIED, HELD, "append", "ProcessingTimeTimeout").filter("key IS NOT NULL")
 
 
 def _try(out: str, most: int | None):
@@ -125,13 +142,17 @@ def start_retry(
     """
     writer = due_lines(waiting(spark, out), delay).writeStream.foreachBatch(_try(out, most))
     writer = writer.option("checkpointLocation", checkpoint).trigger(processingTime=period)
-    usual = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(partitions or usual))
+    settings = {"spark.sql.shuffle.partitions": str(partitions or spark.conf.get("spark.sql.shuffle.partitions")),
+                "spark.sql.execution.arrow.maxRecordsPerBatch": str(LINES_AT_ONCE)}
+    usual = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         # The query keeps the settings of its start.
         return writer.start()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", usual)
+        for name, value in usual.items():
+            spark.conf.set(name, value)
 
 
 def settle(query: StreamingQuery, patience: float = 600.0) -> None:
