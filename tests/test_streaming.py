@@ -213,6 +213,34 @@ def test_batch_planned_before_a_file_was_started_anew(spark, tmp_path):
     assert [v for r in after for b in reader.read(r) for v in b.column("value").to_pylist()] == ["new line that is longer"]
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    want = []
+    for i in range(600):
+        append(tmp_path, "http", f"{i}.json", f"a{i}\r\n\nö{i}\n".encode())
+        want += [f"a{i}", "", f"ö{i}"]
+    append(tmp_path, "http", "broken.json", b"\xff\r\nok\n")
+    append(tmp_path, "http", "long.json", b"x" * (growing.BLOCK + 5) + b"\nlast\n")
+    reader = growing.GrowingReader(str(tmp_path), "*", False, growing.RANGE_BYTES)
+    tasks = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(tasks) == 3
+    rows = [r for t in tasks for b in reader.read(t) for r in b.to_pylist()]
+    assert sorted(r["value"] for r in rows) == sorted(want + ["\ufffd", "ok", "x" * (growing.BLOCK + 5), "last"])
+    assert {r["place"] for r in rows if r["value"].startswith("ö")} == {5, 6, 7}
+
+
+@pytest.mark.parametrize("range_bytes", [1, 2, 3, 5, 8, 1000])
+def test_ranges_take_every_line_once(tmp_path, monkeypatch, range_bytes):
+    monkeypatch.setattr(growing, "BLOCK", 4)
+    lines = ["", "one", "a line over several blocks", "", "", "ü", "x\ry", "end"]
+    append(tmp_path, "http", "a.json", ("\n".join(lines) + "\nrest").encode())
+    reader = growing.GrowingReader(str(tmp_path), "*", False, range_bytes)
+    tasks = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    rows = [r for t in tasks for b in reader.read(t) for r in b.to_pylist()]
+    assert [r["value"] for r in rows] == lines
+    places = [sum(len(x.encode()) + 1 for x in lines[:i]) for i in range(len(lines))]
+    assert [r["place"] for r in rows] == places
+
+
 def test_growing_sensor_files_are_ingested(spark, tmp_path):
     out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "ck")
     for docs in ([http(1), "{broken"], [http(2), http(3, timestamp="never")]):

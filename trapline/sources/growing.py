@@ -2,8 +2,8 @@
 
 The offset of a batch says, for every file, how many bytes have been read and what the
 file began with. A batch reads what lies between two offsets, in ranges of bytes that
-tasks share, so one large file keeps many tasks busy. A line is read once it ends in a line
-feed; what stands behind the last one waits.
+tasks share, so one large file keeps many tasks busy and many small files make one task. A line
+is read once it ends in a line feed; what stands behind the last one waits.
 
 A file that is shorter than what was read of it, or that begins with other bytes, has been
 started anew and is read from its beginning. One that begins like a file that has gone or
@@ -23,6 +23,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HEAD = 256
 RANGE_BYTES = 32 << 20
 BLOCK = 1 << 20
+TAIL = 4 << 10
+#: Files of one task, besides its bytes: opening one takes about as long as reading so much.
+FILES_PER_TASK = 256
 FORMAT = "growing_lines"
 
 
@@ -53,19 +57,19 @@ def _digest(file, size: int) -> str:
 
 def _whole_lines(file, size: int) -> int:
     """Bytes up to the last line feed among the first ``size``."""
-    at = size
+    at, step = size, TAIL
     while at > 0:
-        begin = max(0, at - BLOCK)
+        begin = max(0, at - step)
         file.seek(begin)
         found = file.read(at - begin).rfind(b"\n")
         if found >= 0:
             return begin + found + 1
-        at = begin
+        at, step = begin, min(4 * step, BLOCK)
     return 0
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     """The lines of a file that begin from ``begin`` on and before ``end``; ``low`` begins a line and ``stop`` ends one."""
 
     path: str
@@ -77,9 +81,29 @@ class ByteRange(InputPartition):
     head_size: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """What one task reads: a range of a large file, or several of small ones."""
+
+    ranges: list[ByteRange]
+
+
+def _share(ranges: list[ByteRange], task_bytes: int, cores: int) -> list[ByteRanges]:
+    """Ranges dealt to tasks of at most ``task_bytes``, and to no fewer tasks than there are cores if there is work for them."""
+    task_bytes = min(task_bytes, max(BLOCK, sum(r.end - r.begin for r in ranges) // cores))
+    tasks, held = [], 0
+    for r in ranges:
+        if not tasks or held + r.end - r.begin > task_bytes or len(tasks[-1].ranges) >= FILES_PER_TASK:
+            tasks.append(ByteRanges([]))
+            held = 0
+        tasks[-1].ranges.append(r)
+        held += r.end - r.begin
+    return tasks
+
+
 class GrowingReader(DataSourceStreamReader):
-    def __init__(self, path: str, pattern: str, from_end: bool, range_bytes: int):
-        self.path, self.pattern, self.from_end, self.range_bytes = path, pattern, from_end, range_bytes
+    def __init__(self, path: str, pattern: str, from_end: bool, range_bytes: int, cores: int = 1):
+        self.path, self.pattern, self.from_end, self.range_bytes, self.cores = path, pattern, from_end, range_bytes, cores
 
     def _files(self) -> dict[str, dict]:
         from pyarrow import fs
@@ -116,7 +140,7 @@ class GrowingReader(DataSourceStreamReader):
         with system.open_input_file(path) as file:
             return _digest(file, entry["head_size"]) == entry["head"]
 
-    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+    def partitions(self, start: dict, end: dict) -> list[ByteRanges]:
         before, now = start["files"], end["files"]
         read = {p: before[p]["end"] for p, e in now.items() if p in before and e["end"] >= before[p]["end"] and self._begins_like(p, before[p], e)}
         left = {e["head"]: e["end"] for p, e in before.items() if p not in read and e["head_size"] == HEAD}
@@ -127,19 +151,19 @@ class GrowingReader(DataSourceStreamReader):
             for begin in range(low, entry["end"], self.range_bytes):
                 stop = min(begin + self.range_bytes, entry["end"])
                 ranges.append(ByteRange(path, low, begin, stop, entry["end"], entry["head"], entry["head_size"]))
-        return ranges
+        return _share(ranges, self.range_bytes, self.cores)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
-        try:
-            file = system.open_input_file(partition.path)
-        except FileNotFoundError:
-            return
-        with file:
-            # A file that was started anew since the batch was planned has none of its lines left.
-            if _digest(file, partition.head_size) != partition.head:
-                return
-            yield from _lines(file, partition)
+        for part in partition.ranges:
+            try:
+                file = system.open_input_file(part.path)
+            except FileNotFoundError:
+                continue
+            with file:
+                # A file that was started anew since the batch was planned has none of its lines left.
+                if _digest(file, part.head_size) == part.head:
+                    yield from _lines(file, part)
 
     def commit(self, end: dict) -> None:
         pass
@@ -147,34 +171,51 @@ class GrowingReader(DataSourceStreamReader):
 
 def _lines(file, part: ByteRange) -> Iterator[pa.RecordBatch]:
     at = part.begin
-    file.seek(at if at == part.low else at - 1)
-    skip = at > part.low  # up to the line feed at or after the byte before
-    if skip:
+    if at > part.low:  # up to the line feed at or after the byte before
         at -= 1
-    rest, values, places, held = b"", [], [], 0
-    while at + len(rest) < part.stop and (skip or at < part.end):
+        file.seek(at)
+        while True:
+            block = file.read(min(BLOCK, part.stop - at))
+            found = block.find(b"\n")
+            at += found + 1 if found >= 0 else len(block)
+            if found >= 0 or not block:
+                break
+    file.seek(at)
+    rest = b""
+    while at < part.end:  # every block begins a line
         block = file.read(min(BLOCK, part.stop - at - len(rest)))
         if not block:
             break
-        lines = (rest + block).split(b"\n")
-        rest = lines.pop()
-        for line in lines:
-            if not skip and at < part.end:
-                values.append(line.removesuffix(b"\r").decode("utf-8", "replace"))
-                places.append(at)
-                held += len(line)
-            skip = False
-            at += len(line) + 1
-        if held > 4 * BLOCK:
-            yield _batch(values, places, part.path)
-            values, places, held = [], [], 0
-    if values:
-        yield _batch(values, places, part.path)
-
-
-def _batch(values: list[str], places: list[int], path: str) -> pa.RecordBatch:
+        block = rest + block
+        cut = block.rfind(b"\n") + 1
+        if at + cut > part.end:  # the line that holds the range's last byte is its last
+            feed = block.find(b"\n", max(part.end - at - 1, 0))
+            cut = cut if feed < 0 else feed + 1
+        if cut:
+            yield _batch(block[:cut], at, part.path)
+        at += cut
+        rest = block[cut:]
+
+
+def _batch(block: bytes, at: int, path: str) -> pa.RecordBatch:
+    """Rows of whole lines, the first of which stands at ``at``; taken apart as arrays unless their bytes are no UTF-8."""
+    data = np.frombuffer(block, np.uint8)
+    feeds = np.flatnonzero(data == 10)
+    begins = np.concatenate([[0], feeds[:-1] + 1])
+    # A carriage return before the line feed goes with it.
+    returns = (feeds > begins) & (data[feeds - 1] == 13)
+    try:
+        block.decode("utf-8")
+        kept = np.ones(len(data), bool)
+        kept[feeds] = False
+        kept[feeds[returns] - 1] = False
+        ends = np.cumsum(feeds - begins - returns)
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        values = pa.StringArray.from_buffers(len(feeds), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[kept].tobytes()))
+    except UnicodeDecodeError:
+        values = pa.array([line.removesuffix(b"\r").decode("utf-8", "replace") for line in block[:-1].split(b"\n")], pa.string())
     return pa.RecordBatch.from_arrays(
-        [pa.array(values, pa.string()), pa.array([path] * len(values), pa.string()), pa.array(places, pa.int64())], ["value", "path", "place"])
+        [values, pa.repeat(pa.scalar(path, pa.string()), len(feeds)), pa.array(begins + at, pa.int64())], ["value", "path", "place"])
 
 
 class GrowingLines(DataSource):
@@ -188,7 +229,7 @@ class GrowingLines(DataSource):
     def streamReader(self, schema) -> GrowingReader:
         given = self.options
         return GrowingReader(given["path"], given.get("pattern", "*"), given.get("from_end", "false") == "true",
-                             int(given.get("range_bytes", RANGE_BYTES)))
+                             int(given.get("range_bytes", RANGE_BYTES)), int(given.get("cores", 1)))
 
 
 def growing_lines(
@@ -200,4 +241,4 @@ def growing_lines(
     """
     spark.dataSource.register(GrowingLines)
     return (spark.readStream.format(FORMAT).option("pattern", pattern).option("from_end", str(from_end).lower())
-            .option("range_bytes", range_bytes).load(path))
+            .option("range_bytes", range_bytes).option("cores", spark.sparkContext.defaultParallelism).load(path))
