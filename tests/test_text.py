@@ -34,6 +34,17 @@ def test_entropy_keeps_white_space(spark):
     assert got == pytest.approx([entropy("a a"), 0.0, 0.0])
 
 
+def test_entropy_of_many_characters(spark):
+    """Every pass goes over what the ones before it left, not over the whole text again."""
+    random.seed(5)
+    words = ["".join(chr(random.choice([97, 98, 0x4E00 + random.randrange(900), 0x1F600 + random.randrange(50)])) for _ in range(4000)),
+             "a" * 500 + "".join(map(chr, range(0x4E00, 0x4E00 + 300))), "x", "zz", ".*$1\\", "\ud7ff\ue000 \n\x00"]
+    df = spark.createDataFrame(list(enumerate(words)), "i int, p string").select("i", text.shannon_entropy(F.col("p")).alias("e"))
+    assert {r["i"]: r["e"] for r in df.collect()} == pytest.approx({i: entropy(w) for i, w in enumerate(words)}, abs=1e-9)
+    plan = df.select("e")._jdf.queryExecution().analyzed().toString()
+    assert "replace(" in plan and "replace(p#" not in plan
+
+
 def test_control_share(spark):
     df = spark.createDataFrame([("\x01\x02ab",), ("a\tb\nc",), ("",), (None,)], "s string")
     assert [r[0] for r in df.select(text.control_share(F.col("s"))).collect()] == [0.5, 0.0, 0.0, 0.0]

@@ -46,15 +46,22 @@ def strip(text: Column) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character over the whole text; 0 for NULL and empty text."""
-    n = F.length(text).cast("double")
-    chars = F.array_distinct(F.split(text, ""))
+    """Bits per character over the whole text; 0 for NULL and empty text.
+
+    A character is taken out of what the ones before it have left, so the text gets shorter with every pass.
+    """
+    zero = F.struct(text.alias("rest"), F.length(text).alias("left"), F.length(text).cast("double").alias("n"), F.lit(0.0).alias("bits"))
+
+    def count(acc: Column, rest: Column) -> Column:
+        left = F.length(rest)
+        p = (acc["left"] - left) / acc["n"]
+        return F.struct(rest.alias("rest"), left.alias("left"), acc["n"].alias("n"), (acc["bits"] - p * F.log2(p)).alias("bits"))
 
     def step(acc: Column, char: Column) -> Column:
-        p = (n - F.length(F.replace(text, char, F.lit("")))) / n
-        return acc - p * F.log2(p)
+        # The array holds what is left, so that it is made once.
+        return F.transform(F.array(F.replace(acc["rest"], char, F.lit(""))), lambda rest: count(acc, rest))[0]
 
-    bits = F.aggregate(chars, F.lit(0.0), step)
+    bits = F.aggregate(F.array_distinct(F.split(text, "")), zero, step, lambda acc: acc["bits"])
     return F.when(F.length(text) > 0, bits).otherwise(0.0)
 
 
