@@ -45,6 +45,20 @@ def test_entropy_of_many_characters(spark):
     assert "replace(" in plan and "replace(p#" not in plan
 
 
+def test_control_share_reads_a_text_once(spark):
+    """The few control characters are picked, not all others removed, and the share is made once."""
+    from trapline import catalog
+
+    random.seed(7)
+    words = ["".join(random.choices("\x00\x08\t\n\x0b\x0c\r\x0e\x1f\x20\x7fa漢😀", k=random.randint(1, 60))) for _ in range(80)]
+    bad = {chr(c) for c in [*range(9), 11, 12, *range(14, 32)]}
+    df = spark.createDataFrame(list(enumerate(words)), "i int, s string")
+    got = {r["i"]: r["c"] for r in df.select("i", text.control_share(F.col("s")).alias("c")).collect()}
+    assert got == pytest.approx({i: sum(c in bad for c in w) / len(w) for i, w in enumerate(words)})
+    plan = catalog.queries()["F03_control_characters"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") == 1 and "[^" not in plan
+
+
 def test_control_share(spark):
     df = spark.createDataFrame([("\x01\x02ab",), ("a\tb\nc",), ("",), (None,)], "s string")
     assert [r[0] for r in df.select(text.control_share(F.col("s"))).collect()] == [0.5, 0.0, 0.0, 0.0]

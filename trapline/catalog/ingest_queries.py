@@ -450,9 +450,8 @@ SELECT doc_id, round(length(regexp_replace(text, '[^\\x00-\\x08\\x0b\\x0c\\x0e-\
   length(regexp_replace(text, '[^\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')) / length(text) < 0.15 AS clean
 FROM documents WHERE length(text) > 0""", [])
 def _(t: Tables):
-    share = control_share(F.col("text"))
-    return rounded(t.read("documents").filter(F.length("text") > 0).select(
-        "doc_id", share.alias("share"), (share < normalize.BINARY_SHARE).alias("clean")))
+    shares = t.read("documents").filter(F.length("text") > 0).select("doc_id", control_share(F.col("text")).alias("share"))
+    return rounded(shares.select("doc_id", "share", (F.col("share") < normalize.BINARY_SHARE).alias("clean")))
 
 
 @query("F04_time_and_source", "SELECT count(*) AS n, count(DISTINCT source_ip) AS sources FROM kept WHERE source_ip <> ''", ["kept"])

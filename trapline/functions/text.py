@@ -104,7 +104,7 @@ def joined(values: Column) -> Column:
 
 def control_share(text: Column) -> Column:
     """Share of control characters other than tab, LF and CR."""
-    bad = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0b\x0c\x0e-\x1f]", ""))
+    bad = F.length(F.array_join(F.regexp_extract_all(text, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]+"), F.lit(0)), ""))
     return F.when(F.length(text) > 0, bad / F.length(text)).otherwise(0.0)
 
 
