@@ -73,6 +73,41 @@ def test_classes(spark, options):
     assert got == plain_classes(rows)
 
 
+def copies_and_strangers(near, far, seed=9):
+    """Copies of one text, and texts that share much with it and are near to none."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 400, 150)]
+    rows = []
+    for i in range(near + far):
+        copy = list(base)
+        for at in rng.choice(150, 1 if i < near else 11, replace=False):
+            copy[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_a_large_block_takes_no_rounds(spark, monkeypatch):
+    rows = copies_and_strangers(60, 60)
+    steps = []
+    for module in (minhash, graph):
+        store = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, store=store: steps.append(name) or store(df, name))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.class_id for r in minhash.classes(frame, block_texts=40, n_pivots=4).collect()}
+    assert got == dict(plain_classes(rows)) == {i: 0 if i < 60 else i for i in range(120)}
+    assert len(steps) < 25, steps
+
+
+def test_strangers_of_a_block_are_not_held_against_all(monkeypatch):
+    rows = copies_and_strangers(500, 500)
+    held, hold = [], minhash._Joined.hold
+    monkeypatch.setattr(minhash._Joined, "hold", lambda self, x, others: held.append(len(others)) or hold(self, x, others))
+    block = pa.table({"node": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    found = minhash._block_classes(5, 0.8)(block)
+    assert found.column("root").to_pylist() == [0 if i < 500 else i for i in range(1000)]
+    assert sum(held) < 100 * len(rows)
+
+
 def test_one_of_each_class_stays(spark):
     rows = near_copies(7)
     frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, node string")

@@ -9,13 +9,12 @@ similarity. Ranks are taken region by region until every coordinate has a dart,
 the work is about k log k darts a text, however long.
 
 Bands of coordinates give candidates: texts that share a bucket, directly or over
-others, form a block. A block of bounded size is read by one task, which counts
-shared shingles from posting lists and joins texts into classes, exactly, on whole
-texts. Larger blocks are never gathered. In each of their buckets all members are held
-against a few pivots; members far from every pivot stay for a further round, with those
-near a pivot that could still be near to a stranger. Distances obey the triangle
-inequality, so no link that would join two classes is left out. Both ways give the
-same classes.
+others, form a block. A block of bounded size is read by one task, which joins texts
+into classes, exactly, on whole texts: a few texts are held against all, and then each
+text against those that share one of its rarest shingles and are not in its class yet.
+Near texts have so much in common that they must share one of these. Larger blocks are
+never gathered: they are dealt into parts, every two parts are joined by one task, and
+the classes found are put together. Both ways give the same classes.
 
 Defined cases: a text of fewer than five words is one shingle; texts without words,
 null ones among them, are classes of equal texts; equal rows share a class; a null id is kept (and
@@ -150,107 +149,147 @@ def _banded(size: int, bands: int, rows: int):
     return run
 
 
-def _distances(size: int):
-    """Weighted Jaccard distance of each pair of texts."""
-    def run(batches):
-        for batch in batches:
-            for part in common.chunks(batch, "text", 2 << 20):
-                n = part.num_rows
-                both = pa.concat_arrays([part.column("text"), part.column("pivot_text")])
-                s = Shingles(both, size)
-                pair = s.doc % n
-                order = np.lexsort((s.hash, pair))
-                pair, value, weight = pair[order], s.hash[order], s.weight[order]
-                same = np.flatnonzero((pair[1:] == pair[:-1]) & (value[1:] == value[:-1]))
-                shared = np.bincount(pair[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=n)
-                total = s.total[:n] + s.total[n:]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), part.column("pivot"), pa.array(1 - shared / np.maximum(total - shared, 1))], ["node", "pivot", "d"])
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...`` of so many places for each start, one run after the other."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
 
-    return run
 
+def _elements(block: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, element) of a block's texts, and how many elements each has.
+
+    The t-th occurrence of a shingle is an element of its own, so shared elements add up to the smaller weight.
+    """
+    docs, elements, totals, row = [], [], [], 0
+    for batch in block.to_batches():
+        for part in common.chunks(batch, "text"):
+            s = Shingles(part.column("text"), size)
+            times = s.weight.astype(np.int64)
+            nth = _ranges(np.zeros(len(times), dtype=np.int64), times)
+            with np.errstate(over="ignore"):
+                elements.append(common.mix(np.repeat(s.hash, times) + nth.astype(np.uint64) * SALT))
+            docs.append(np.repeat(s.doc + row, times).astype(np.int32))
+            totals.append(s.total)
+            row += part.num_rows
+    return np.concatenate(docs), np.concatenate(elements), np.concatenate(totals)
+
+
+class _Joined:
+    """Classes of texts, given as their elements, that grow as texts are held against others.
+
+    Texts are in the order of their lengths, elements in the order of their rarity; elements that only one text
+    has are left out of the lists and counted in ``alone``.
+    """
 
-def _pivots(members: DataFrame, n_pivots: int) -> DataFrame:
-    """``bucket, pivot, place``: of each bucket the members with the most company over all buckets."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    company = members.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("company"))
-    order = Window.partitionBy("bucket").orderBy(F.col("company").desc(), "node")
-    return (members.join(company, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_pivots)
-            .select("bucket", F.col("node").alias("pivot"), "place"))
-
-
-def _crowded(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component."""
-    many = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return members.join(many.select("bucket"), "bucket")
-
-
-def _by_pivots(members: DataFrame, wanted: DataFrame, size: int, least: float, n_pivots: int) -> DataFrame:
-    """``node, root`` of the texts in blocks too large for a task; ``members`` has ``bucket, node``."""
-    far = 1 - least + 1e-12
-    roots = members.sparkSession.createDataFrame([], "node long, root long")
-    other = wanted.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
-    known = None
-    while not members.isEmpty():
-        pivots = materialise(_pivots(members, n_pivots), "pivots")
-        held = materialise(members.join(pivots, "bucket").where("node <> pivot"), "held")
-        # The same pair may meet in many buckets and rounds; it is measured once.
-        pairs = held.select("node", "pivot").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["node", "pivot"], "left_anti")
-        read = pairs.join(wanted, "node").join(other, "pivot").select("node", "pivot", "text", "pivot_text")
-        new = read.mapInArrow(_distances(size), "node long, pivot long, d double")
-        known = materialise(new if known is None else known.unionByName(new), "distances")
-        roots = materialise(graph.components(known.where(F.col("d") <= far).select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "roots")
-        comp = lambda name, to: roots.select(F.col("node").alias(name), F.col("root").alias(to))
-        placed = (held.join(known, ["node", "pivot"]).join(comp("node", "comp"), "node", "left").join(comp("pivot", "pivot_comp"), "pivot", "left")
-                  .withColumn("comp", F.coalesce("comp", "node")).withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot")))
-        # By the triangle inequality nobody within reach of a member is further from its pivot than it is, plus the reach.
-        stranger = placed.where("comp <> pivot_comp").groupBy("bucket", "pivot").agg(F.min("d").alias("stranger"))
-        home = placed.groupBy("bucket", "node", "comp").agg(F.min("d").alias("d"), F.min_by("pivot", "d").alias("pivot"))
-        left = home.join(stranger, ["bucket", "pivot"], "left").where((F.col("d") > far) | (F.col("stranger") <= F.col("d") + far))
-        done = pivots.select("bucket", F.col("pivot").alias("node"))
-        members = materialise(_crowded(left.select("bucket", "node", "comp").join(done, ["bucket", "node"], "left_anti")).select("bucket", "node"), "members")
-    return roots
-
-
-def _block_classes(size: int, least: float, budget: int = 4_000_000):
-    """Classes of one block: each text's shared shingles with all others, by posting lists."""
+    def __init__(self, doc: np.ndarray, element: np.ndarray, total: np.ndarray, least: float):
+        self.n, self.least = len(total), least
+        self.by_length = np.argsort(total, kind="stable")
+        place = np.empty(self.n, dtype=np.int64)
+        place[self.by_length] = np.arange(self.n)
+        self.total = total[self.by_length]
+        order = np.argsort(element, kind="stable")
+        doc, element = place[doc[order]], element[order]
+        new = np.ones(len(element), dtype=bool)
+        new[1:] = element[1:] != element[:-1]
+        held = np.diff(np.append(np.flatnonzero(new), len(element)))
+        rarity = np.empty(len(held), dtype=np.int32)
+        rarity[np.argsort(held, kind="stable")] = np.arange(len(held), dtype=np.int32)
+        shared = np.repeat(held > 1, held)
+        self.alone = np.bincount(doc[~shared], minlength=self.n)
+        ids, self.company = np.repeat(rarity, held)[shared], np.bincount(doc, weights=np.repeat(held - 1, held), minlength=self.n)
+        doc = doc[shared]
+        order = np.lexsort((ids, doc))
+        self.ids = ids[order]
+        self.first = np.searchsorted(doc[order], np.arange(self.n + 1))
+        self.rare = np.clip(np.ceil(self.total / 4) - self.alone, 0, np.diff(self.first)).astype(np.int64)
+        self.mark = np.zeros(len(held), dtype=bool)
+        self.label = np.arange(self.n)
+
+    def _shared(self, texts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """How many of so many first elements of each text are marked."""
+        if 4 * lengths.sum() > len(self.ids):
+            upto = np.concatenate([[0], np.cumsum(self.mark[self.ids], dtype=np.int32)])
+            return upto[self.first[texts] + lengths] - upto[self.first[texts]]
+        upto = np.concatenate([[0], np.cumsum(self.mark[self.ids[_ranges(self.first[texts], lengths)]], dtype=np.int32)])
+        ends = np.cumsum(lengths)
+        return upto[ends] - upto[ends - lengths]
+
+    def hold(self, x: int, others: np.ndarray) -> None:
+        """Join a text to those of the others that are near it, by all their elements."""
+        mine = self.ids[self.first[x]:self.first[x + 1]]
+        self.mark[mine] = True
+        near = lambda shared: (shared > 0) & (shared >= (self.least - 1e-12) * (self.total[x] + self.total[others] - shared))
+        # The rarest quarter goes first: many that miss there could not be near if they shared all the rest.
+        rare = self.rare[others]
+        others = others[near(self.total[others] - self.alone[others] - rare + self._shared(others, rare))]
+        others = others[near(self._shared(others, self.first[others + 1] - self.first[others]))]
+        self.mark[mine] = False
+        own = np.unique(np.append(self.label[others], self.label[x]))
+        if len(own) > 1:
+            self.label[np.isin(self.label, own)] = own[0]
+
+    def hold_pivots(self, n_pivots: int) -> None:
+        """Hold texts with the most company, each near to none of those before it, against all."""
+        company = self.company.copy()
+        for _ in range(n_pivots):
+            x = int(np.argmax(company))
+            if company[x] <= 0:
+                break
+            self.hold(x, np.arange(self.n))
+            company[self.label == self.label[x]] = 0
+
+    def hold_candidates(self, budget: int) -> None:
+        """Hold texts against all those they could be near to and are not yet in a class with.
+
+        Near texts share so many elements that one of them must be among the rarest few of the shorter text and
+        among the rarest few of the longer one: as many as the text may have more than it shares.
+        """
+        n, least = self.n, self.least
+        listed = np.diff(self.first)
+        few = lambda share: np.clip(self.total - np.ceil(share * self.total - 1e-6) + 1 - self.alone, 0, listed).astype(np.int64)
+        as_longer, as_shorter = few(least), few(2 * least / (1 + least))
+        posted = np.repeat(np.arange(n), as_shorter)
+        posts = np.sort(self.ids[_ranges(self.first[:-1], as_shorter)].astype(np.int64) * n + posted)
+        shortest = np.searchsorted(self.total, least * self.total - 1e-6)
+        # Texts of the largest class need not look at each other.
+        inside = self.label == np.argmax(np.bincount(self.label, minlength=n))
+        for rows, keys in ((np.flatnonzero(~inside), posts), (np.flatnonzero(inside), posts[~inside[posts % n]])):
+            x = np.repeat(rows, as_longer[rows])
+            wanted = self.ids[_ranges(self.first[rows], as_longer[rows])].astype(np.int64) * n
+            begin = np.searchsorted(keys, wanted + shortest[x])
+            many = np.searchsorted(keys, wanted + x) - begin
+            read = np.concatenate([[0], np.cumsum(many)])
+            ends = np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)) if len(x) else common.EMPTY
+            at = 0
+            while at < len(x):
+                # Texts whose lists have about ``budget`` entries together.
+                within = ends[(ends > at) & (read[ends] <= read[at] + budget)]
+                to = int(within[-1] if len(within) else ends[np.searchsorted(ends, at, side="right")])
+                pairs = np.unique(np.repeat(x[at:to], many[at:to]) * n + keys[_ranges(begin[at:to], many[at:to])] % n)
+                left, right = pairs // n, pairs % n
+                cuts = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(left) else common.EMPTY
+                for one, others in zip(left[cuts].tolist(), np.split(right, cuts[1:])):
+                    others = others[self.label[others] != self.label[one]]
+                    if len(others):
+                        self.hold(one, others)
+                at = to
+
+    def labels(self) -> np.ndarray:
+        """A number for each text that those of its class share, in the order the texts were given."""
+        out = np.empty(self.n, dtype=np.int64)
+        out[self.by_length] = self.label
+        return out
+
+
+def _block_classes(size: int, least: float, n_pivots: int = 32, budget: int = 1_000_000):
+    """Classes of one block, by its shared elements."""
     def run(block: pa.Table) -> pa.Table:
         node = block.column("node").to_numpy()
-        s = Shingles(block.column("text").combine_chunks(), size)
-        n = len(node)
-        # The t-th occurrence of a shingle is an element of its own, so shared elements add up to the smaller weight.
-        times = s.weight.astype(np.int64)
-        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        with np.errstate(over="ignore"):
-            element = common.mix(np.repeat(s.hash, times) + nth.astype(np.uint64) * SALT)
-        doc = np.repeat(s.doc, times)
-        _, element, held = np.unique(element, return_inverse=True, return_counts=True)
-        posted = doc[np.argsort(element, kind="stable")]
-        first = np.cumsum(held) - held
-        reads = np.bincount(doc, weights=held[element], minlength=n).astype(np.int64)
-        at = np.searchsorted(doc, np.arange(n + 1))
-        label = np.arange(n)
-        row = 0
-        while row < n:
-            # Rows whose posting lists hold about ``budget`` entries together, and counts that fit too.
-            to = row + 1
-            while to < n and reads[row:to + 1].sum() <= budget and (to + 1 - row) * n <= budget:
-                to += 1
-            mine = element[at[row]:at[to]]
-            many = held[mine]
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[mine], many)
-            key = np.repeat(doc[at[row]:at[to]] - row, many) * n + posted[place]
-            shared = np.bincount(key, minlength=(to - row) * n).reshape(to - row, n)
-            near = shared >= (least - 1e-12) * (s.total[row:to, None] + s.total[None, :] - shared)
-            near &= shared > 0
-            for i in range(to - row):
-                own = np.unique(label[near[i]])
-                if len(own) > 1:
-                    label[np.isin(label, own)] = own[0]
-            row = to
-        least_node = np.full(n, np.iinfo(np.int64).max)
+        joined = _Joined(*_elements(block, size), least)
+        joined.hold_pivots(n_pivots)
+        if (joined.label != joined.label[0]).any():
+            joined.hold_candidates(budget)
+        label = joined.labels()
+        least_node = np.full(len(node), np.iinfo(np.int64).max)
         np.minimum.at(least_node, label, node)
         return pa.table({"node": node, "root": least_node[label]})
 
@@ -258,22 +297,28 @@ def _block_classes(size: int, least: float, budget: int = 4_000_000):
 
 
 def links(sketched: DataFrame, texts: DataFrame, *, size: int = 5, least: float = 0.8, n_pivots: int = 32,
-          block_texts: int = 8_192, block_chars: int = 24_000_000) -> DataFrame:
+          block_texts: int = 32_768, block_chars: int = 40_000_000) -> DataFrame:
     """``node, root``: classes of the candidate texts under links of similarity ``least`` or more.
 
-    ``sketched`` has ``node, keys``, ``texts`` has ``node, text``. Blocks up to the two bounds go to one task each.
+    ``sketched`` has ``node, keys``, ``texts`` has ``node, text``. Blocks up to the two bounds go to one task each; those
+    beyond are dealt into parts of half a bound, and every two parts go to a task.
     """
     members = sketched.select("node", F.explode("keys").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last")
     blocks = graph.components(members.join(heads, "bucket").select(F.col("node").alias("a"), F.col("head").alias("b")))
     wanted = materialise(texts.join(blocks.withColumnRenamed("root", "block"), "node"), "candidate-texts")
     sizes = wanted.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    large = materialise(sizes.where((F.col("n") > block_texts) | (F.col("chars") > block_chars)).select("block"), "large-blocks")
-    roots = (wanted.join(large, "block", "left_anti").select("node", "text", "block").groupBy("block")
-             .applyInArrow(_block_classes(size, least), "node long, root long"))
-    crowd = wanted.join(large, "block").select("node", "text")
-    crowded = materialise(members.join(crowd.select("node"), "node").join(heads.select("bucket"), "bucket").select("bucket", "node"), "members")
-    return roots.unionByName(_by_pivots(crowded, crowd, size, least, n_pivots))
+    parts = F.greatest(F.ceil(F.col("n") / max(1, block_texts // 2)), F.ceil(F.col("chars") / max(1, block_chars // 2)))
+    large = materialise(sizes.where((F.col("n") > block_texts) | (F.col("chars") > block_chars)).select("block", parts.alias("parts")), "large-blocks")
+    resolve, result = _block_classes(size, least, n_pivots), "node long, root long"
+    roots = wanted.join(large, "block", "left_anti").select("node", "text", "block").groupBy("block").applyInArrow(resolve, result)
+    if large.isEmpty():
+        return roots
+    dealt = (wanted.join(large, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part <> other")
+             .select("node", "text", "block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")))
+    stars = dealt.groupBy("block", "low", "high").applyInArrow(resolve, result)
+    return roots.unionByName(graph.components(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def classes(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8,
