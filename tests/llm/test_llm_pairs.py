@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,15 @@ def test_a_large_block_takes_no_rounds(spark, monkeypatch):
     assert len(steps) < 25, steps
 
 
+def test_the_stage_of_near_copies_takes_no_rounds(spark, monkeypatch):
+    steps, store = [], minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, name: steps.append(name) or store(df, name))
+    monkeypatch.setattr(minhash, "links", partial(minhash.links, block_texts=30, n_pivots=2))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(copies_and_strangers(50, 40), "doc_id long, text string"), FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(50, 90)]
+    assert len(steps) < 10, steps
+
+
 def test_strangers_of_a_block_are_not_held_against_all(monkeypatch):
     rows = copies_and_strangers(500, 500)
     held, hold = [], minhash._Joined.hold
