@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trapline.catalog import model_queries
+from trapline.fixtures import Tables
 from trapline.modeling import clusters, iforest, kmeans, metrics, pca, scale, stats, supervised
 from trapline.operators import flows
 
@@ -303,6 +305,13 @@ def test_tasks_of_a_forest_grow_in_number(spark, monkeypatch):
     assert fitted.transform(df).filter("predicted <> label").count() == 0
 
 
+def test_scored_flows_are_dealt_into_tasks(spark, monkeypatch):
+    monkeypatch.setattr(supervised, "SCORED_ROWS", 200, raising=False)
+    scored = model_queries._trained(Tables(spark, "/root/testdata/sf0.001"), "rf", trees=2, depth=2)
+    sizes = [r["count"] for r in scored.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) > 2000 and len(sizes) >= sum(sizes) // 200 and max(sizes) <= 250
+
+
 def test_imputation_and_cluster_reports(spark, table):
     filled = scale.impute_median(table, ["b"])
     _, b = arrays(table)
